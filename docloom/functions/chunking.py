@@ -81,12 +81,15 @@ def chunk(text: Column, limit: int | Column = CHUNK_WORDS) -> Column:
     Section heads first (head kept with its section), then paragraphs packed together, then sentences packed
     together, then plain words. A level is only applied to pieces still too long.
     """
-    out = F.when(tx.word_count(text) > 0, F.array(text)).otherwise(F.array().cast(EMPTY))
+    out = F.array(text)
     for pattern in HEADER_PATTERNS:
         out = _refine(out, limit, lambda p, r=pattern: _blankless(F.split(p, r)))
     out = _refine(out, limit, lambda p: pack(_blankless(F.split(p, r"\n\s*\n")), "\n\n", limit))
     out = _refine(out, limit, lambda p: pack(tx.sentences(p), " ", limit))
-    return _refine(out, limit, lambda p: by_words(p, limit))
+    out = _refine(out, limit, lambda p: by_words(p, limit))
+    none = F.array().cast(EMPTY)
+    # Most texts fit into one chunk: they skip the cascade.
+    return let(tx.word_count(text), lambda n: F.when(n == 0, none).when(n <= _number(limit), F.array(text)).otherwise(out))
 
 
 def sentence_chunks(text: Column, limit: int | Column = PACK_WORDS) -> Column:
@@ -106,20 +109,12 @@ def long_sections(text: Column, limit: int = 3000) -> Column:
     return out
 
 
-def section_chunks(text: Column) -> Column:
-    """Third-tier chunks of a section: up to 350 words as is, up to 750 split, up to 1500 whole, longer split twice."""
-    n = tx.word_count(text)
-    small = F.least(tx.balanced_chunk_size(n), F.lit(350))
-    middle = F.least(tx.balanced_chunk_size(n), F.lit(750))
-
-    def again(c: Column) -> Column:
-        m = tx.word_count(c)
-        return F.when(m > 350, chunk(c, F.least(tx.balanced_chunk_size(m), F.lit(350)))).otherwise(F.array(c))
-
-    return (
-        F.when(n <= 350, F.array(text)).when(n <= 750, chunk(text, small)).when(n <= 1500, F.array(text))
-        .otherwise(F.flatten(F.transform(chunk(text, middle), again)))
-    )
+def chunk_again(part: Column, largest: int = 350) -> Column:
+    """A part of a long section, split to at most ``largest`` words: sentences packed, then plain words."""
+    n = tx.word_count(part)
+    limit = F.least(tx.balanced_chunk_size(n), F.lit(largest))
+    split = let(limit, lambda m: _refine(pack(tx.sentences(part), " ", m), m, lambda p: by_words(p, m)))
+    return F.when(n > largest, split).otherwise(F.array(part))
 
 
 def middle_weights(n: Column) -> Column:

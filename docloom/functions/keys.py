@@ -146,7 +146,7 @@ def is_test_row(*columns: Column) -> Column:
 def request_key(params: Column) -> Column:
     """Stable text key of a parameter map: sorted ``k:v`` pairs joined by ``|``."""
     pairs = F.transform(F.map_entries(params), lambda e: F.concat_ws(":", e["key"], e["value"]))
-    return F.array_join(F.array_sort(pairs), "|")
+    return F.array_join(F.sort_array(pairs), "|")
 
 
 def industry(client: Column) -> Column:

@@ -26,5 +26,5 @@ def features_from_json(c: Column) -> Column:
 def as_text(m: Column) -> Column:
     """Sorted ``k=v`` text of a map<string,…>, for export and comparison."""
     return F.array_join(
-        F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";"
+        F.sort_array(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";"
     )

@@ -87,7 +87,7 @@ def recency(date: Column, reference: Column, kind: str = "exponential") -> Colum
         past = F.lit(1.0) - F.sqrt(F.least(days, F.lit(WINDOW_DAYS)) / F.lit(WINDOW_DAYS))
         return F.when(days >= 0, past).when(days < 0, F.lit(0.5))
     if kind == "linear":
-        return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(days) / F.lit(WINDOW_DAYS))
+        return F.when(days.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(days) / F.lit(WINDOW_DAYS)))
     raise ValueError(f"unknown recency kind {kind!r}")
 
 

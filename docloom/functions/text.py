@@ -189,6 +189,5 @@ def term_counts(toks: Column) -> Column:
             starts, ends, lambda a, b: F.struct(F.element_at(o, a).alias("term"), (b - a).alias("tf"))
         )
 
-    return F.when(F.size(toks) > 0, let(F.array_sort(toks), runs)).otherwise(
-        F.array().cast("array<struct<term:string,tf:int>>")
-    )
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(F.sort_array(toks), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(empty))

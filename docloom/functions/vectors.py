@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -22,8 +24,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """L2-normalised vector; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(v, lambda w: let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -39,7 +39,7 @@ def list_features(links: Sequence[DataFrame]) -> DataFrame:
     Replaces one query per document and relation. A document's own links are bounded by what one document holds.
     """
     long = reduce(DataFrame.unionByName, links)
-    return long.groupBy("document_id", "feature").agg(F.array_sort(F.collect_set("value")).alias("names"))
+    return long.groupBy("document_id", "feature").agg(F.sort_array(F.collect_set("value")).alias("names"))
 
 
 def bundle(docs: DataFrame, features: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -63,7 +63,7 @@ def keywords_of(docs: DataFrame, keywords: DataFrame) -> DataFrame:
 def top_keywords(keywords: DataFrame, k: int = 20) -> DataFrame:
     """Keyword list per document, best first (at most k)."""
     top = top_per_group(keywords, ["document_id"], [F.col("score").desc(), F.col("keyword")], k)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "keyword")))
     return top.groupBy("document_id").agg(F.transform(ordered, lambda x: x["keyword"]).alias("keywords"))
 
 
@@ -233,7 +233,7 @@ def author_pairs(bridge: DataFrame, item: str = "author_id", limit: int | None =
 
 def section_texts(sections: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Section text joined per document in section order (a document's text is one cell in the source)."""
-    ordered = F.array_sort(F.collect_list(F.struct("section_order", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("section_order", "content")))
     return sections.groupBy("document_id").agg(
         F.array_join(F.transform(ordered, lambda s: s["content"]), separator).alias("content")
     )

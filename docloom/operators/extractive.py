@@ -22,6 +22,15 @@ def corpus_idf(docs: DataFrame, text: str = "content", buckets: int = ft.BUCKETS
     return ft.idf_array(ft.idf_table(docs, toks, buckets, hash_name), docs, buckets)
 
 
+def with_idf(df: DataFrame, idf: Column) -> DataFrame:
+    """The idf array as column ``_idf``, for use once in the next projection.
+
+    A lambda may not name a subquery itself. Used once, the optimizer folds the column back into that projection, so
+    the array is never copied into rows (the plan shows one Project with the subquery inside).
+    """
+    return df.withColumn("_idf", idf)
+
+
 def sentence_score(sentence: Column, idf: Column, buckets: int = ft.BUCKETS, hash_name: str = "xxhash64") -> Column:
     """Length of the sentence's tf-idf vector; 0 for a sentence without terms."""
     weights = ft.tfidf(ft.hashed_counts(tx.tokens(sentence), buckets, hash_name), idf)
@@ -70,27 +79,28 @@ def pick(scored: Column, target: Column) -> Column:
     def text_of(got: Column) -> Column:
         return F.array_join(F.transform(F.filter(scored, lambda s: F.array_contains(got, s["i"])), lambda s: s["t"]), " ")
 
-    return let(let(F.array_sort(scored), choose), text_of)
+    return let(let(F.sort_array(scored), choose), text_of)
 
 
 def extract(df: DataFrame, text: str, target: Column, idf: Column, out: str = "extract", buckets: int = ft.BUCKETS,
             hash_name: str = "xxhash64") -> DataFrame:
     """Extract of about ``target`` words per row; texts without sentences stay as they are. No shuffle."""
-    scored = df.withColumn("_scored", scored_sentences(F.col(text), idf, buckets, hash_name))
+    scored = with_idf(df, idf).withColumn("_scored", scored_sentences(F.col(text), F.col("_idf"), buckets, hash_name)).drop("_idf")
     picked = pick(F.col("_scored"), target)
-    return scored.withColumn(out, F.when(F.size("_scored") > 0, picked).otherwise(F.col(text))).drop("_scored")
+    return scored.withColumn(out, F.when(F.size("_scored") > 0, picked).otherwise(F.coalesce(text, F.lit("")))).drop("_scored")
 
 
-def _chunk_rows(docs: DataFrame, chunks: Column, carry: Sequence[str] = ()) -> DataFrame:
-    rows = docs.select("document_id", *carry, F.posexplode(chunks).alias("pos", "chunk"))
+def _chunk_rows(docs: DataFrame, chunks: Column) -> DataFrame:
+    """Chunks as rows; a document without any keeps one row, so that it is not lost."""
+    rows = docs.select("document_id", F.posexplode_outer(chunks).alias("pos", "chunk"))
     return rows.withColumn("words", tx.word_count(F.col("chunk")))
 
 
 def _joined(rows: DataFrame, piece: str, order: Sequence[str] = ("pos",), separator: str = " ") -> DataFrame:
     """Extracts of one document in order: what is gathered are the short extracts, not the text."""
-    kept = rows.filter(F.col(piece) != "")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, piece)))
-    return kept.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda s: s[piece]), separator).alias("extract"))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, piece)))
+    kept = F.filter(F.transform(ordered, lambda s: s[piece]), lambda s: s != "")
+    return rows.groupBy("document_id").agg(F.array_join(kept, separator).alias("extract"))
 
 
 def second_tier(docs: DataFrame, idf: Column, text: str = "content") -> DataFrame:
@@ -101,14 +111,24 @@ def second_tier(docs: DataFrame, idf: Column, text: str = "content") -> DataFram
 
 
 def third_tier_chunks(sections: DataFrame) -> DataFrame:
-    """Section chunks with their position weight: (document_id, section_order, pos, chunk, words, weight)."""
-    held = sections.withColumn("_c", ck.section_chunks(F.col("content")))
+    """Section chunks with their position weight: (document_id, section_order, pos, chunk, words, weight).
+
+    Up to 350 words a section stays as it is, up to 750 it is split, up to 1500 it stays whole, and a longer one is
+    split into larger parts that are split again.
+    """
+    held = sections.withColumn("_n", tx.word_count(F.col("content")))
+    size = F.least(tx.balanced_chunk_size(F.col("_n")), F.when(F.col("_n") <= 750, 350).otherwise(750)).cast("int")
+    whole = (F.col("_n") <= 350) | F.col("_n").between(751, 1500)
+    held = held.withColumn("_size", F.when(whole, F.greatest(F.col("_n"), F.lit(1))).otherwise(size))
+    held = held.withColumn("_c", ck.chunk(F.col("content"), F.col("_size")))
+    twice = F.flatten(F.transform("_c", lambda c: ck.chunk_again(c)))
+    held = held.withColumn("_c", F.when(F.col("_n") > 1500, twice).otherwise(F.col("_c")))
     zipped = F.arrays_zip(F.col("_c").alias("chunk"), ck.middle_weights(F.size("_c")).alias("weight"))
     rows = held.select("document_id", "section_order", F.posexplode(zipped).alias("pos", "z"))
     return rows.select(
         "document_id", "section_order", "pos", F.col("z.chunk").alias("chunk"),
         tx.word_count(F.col("z.chunk")).alias("words"), F.col("z.weight").alias("weight"),
-    ).filter(F.col("chunk").isNotNull())
+    )
 
 
 def weighted_share(words_total: Column, weight: Column, target: int) -> Column:
@@ -128,13 +148,13 @@ def third_tier(sections: DataFrame, idf: Column, target: int = 700) -> DataFrame
 
 def fourth_tier(docs: DataFrame, idf: Column, text: str = "content", target: int = 750) -> DataFrame:
     """Two passes for very long texts: each section down to 600 words or less, then a weighted pass over the sections."""
-    parts = docs.select("document_id", F.posexplode(ck.long_sections(F.col(text))).alias("pos", "section"))
+    parts = docs.select("document_id", F.posexplode_outer(ck.long_sections(F.col(text))).alias("pos", "section"))
     sub = parts.withColumn("words", tx.word_count(F.col("section"))).select(
         "document_id", "pos", "words",
         F.posexplode(F.when(F.col("words") <= 1500, F.array("section")).otherwise(ck.subsections(F.col("section")))).alias("sub", "part"),
     )
     first = extract(sub, "part", F.lit(600), idf, "_x").withColumn("piece", F.when(F.col("words") <= 750, F.col("part")).otherwise(F.col("_x")))
-    per_section = first.groupBy("document_id", "pos").agg(F.array_sort(F.collect_list(F.struct("sub", "piece"))).alias("_p"))
+    per_section = first.groupBy("document_id", "pos").agg(F.sort_array(F.collect_list(F.struct("sub", "piece"))).alias("_p"))
     chunks = per_section.select("document_id", "pos", F.array_join(F.transform("_p", lambda p: p["piece"]), "\n").alias("chunk")).withColumn(
         "words", tx.word_count(F.col("chunk"))
     )

@@ -24,17 +24,17 @@ def feature_rows(docs: DataFrame, features: Sequence[str] | None = None, key: st
                  multi: Sequence[str] = MULTI_VALUED) -> DataFrame:
     """(key, feature, value) rows. Single-valued features give their (first) value; codes come out of structs."""
     features = features or [c for c in docs.columns if c not in NOT_CATEGORICAL and c != key]
-    parts = []
-    for name in features:
-        kind = docs.schema[name].dataType.simpleString()
-        col = F.col(name)
+
+    def pairs(name: str) -> Column:
+        kind, col = docs.schema[name].dataType.simpleString(), F.col(name)
         if kind.startswith("array<struct"):
             col = F.transform(col, lambda s: s["code"])
         elif not kind.startswith("array"):
             col = F.array(col.cast("string"))
-        if name not in multi:
-            col = F.slice(col, 1, 1)
-        parts.append(F.transform(F.array_compact(col), lambda v, n=name: F.struct(F.lit(n).alias("feature"), v.cast("string").alias("value"))))
+        values = F.array_compact(col if name in multi else F.slice(col, 1, 1))
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("feature"), v.cast("string").alias("value")))
+
+    parts = [F.coalesce(pairs(n), F.array().cast("array<struct<feature:string,value:string>>")) for n in features]
     rows = docs.select(F.col(key).alias("doc_id"), F.explode(F.flatten(F.array(*parts))).alias("fv"))
     return rows.select("doc_id", "fv.feature", "fv.value").filter(F.col("value") != "")
 
@@ -131,7 +131,7 @@ def idf_array(idf: DataFrame, docs: DataFrame, buckets: int = BUCKETS) -> Column
     dense = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(idf, "b", "left").select(
         "b", F.coalesce("idf", F.ln(n + 1)).alias("idf")
     )
-    ordered = dense.agg(F.array_sort(F.collect_list(F.struct("b", "idf"))).alias("a"))
+    ordered = dense.agg(F.sort_array(F.collect_list(F.struct("b", "idf"))).alias("a"))
     return ordered.select(F.transform("a", lambda x: x["idf"]).alias("a")).scalar()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.text import let
 from . import features as ft
+from .extractive import with_idf
 
 DIVERSITY, POOL = 0.7, 30
 
@@ -20,12 +21,13 @@ def _weighted_tokens(toks: Column, idf: Column, buckets: int, hash_name: str) ->
         return F.flatten(F.transform(counts, lambda c: F.array_repeat(c["tf"], c["tf"])))
 
     def join(o: Column) -> Column:
-        value = lambda x: F.element_at(idf, ft.bucket(x["term"], buckets, hash_name) + 1)
-        return F.zip_with(o, count(o), lambda x, tf: F.struct(
-            x["i"].alias("i"), x["term"].alias("term"), value(x).alias("idf"), (tf * value(x)).alias("w")))
+        priced = F.zip_with(o, count(o), lambda x, tf: F.struct(
+            x["i"].alias("i"), x["term"].alias("term"), F.element_at(idf, ft.bucket(x["term"], buckets, hash_name) + 1).alias("idf"),
+            tf.alias("tf")))
+        return F.transform(priced, lambda x: F.struct(x["i"], x["term"], x["idf"], (x["tf"] * x["idf"]).alias("w")))
 
-    ordered = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("i"))))
-    return F.array_sort(let(ordered, join))
+    ordered = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("i"))))
+    return F.sort_array(let(ordered, join))
 
 
 def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int = ft.BUCKETS,
@@ -34,9 +36,10 @@ def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int
 
     The score is the cosine between the candidate's tf-idf vector and the document's.
     """
-    held = docs.withColumn("_tok", _weighted_tokens(tx.tokens(F.col(text), min_len=2), idf, buckets, hash_name))
+    toks = tx.tokens(F.col(text), min_len=2)
+    held = with_idf(docs, idf).withColumn("_tok", _weighted_tokens(toks, F.col("_idf"), buckets, hash_name)).drop("_idf")
     single = F.transform("_tok", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf"), x["w"].alias("w")))
-    distinct = let(F.array_sort(single), lambda o: F.filter(
+    distinct = let(F.sort_array(single), lambda o: F.filter(
         F.zip_with(o, F.slice(F.concat(F.array(F.lit(None).cast("struct<term:string,idf:double,w:double>")), o), 1, F.size(o)),
                    lambda a, b: F.when(~a["term"].eqNullSafe(b["term"]), a)), lambda x: x.isNotNull()))
     held = held.withColumn("_uni", distinct).withColumn(
@@ -49,7 +52,7 @@ def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int
         F.slice("_tok", 1, F.greatest(n - 1, F.lit(0))), F.slice("_tok", 2, F.greatest(n - 1, F.lit(0))),
         lambda a, b: F.struct((-F.round(F.try_divide(top(a, b), size(a, b)), 6)).alias("neg"), F.concat_ws(" ", a["term"], b["term"]).alias("term")),
     )).otherwise(F.array().cast("array<struct<neg:double,term:string>>"))
-    ordered = let(F.array_sort(F.concat(uni, bi)), lambda o: F.filter(
+    ordered = let(F.sort_array(F.concat(uni, bi)), lambda o: F.filter(
         F.zip_with(o, F.slice(F.concat(F.array(F.lit(None).cast("struct<neg:double,term:string>")), o), 1, F.size(o)),
                    lambda a, b: F.when(~a["term"].eqNullSafe(b["term"]), a)), lambda x: x["neg"].isNotNull()))
     return held.withColumn("_cand", ordered).drop("_tok", "_uni", "_len")

@@ -56,14 +56,15 @@ class _Flattener(HTMLParser):
         parent = self.open[-1] if self.open else None
         classes = a.get("class", "").split()
         hidden = bool(parent and parent["_hidden"]) or bool(self.drop.intersection(classes)) or tag in ("script", "style")
-        seq = len(self.elements) + 1
+        seq = len(self.elements) + 1  # shown elements are numbered without gaps: seq is the array position
         block = seq if tag in BLOCKS else (parent["_block"] if parent else 0)
         e = {
             "seq": seq, "last": seq, "parent": parent["seq"] if parent else 0, "tag": tag, "id": a.get("id"),
             "classes": classes, "href": a.get("href"), "style": a.get("style"), "width": a.get("width"),
             "t0": len(self.pieces), "t1": len(self.pieces), "_hidden": hidden, "_block": block,
         }
-        self.elements.append(e)
+        if not hidden:
+            self.elements.append(e)
         if tag not in VOID:
             self.open.append(e)
 
@@ -85,7 +86,7 @@ class _Flattener(HTMLParser):
         self.close()
         while self.open:
             self._close()
-        keep = [{k: v for k, v in e.items() if k[0] != "_"} for e in self.elements if not e["_hidden"]]
+        keep = [{k: v for k, v in e.items() if k[0] != "_"} for e in self.elements]
         return keep, self.pieces
 
 
@@ -148,8 +149,14 @@ def main_text(parsed: DataFrame, key: str = "page_id", ids: Sequence[str] = CONT
     The container is the first ``div`` with one of ``ids``, in that order, else the first of ``fallback_tags``.
     ``leaf_only`` gives every piece of text once, to its innermost block; otherwise each block repeats what is below.
     """
-    options = [first(F.col("nodes"), lambda e, i=i: (e["tag"] == "div") & (e["id"] == i)) for i in ids]
-    options += [first(F.col("nodes"), lambda e, t=t: e["tag"] == t) for t in fallback_tags]
+
+    def by_id(wanted: str) -> Column:
+        return first(F.col("nodes"), lambda e: (e["tag"] == "div") & (e["id"] == wanted))
+
+    def by_tag(wanted: str) -> Column:
+        return first(F.col("nodes"), lambda e: e["tag"] == wanted)
+
+    options = [*map(by_id, ids), *map(by_tag, fallback_tags)]
     held = parsed.withColumn("box", F.coalesce(*options))
     lead = lambda e: F.coalesce(F.get(e["classes"], F.lit(0)), F.lit(""))
     blocks = F.filter(
@@ -357,28 +364,28 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     )
     joined = lambda parts: F.array_join(F.filter(parts, lambda s: s != ""), "\n")
 
-    def titled(name: str) -> Column:
-        heads = F.filter(
-            nodes,
-            lambda e: has_class(e, name) & ~(has_class(e, "oj-doc-ti") & tx.strip(text_of(pieces, e)).rlike("^ANNEX [IVX]+$")),
-        )
-
-        def body(h: Column) -> Column:
-            following = F.filter(nodes, lambda e: (e["parent"] == h["parent"]) & (e["seq"] > h["seq"]))
-
-            def upto(f: Column) -> Column:
-                stop = F.coalesce(first(f, lambda e: has_class(e, *TITLE_CLASSES))["seq"], F.lit(1 << 30))
-                return F.filter(f, lambda e: e["seq"] < stop)
-
-            parts = F.flatten(F.transform(
-                let(following, upto),
-                lambda e: F.when(e["tag"] == "table", F.array(table_text(nodes, pieces, e))).otherwise(
-                    F.transform(stripped_of(pieces, e), tx.clean_legal_text)),
-            ))
-            return F.struct(
-                clean(h).alias("title"), joined(F.array_distinct(parts)).alias("content"), F.lit(name).alias("section_type"))
-
-        return F.transform(heads, body)
+    # Titled sections: every heading with what follows it on its own level, up to the next heading there.
+    order = lambda e: F.array_min(F.transform(e["classes"], lambda c: F.nullif(F.array_position(titles, c), F.lit(0))))
+    titles = F.array(*(F.lit(n) for n in TITLE_CLASSES))
+    annex = lambda e: has_class(e, "oj-doc-ti") & tx.strip(text_of(pieces, e)).rlike("^ANNEX [IVX]+$")
+    held = held.withColumn("_marks", F.filter(nodes, lambda e: has_class(e, *TITLE_CLASSES)))
+    heads = F.transform(F.filter("_marks", lambda e: ~annex(e)), lambda e: F.struct(order(e).alias("o"), e["seq"].alias("seq"), e.alias("e")))
+    held = held.withColumn("_heads", F.sort_array(heads))
+
+    def body(h: Column) -> Column:
+        later = F.filter("_marks", lambda m: (m["parent"] == h["parent"]) & (m["seq"] > h["seq"]))
+        level_end = F.when(h["parent"] > 0, F.get(nodes, h["parent"] - 1)["last"]).otherwise(F.size(nodes))
+        stop = F.least(level_end, F.get(later, F.lit(0))["seq"] - 1)
+        following = F.filter(F.slice(nodes, h["seq"] + 1, F.greatest(stop - h["seq"], F.lit(0))), lambda e: e["parent"] == h["parent"])
+        parts = F.flatten(F.transform(
+            following,
+            lambda e: F.when(e["tag"] == "table", F.array(table_text(nodes, pieces, e))).otherwise(
+                F.transform(stripped_of(pieces, e), tx.clean_legal_text)),
+        ))
+        return joined(F.array_distinct(parts))
+
+    titled = F.transform("_heads", lambda h: F.struct(
+        clean(h["e"]).alias("title"), body(h["e"]).alias("content"), F.element_at(titles, h["o"].cast("int")).alias("section_type")))
 
     def fixed(title: str, content: Column, kind: str) -> Column:
         return F.array(F.struct(F.lit(title).alias("title"), content.alias("content"), F.lit(kind).alias("section_type")))
@@ -387,7 +394,7 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         fixed("Document Title", F.coalesce(clean(F.col("_head")), F.lit("")), "header"),
         fixed("Preamble", F.coalesce(clean(F.col("_pre")), F.lit("")), "preamble"),
         fixed("Main Content", F.coalesce(joined(main_parts), F.lit("")), "main"),
-        *(titled(n) for n in TITLE_CLASSES),
+        titled,
     )
     good = F.filter(everything, lambda s: tx.is_valid_section(s["content"]) & (s["title"] != ""))
     return held.withColumn("_sections", good).select(key, F.posexplode("_sections").alias("section_order", "s")).select(

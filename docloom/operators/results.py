@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def summary(results: DataFrame) -> DataFrame:
     """Per query: number, mean and best score, distinct types, first and last year."""
     return results.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"),
+        F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("avg_score"), F.max("score").alias("max_score"),
         F.count_distinct("document_type").alias("types"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
     )
 

@@ -16,6 +16,9 @@ from ..operators import features as ft
 from ..operators.ranking import rank_results
 from ..operators.similarity import mean_vectors, top_k
 
+# Final scores are compared at this precision; candidates were cut at six places.
+SCORE_DIGITS = 9
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -68,7 +71,7 @@ def rescore(rows: DataFrame, s: Settings) -> DataFrame:
     if s.recency_weight is not None:
         reference = F.lit(s.reference_date).cast("date") if s.reference_date else F.current_date()
         out = out.withColumn("score", sc.recency_boost(F.col("score"), F.col("date"), reference, s.recency_weight, s.recency_kind))
-    out = out.withColumn("score", F.round("score", 6)).drop("_doc", "_query", "_pref")
+    out = out.withColumn("score", F.round("score", SCORE_DIGITS)).drop("_doc", "_query", "_pref")
     if s.min_similarity is not None:
         out = out.filter(F.col("score") >= s.min_similarity)
     return rank_results(out, s.top_k)
@@ -190,7 +193,7 @@ def rank_corpus(queries: DataFrame, docs: DataFrame, vocab: Mapping[str, list[st
         reference = F.lit(s.reference_date).cast("date") if s.reference_date else F.current_date()
         dated = kept.join(docs.select("doc_id", "date"), "doc_id", "left")
         kept = dated.withColumn(
-            "score", F.round(sc.recency_boost(F.col("score"), F.col("date"), reference, s.recency_weight, s.recency_kind), 6)
+            "score", F.round(sc.recency_boost(F.col("score"), F.col("date"), reference, s.recency_weight, s.recency_kind), SCORE_DIGITS)
         ).drop("date")
     return rank_results(kept)
 

@@ -47,7 +47,7 @@ def apply_weights(components: DataFrame, configs: Sequence[Mapping[str, float]],
     ))
     rows = components.withColumn("c", F.explode(held))
     score = sc.combined(F.col("text_score"), F.col("category_score"), F.col("c.tw"), F.col("c.cw"))
-    scored = rows.select(F.col("c.config").alias("config"), "query_id", "doc_id", F.round(score, 6).alias("score"))
+    scored = rows.select(F.col("c.config").alias("config"), "query_id", "doc_id", F.round(score, 9).alias("score"))
     return rank_results(scored, top_k, group=("config", "query_id"))
 
 
@@ -74,6 +74,6 @@ def sweep_summary(flat: DataFrame) -> DataFrame:
 
 def compare(ranked: DataFrame, top_n: int = 5) -> DataFrame:
     """Result lists of configurations side by side: one row per (query, configuration) with its first n ids."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "doc_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "doc_id")))
     return ranked.filter(F.col("rank") <= top_n).groupBy("query_id", "config").agg(
         F.array_join(F.transform(ordered, lambda x: x["doc_id"].cast("string")), ",").alias("top_ids"))

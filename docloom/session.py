@@ -45,3 +45,13 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for heavy per-row work: spread over all cores when it comes in fewer partitions than there are cores.
+
+    Small tables often sit in one row group, so one core would do all the work. A large table has far more
+    partitions than cores and is left as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -91,7 +91,7 @@ def judgements_long(judgements: DataFrame) -> DataFrame:
 def judgements_from_results(results: DataFrame, n: int = 5) -> DataFrame:
     """Judgements from a recommender's own first n results; the list is at most n long per query."""
     top = results.filter(F.col("rank") <= n)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     return top.groupBy("query_id").agg(ordered.alias("relevant_docs"))
 
 

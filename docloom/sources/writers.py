@@ -93,7 +93,7 @@ def apply_profile_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     added = (
         edits.filter(F.col("op") == "add_history")
         .groupBy("user_id", "text").agg(F.min("seq").alias("seq"))
-        .groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_added"))
+        .groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_added"))
         .select("user_id", F.transform("_added", lambda e: e["text"]).alias("_added"))
     )
     empty = F.array().cast("array<string>")

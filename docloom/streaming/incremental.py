@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,20 +56,25 @@ def run_batches(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int
     )
 
 
-def versioned_upsert(base: str, keys: Sequence[str], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler that folds each micro-batch into a table, one folder per batch number.
+class KeyedTable:
+    """A table kept current by micro-batches: a log of folded batches, one folder per batch number.
 
-    The batch is laid over the version before it and written to its own folder. Replaying a batch after a failure
-    rewrites the same folder with the same rows, so the result does not depend on how often a batch ran.
+    A batch only writes its own rows, reduced to the last one per key, so the cost of a batch follows the batch and
+    not the table. Replaying a batch after a failure rewrites the same folder with the same rows. Readers take the
+    newest batch per key; ``compact`` folds the log into a new base when it has grown.
     """
 
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
-        new = new.withColumn("_side", F.lit(1))
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{base}/v={number - 1}").withColumn("_side", F.lit(0))
-            new = old.unionByName(new)
-        latest(new, keys, ["_side"]).drop("_side").write.mode("overwrite").parquet(f"{base}/v={number}")
+    def __init__(self, spark: SparkSession, base: str, keys: Sequence[str], order: Sequence[str] = ()):
+        self.spark, self.base, self.keys, self.order = spark, base, list(keys), list(order)
 
-    return handle
+    def fold(self, batch: DataFrame, number: int) -> None:
+        rows = latest(batch, self.keys, self.order) if self.order else batch
+        rows.write.mode("overwrite").parquet(f"{self.base}/batch={number}")
+
+    def read(self) -> DataFrame:
+        log = self.spark.read.parquet(self.base)
+        return latest(log, self.keys, ["batch", *self.order]).drop("batch")
+
+    def compact(self, to: str) -> "KeyedTable":
+        self.read().write.mode("overwrite").parquet(f"{to}/batch=-1")
+        return KeyedTable(self.spark, to, self.keys, self.order)
