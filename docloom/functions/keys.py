@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import first_words, let
+
 # Letters in a key, tried in this order.
 KEY_LETTERS = (("R", "regulation"), ("L", "directive"), ("D", "decision"), ("Q", "recommendation"))
 
@@ -54,9 +56,12 @@ def document_type(key: Column) -> Column:
 
 def subjects(keywords: Column, summary: Column, terms: dict[str, tuple[str, ...]] = SUBJECT_TERMS) -> Column:
     """Subjects whose terms occur in the keywords or the summary; ``general`` when there is none."""
-    both = F.lower(F.concat_ws("\n", keywords, summary))
-    hits = F.array_compact(F.array(*(F.when(contains_any(both, ts), F.lit(s)) for s, ts in terms.items())))
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("general")))
+
+    def look(both: Column) -> Column:
+        hits = F.array_compact(F.array(*(F.when(contains_any(both, ts), F.lit(s)) for s, ts in terms.items())))
+        return let(hits, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit("general"))))
+
+    return let(F.lower(F.concat_ws("\n", keywords, summary)), look)
 
 
 def form_of(summary: Column) -> Column:
@@ -98,9 +103,8 @@ def default_subject(key: Column) -> Column:
 
 def matched_subjects(text: Column, known=KNOWN_SUBJECTS, limit: int = 5) -> Column:
     """Known subjects named in the text, first ``limit`` in list order."""
-    low = F.lower(text)
-    hits = F.array_compact(F.array(*(F.when(low.contains(s.lower()), F.lit(s)) for s in known)))
-    return F.slice(hits, 1, limit)
+    hits = lambda low: F.array_compact(F.array(*(F.when(low.contains(s.lower()), F.lit(s)) for s in known)))
+    return F.slice(let(F.lower(text), hits), 1, limit)
 
 
 def key_year(key: Column) -> Column:
@@ -155,8 +159,6 @@ def industry(client: Column) -> Column:
 
 def profile_query(description: Column, categories: Column) -> Column:
     """First 20 words of the expert text, else the first three categories."""
-    from .text import first_words
-
     words = first_words(description, 20)
     return F.coalesce(F.when(words != "", words), F.array_join(F.slice(categories, 1, 3), " "))
 

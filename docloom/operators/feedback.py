@@ -55,5 +55,5 @@ def boost(results: DataFrame, feedback: DataFrame, factor: float = 0.2, per_user
     rated = feedback.groupBy(*keys).agg(F.avg("rating").alias("avg_rating")).withColumnRenamed("document_id", "doc_id")
     on = ["doc_id", "user_id"] if per_user else ["doc_id"]
     joined = results.drop("rank").join(rated, on, "left")
-    scored = joined.withColumn("score", F.round(sc.feedback_boost(F.col("score"), F.col("avg_rating"), factor), 9))
+    scored = joined.withColumn("score", F.round(sc.feedback_boost(F.col("score"), F.col("avg_rating"), factor), 12))
     return rank_results(scored)

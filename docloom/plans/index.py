@@ -12,7 +12,7 @@ from ..functions import keys as ky
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..operators import features as ft
-from ..sources.writers import latest
+from ..sources.writers import upsert
 from .recommend import Settings
 
 
@@ -55,9 +55,8 @@ def build_vectors(docs: DataFrame, encoder=None, dim: int = 256, fixed_summary_w
 
 
 def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:
-    """New vectors replace those of the same id (maps cannot be compared, so sides are numbered)."""
-    both = current.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    return latest(both, ["doc_id"], ["_side"]).drop("_side")
+    """New vectors replace those of the same id."""
+    return upsert(current, new, ["doc_id"])
 
 
 def save_state(vectors: DataFrame, vocab: DataFrame, settings: Settings, path: str) -> None:

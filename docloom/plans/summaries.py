@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators import extractive as ex
 from ..operators import keywords as kw
-from ..sources.writers import update_fields, upsert
+from ..sources.writers import update_fields
 
 MAX_WORDS = 68_000
 SUMMARY_FIELDS = ("summary", "summary_word_count", "compression_ratio", "tier")
@@ -52,4 +52,5 @@ def add_keywords(docs: DataFrame, keywords: DataFrame, idf: Column, text: str =
     """Keyword table with keywords for every summarised document that had none (an anti join, no running offset)."""
     todo = cp.without_keywords(docs, keywords)
     made = kw.extract_keywords(todo, idf, text)
-    return upsert(keywords.select("document_id", "keyword", "score"), made, ["document_id", "keyword"])
+    # The anti join left only documents without keywords, so no key can clash: adding rows is the whole upsert.
+    return keywords.select("document_id", "keyword", "score").unionByName(made)

@@ -153,7 +153,7 @@ def flatten_sweep(raw: DataFrame) -> DataFrame:
 
 def read_weight_groups(spark: SparkSession, path: str) -> DataFrame:
     """Weight-group JSON ``{group: {name: weight}}`` as rows (group, name, weight)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     groups = F.from_json("value", "map<string,map<string,double>>")
     return text.select(F.explode(groups).alias("group", "members")).select(
         "group", F.explode("members").alias("name", "weight")

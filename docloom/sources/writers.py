@@ -46,12 +46,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) ->
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Target with updates laid over it by key, last update winning; running it twice changes nothing.
 
-    ``order`` names update columns that rank repeated updates of one key.
+    ``order`` names update columns that rank repeated updates of one key. The target holds a key once, so it only
+    loses the updated keys (anti join: with few updates the target is not shuffled at all) and gains the new rows.
+    The updates are read twice; write costly ones first (session.materialise).
     """
-    newest = latest(updates, keys, order) if order else updates
-    old = target.withColumn("_side", F.lit(0))
-    new = newest.withColumn("_side", F.lit(1))
-    return latest(old.unionByName(new, allowMissingColumns=True), keys, ["_side"]).drop("_side")
+    newest = latest(updates, keys, order) if order else updates.dropDuplicates(list(keys))
+    kept = target.join(newest.select(*keys), list(keys), "left_anti").select(*target.columns)
+    return kept.unionByName(newest.select(*(c for c in newest.columns if c in target.columns)), allowMissingColumns=True)
 
 
 def update_fields(target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -154,7 +154,7 @@ def sections_per_document(t: Tables):
 
 @query("top_tokens", "AGG21", r"SELECT term, count(*) AS n FROM (SELECT unnest(toks) AS term FROM toks) WHERE regexp_matches(term, '^\p{L}+$') GROUP BY 1 ORDER BY n DESC, term LIMIT 20")
 def top_tokens(t: Tables):
-    return ng.top_tokens(t.docs)
+    return ng.top_tokens(t.texts)
 
 
 def _ngram_sql(n: int) -> str:
@@ -165,12 +165,12 @@ def _ngram_sql(n: int) -> str:
 
 @query("top_bigrams", "AGG22", _ngram_sql(2))
 def top_bigrams(t: Tables):
-    return ng.top_ngrams(t.docs, 2)
+    return ng.top_ngrams(t.texts, 2)
 
 
 @query("top_trigrams", "AGG22", _ngram_sql(3))
 def top_trigrams(t: Tables):
-    return ng.top_ngrams(t.docs, 3)
+    return ng.top_ngrams(t.texts, 3)
 
 
 _RATED = ", ".join(f"count(*) FILTER (rating = {r}) AS rated_{r}" for r in range(1, 6))

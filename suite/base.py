@@ -46,9 +46,18 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
+        return self._documents(self.raw("documents"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents for heavy per-row work, on all cores whatever the file layout."""
+        return self._documents(spread(self.raw("documents")))
+
+    @staticmethod
+    def _documents(raw: DataFrame) -> DataFrame:
         i = F.col("doc_id")
         letter = F.get(F.array(*(F.lit(x) for x in "RLDQX")), F.pmod(i, F.lit(5)).cast("int"))
-        return self.raw("documents").select(
+        return raw.select(
             i.alias("document_id"),
             F.concat(F.lit("3"), (F.pmod(i, F.lit(25)) + 2000).cast("string"), letter, F.lpad(i.cast("string"), 8, "0")).alias("celex_number"),
             F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
@@ -61,27 +70,22 @@ class Tables:
             "source", "lang",
         )
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """Documents for heavy per-row work, on all cores whatever the file layout."""
-        return spread(self.docs)
-
     @cached_property
     def secs(self) -> DataFrame:
         kind = F.when(F.col("section_order") == 0, "header").when(F.col("section_order") == 1, "preamble").otherwise("main")
-        rows = self.docs.select("document_id", F.posexplode(F.split("content", "\n")).alias("section_order", "content"))
+        rows = self.texts.select("document_id", F.posexplode(F.split("content", "\n")).alias("section_order", "content"))
         return rows.withColumns({"section_type": kind, "word_count": tx.word_count(F.col("content")).cast("long")})
 
     @cached_property
     def summarised(self) -> DataFrame:
         """Documents with a 20-word summary; every seventh has none yet."""
         s = F.when(F.pmod("document_id", F.lit(7)) != 0, tx.first_words(F.col("content"), 20))
-        return self.docs.withColumn("summary", s)
+        return self.texts.withColumn("summary", s)
 
     @cached_property
     def kws(self) -> DataFrame:
         toks = tx.tokens(F.col("content"), min_len=4)
-        held = self.docs.select("document_id", toks.alias("t")).select("document_id", F.size("t").alias("n"), F.explode(tx.term_counts(F.col("t"))).alias("c"))
+        held = self.texts.select("document_id", toks.alias("t")).select("document_id", F.size("t").alias("n"), F.explode(tx.term_counts(F.col("t"))).alias("c"))
         return held.select("document_id", F.col("c.term").alias("keyword"), F.round(F.col("c.tf") / F.col("n"), 6).alias("score"))
 
     @cached_property

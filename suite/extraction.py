@@ -24,7 +24,7 @@ def content_pages(t: Tables):
     lines = F.filter(F.split("content", "\n"), lambda s: tx.strip(s) != "")
     body = F.array_join(F.transform(lines, lambda s: F.concat(F.lit("<p>"), _escaped(s), F.lit("</p>"))), "\n")
     html = F.concat(F.lit('<html><body><div class="navigation">menu</div><div id="TexteOnly">'), body, F.lit("</div></body></html>"))
-    return spread(t.docs.select("document_id", html.alias("html")))
+    return t.texts.select("document_id", html.alias("html"))
 
 
 def metadata_pages(t: Tables):
@@ -35,7 +35,7 @@ def metadata_pages(t: Tables):
         F.coalesce(F.date_format("date_of_document", "dd/MM/yyyy"), F.lit("")), F.lit("; adopted</dd><dt>Author: </dt><dd>"), F.col("source"), F.lit(" , "), F.col("lang"),
         F.lit("</dd><dt>Form: </dt><dd>"), F.coalesce("form", F.lit("")), F.lit("</dd><dt>EUROVOC descriptor: </dt><dd><ul><li>"), F.col("lang"), F.lit("</li><li>"), F.col("source"),
         F.lit("</li></ul></dd><dt>Directory code: </dt><dd><ul><li>03.50 <span>Agri</span><span>"), F.col("source"), F.lit("</span></li></ul></dd></dl></body></html>"))
-    return spread(t.docs.select("document_id", html.alias("html")))
+    return t.texts.select("document_id", html.alias("html"))
 
 
 @query("page_main_texts", "EXT1", r"""SELECT document_id, md5(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda s: trim(s, E' \t\r\n')), lambda s: s <> ''), chr(10))) AS text_md5,
@@ -84,7 +84,7 @@ def sectioned_pages(t: Tables):
         F.lit('<div class="eli-main-title"><p>Act number '), F.col("document_id").cast("string"), F.lit('</p></div><div class="eli-preamble">Whereas '), F.col("lang"),
         F.lit('</div><div class="body">'), F.array_join(arts, ""), F.lit('<p class="oj-note">a note</p></div><div class="body"><p class="oj-ti-section">Annex list</p>'
         '<table><col width="4%"/><col width="96%"/><tr><td>(1)</td><td>first '), F.col("source"), F.lit("</td></tr></table></div>"))
-    return spread(t.docs.select("document_id", html.alias("html_content")))
+    return t.texts.select("document_id", html.alias("html_content"))
 
 
 @query("page_sections", "EXT4 EXT5", """WITH l AS (SELECT document_id, list_filter(string_split(content, chr(10)), lambda s: trim(s, E' \\t\\r\\n') <> '') AS l FROM docs), a AS (SELECT document_id, unnest(l) AS s FROM l), g AS (SELECT document_id, count(*) AS n FROM a WHERE regexp_matches(s, '[a-zA-Z]{2,}') GROUP BY 1)

@@ -6,6 +6,7 @@ from docloom.functions import dates as dt
 from docloom.functions import keys as ky
 from docloom.functions import text as tx
 from docloom.operators import ranking as rk
+from docloom.session import spread
 
 from .base import STOP_SQL, Tables, query, tokens_sql, words_sql
 
@@ -49,7 +50,7 @@ CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
 @query("clean_legal_texts", "PRJ5", f"""SELECT doc_id, md5(CASE WHEN regexp_matches(c, '[a-zA-Z]{{2,}}') THEN c ELSE '' END) AS clean_md5
     FROM (SELECT doc_id, {CLEAN_SQL.format('text')} AS c FROM documents)""")
 def clean_legal_texts(t: Tables):
-    return t.raw("documents").select("doc_id", F.md5(tx.clean_legal_text(F.col("text"))).alias("clean_md5"))
+    return spread(t.raw("documents")).select("doc_id", F.md5(tx.clean_legal_text(F.col("text"))).alias("clean_md5"))
 
 
 @query("valid_sections", "PRJ6", "SELECT document_id, section_order, regexp_matches(content, '[a-zA-Z]{2,}')::INT AS valid FROM secs")
@@ -215,14 +216,14 @@ def default_fields(t: Tables):
 @query("matched_subjects", "PRJ22", """SELECT document_id, array_to_string(list_filter([CASE WHEN contains(c, 'then') THEN 'Then' END, CASE WHEN contains(c, 'tionre') THEN 'Tionre' END,
     CASE WHEN contains(c, 'sch') THEN 'Sch' END, CASE WHEN contains(c, 'que') THEN 'Que' END], lambda x: x IS NOT NULL)[1:2], ',') AS subjects FROM (SELECT document_id, lower(content) AS c FROM docs)""")
 def matched_subjects(t: Tables):
-    return t.docs.select("document_id", F.array_join(ky.matched_subjects(F.col("content"), ("Then", "Tionre", "Sch", "Que"), 2), ",").alias("subjects"))
+    return t.texts.select("document_id", F.array_join(ky.matched_subjects(F.col("content"), ("Then", "Tionre", "Sch", "Que"), 2), ",").alias("subjects"))
 
 
 @query("known_subjects", "PRJ22", "SELECT document_id, array_to_string(list_filter(["
        + ", ".join(f"CASE WHEN contains(c, '{s.lower()}') THEN '{s}' END" for s in ky.KNOWN_SUBJECTS)
        + "], lambda x: x IS NOT NULL)[1:5], ',') AS subjects FROM (SELECT document_id, lower(content) AS c FROM docs)")
 def known_subjects(t: Tables):
-    return t.docs.select("document_id", F.array_join(ky.matched_subjects(F.col("content")), ",").alias("subjects"))
+    return t.texts.select("document_id", F.array_join(ky.matched_subjects(F.col("content")), ",").alias("subjects"))
 
 
 @query("display_dates", "PRJ23", "SELECT document_id, coalesce(strftime(date_of_document, '%d/%m/%Y'), 'N/A') AS shown, coalesce(year(date_of_document)::VARCHAR, 'N/A') AS year FROM docs")
@@ -328,7 +329,7 @@ def resumed_documents(t: Tables):
 
 @query("document_tokens", "TXT22", f"""SELECT document_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS token_md5 FROM (SELECT document_id, {tokens_sql('content')} AS t FROM docs)""")
 def document_tokens(t: Tables):
-    held = t.docs.select("document_id", tx.tokens(F.col("content")).alias("t"))
+    held = t.texts.select("document_id", tx.tokens(F.col("content")).alias("t"))
     return held.select("document_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join("t", " ")).alias("token_md5"))
 
 

@@ -89,13 +89,13 @@ def recommend_with_preferences(t: Tables):
 
 
 @query("feedback_boosted", "SIM11", """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
-    (SELECT query_id, doc_id, round(t.score * (1 + coalesce((a - 1) / 4, 0) * 0.2::DOUBLE), 9) AS score FROM top10 t LEFT JOIN (SELECT document_id AS doc_id, avg(rating) AS a FROM feedback GROUP BY 1) r USING (doc_id)))""")
+    (SELECT query_id, doc_id, round(t.score * (1 + coalesce((a - 1) / 4, 0) * 0.2::DOUBLE), 12) AS score FROM top10 t LEFT JOIN (SELECT document_id AS doc_id, avg(rating) AS a FROM feedback GROUP BY 1) r USING (doc_id)))""")
 def feedback_boosted(t: Tables):
     return fb.boost(sims10(t), t.feedback).select("query_id", "doc_id", "score", "rank")
 
 
 @query("feedback_boosted_per_user", "SIM11", """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
-    (SELECT query_id, doc_id, round(t.score * (1 + coalesce((a - 1) / 4, 0) * 0.2::DOUBLE), 9) AS score FROM top10 t LEFT JOIN (SELECT document_id AS doc_id, user_id, avg(rating) AS a FROM feedback GROUP BY 1, 2) r ON r.doc_id = t.doc_id AND r.user_id = t.query_id % 150))""".replace("query_id, doc_id, round", "query_id, t.doc_id, round"))
+    (SELECT query_id, doc_id, round(t.score * (1 + coalesce((a - 1) / 4, 0) * 0.2::DOUBLE), 12) AS score FROM top10 t LEFT JOIN (SELECT document_id AS doc_id, user_id, avg(rating) AS a FROM feedback GROUP BY 1, 2) r ON r.doc_id = t.doc_id AND r.user_id = t.query_id % 150))""".replace("query_id, doc_id, round", "query_id, t.doc_id, round"))
 def feedback_boosted_per_user(t: Tables):
     asked = sims10(t).withColumn("user_id", F.pmod("query_id", F.lit(150)))
     return fb.boost(asked, t.feedback, per_user=True).select("query_id", "doc_id", "score", "rank")
@@ -113,7 +113,7 @@ def reweighted_results(t: Tables):
 @query("recommend_by_text", "REC1 UDF3")
 def recommend_by_text(t: Tables):
     """Every benchmark text asks the whole document table, with keywords and combined vectors."""
-    docs, encode = rc.text_index(t.docs.select(F.col("document_id").alias("doc_id"), "content"))
+    docs, encode = rc.text_index(t.texts.select(F.col("document_id").alias("doc_id"), "content"))
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(tx.tokens(F.col("text")), 1, 5).alias("keywords"))
     asked = rc.encode_queries(q, encode, keywords="keywords")
     return rc.recommend(asked, docs, rc.Settings(use_features=False)).select("query_id", "doc_id", "score", "rank")

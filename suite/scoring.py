@@ -72,7 +72,7 @@ def keyword_blend_weight(t: Tables):
 def text_vector_cells(t: Tables):
     from docloom.functions import text as tx
 
-    rows = ft.text_vector_rows(t.docs.select("document_id", "content"), "document_id", tx.tokens(F.col("content")), hash_name="md5")
+    rows = ft.text_vector_rows(t.texts.select("document_id", "content"), "document_id", tx.tokens(F.col("content")), hash_name="md5")
     return rows.select("document_id", "b", F.round("w", 6).alias("w"))
 
 
