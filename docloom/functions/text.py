@@ -82,8 +82,7 @@ def clean_legal_text(c: Column) -> Column:
     out = F.coalesce(c, F.lit(""))
     for pattern, replacement in steps:
         out = F.regexp_replace(out, pattern, replacement)
-    out = strip(out)
-    return F.when(is_valid_section(out), out).otherwise(F.lit(""))
+    return let(strip(out), lambda t: F.when(is_valid_section(t), t).otherwise(F.lit("")))
 
 
 def distinct_lines(c: Column) -> Column:

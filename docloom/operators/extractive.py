@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking as ck
 from ..functions import text as tx
 from ..functions.text import let
+from ..session import materialise
 from . import features as ft
 
 TOLERANCE = 0.1
@@ -17,9 +18,14 @@ SHARE_RANGE = (0.15, 0.35)
 
 
 def corpus_idf(docs: DataFrame, text: str = "content", buckets: int = ft.BUCKETS, hash_name: str = "xxhash64") -> Column:
-    """Inverse document frequencies of a corpus as one bounded array column (see features.idf_array)."""
+    """Inverse document frequencies of a corpus as one bounded array column (see features.idf_array).
+
+    Fitted once: the array (one row, 2 MB at most) is written to the shared folder, so that a job using it several
+    times scans the corpus for it a single time.
+    """
     toks = tx.tokens(F.col(text))
-    return ft.idf_array(ft.idf_table(docs, toks, buckets, hash_name), docs, buckets)
+    dense = ft.idf_array(ft.idf_table(docs, toks, buckets, hash_name), docs, buckets)
+    return materialise(dense, "idf").scalar()
 
 
 def with_idf(df: DataFrame, idf: Column) -> DataFrame:

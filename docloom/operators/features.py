@@ -121,8 +121,8 @@ def idf_table(docs: DataFrame, toks: Column, buckets: int = BUCKETS, hash_name:
     return present.groupBy("b").agg(F.count("*").alias("df")).withColumn("idf", F.ln((n + 1) / (F.col("df") + 1)))
 
 
-def idf_array(idf: DataFrame, docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """The idf table as one array indexed by bucket: a scalar subquery of bounded size (2 MB at 2^18 buckets).
+def idf_array(idf: DataFrame, docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The idf table as one row holding one array indexed by bucket, of bounded size (2 MB at 2^18 buckets).
 
     Buckets no document falls in hold ln(N + 1).
     """
@@ -132,7 +132,7 @@ def idf_array(idf: DataFrame, docs: DataFrame, buckets: int = BUCKETS) -> Column
         "b", F.coalesce("idf", F.ln(n + 1)).alias("idf")
     )
     ordered = dense.agg(F.sort_array(F.collect_list(F.struct("b", "idf"))).alias("a"))
-    return ordered.select(F.transform("a", lambda x: x["idf"]).alias("a")).scalar()
+    return ordered.select(F.transform("a", lambda x: x["idf"]).alias("a"))
 
 
 def tfidf(counts: Column, idf: Column) -> Column:

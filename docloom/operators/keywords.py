@@ -13,21 +13,16 @@ from .extractive import with_idf
 DIVERSITY, POOL = 0.7, 30
 
 
-def _weighted_tokens(toks: Column, idf: Column, buckets: int, hash_name: str) -> Column:
-    """Tokens in text order as struct<i,term,idf,w>: counted by sorting, then sorted back. n log n, inside the row."""
+def _weighted_tokens(toks: Column, counted: Column) -> Column:
+    """Tokens in text order as struct<i,idf,w,term>.
 
-    def count(o: Column) -> Column:
-        counts = tx.term_counts(F.transform(o, lambda x: x["term"]))
-        return F.flatten(F.transform(counts, lambda c: F.array_repeat(c["tf"], c["tf"])))
-
-    def join(o: Column) -> Column:
-        priced = F.zip_with(o, count(o), lambda x, tf: F.struct(
-            x["i"].alias("i"), x["term"].alias("term"), F.element_at(idf, ft.bucket(x["term"], buckets, hash_name) + 1).alias("idf"),
-            tf.alias("tf")))
-        return F.transform(priced, lambda x: F.struct(x["i"], x["term"], x["idf"], (x["tf"] * x["idf"]).alias("w")))
-
-    ordered = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("i"))))
-    return F.sort_array(let(ordered, join))
+    ``counted`` lists the distinct terms in order. Positions sorted by term line up with every count repeated tf
+    times; sorting by position brings them back into text order. n log n, inside the row.
+    """
+    by_term = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("i"))))
+    repeated = F.flatten(F.transform(counted, lambda c: F.array_repeat(c, c["tf"])))
+    return F.sort_array(F.zip_with(by_term, repeated, lambda x, c: F.struct(
+        x["i"].alias("i"), c["idf"].alias("idf"), c["w"].alias("w"), c["term"].alias("term"))))
 
 
 def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int = ft.BUCKETS,
@@ -36,14 +31,14 @@ def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int
 
     The score is the cosine between the candidate's tf-idf vector and the document's.
     """
-    toks = tx.tokens(F.col(text), min_len=2)
-    held = with_idf(docs, idf).withColumn("_tok", _weighted_tokens(toks, F.col("_idf"), buckets, hash_name)).drop("_idf")
-    single = F.transform("_tok", lambda x: F.struct(x["term"].alias("term"), x["idf"].alias("idf"), x["w"].alias("w")))
-    distinct = let(F.sort_array(single), lambda o: F.filter(
-        F.zip_with(o, F.slice(F.concat(F.array(F.lit(None).cast("struct<term:string,idf:double,w:double>")), o), 1, F.size(o)),
-                   lambda a, b: F.when(~a["term"].eqNullSafe(b["term"]), a)), lambda x: x.isNotNull()))
-    held = held.withColumn("_uni", distinct).withColumn(
-        "_len", F.sqrt(F.aggregate("_uni", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
+    held = docs.withColumn("_t", tx.tokens(F.col(text), min_len=2))
+    price = lambda idf_, c: F.element_at(idf_, ft.bucket(c["term"], buckets, hash_name) + 1)
+    counted = with_idf(held.withColumn("_c", tx.term_counts(F.col("_t"))), idf).withColumn(
+        "_v", F.transform("_c", lambda c: price(F.col("_idf"), c))).drop("_idf")
+    held = counted.withColumn("_uni", F.zip_with("_c", "_v", lambda c, v: F.struct(
+        c["term"].alias("term"), c["tf"].alias("tf"), v.alias("idf"), (c["tf"] * v).alias("w"))))
+    held = held.withColumn("_tok", _weighted_tokens(F.col("_t"), F.col("_uni")))
+    held = held.withColumn("_len", F.sqrt(F.aggregate("_uni", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
     uni = F.transform("_uni", lambda x: F.struct((-F.round(F.try_divide(x["w"], F.col("_len")), 6)).alias("neg"), x["term"].alias("term")))
     n = F.size("_tok")
     top = lambda a, b: a["idf"] * a["w"] + b["idf"] * b["w"]
@@ -55,7 +50,7 @@ def candidates(docs: DataFrame, idf: Column, text: str = "content", buckets: int
     ordered = let(F.sort_array(F.concat(uni, bi)), lambda o: F.filter(
         F.zip_with(o, F.slice(F.concat(F.array(F.lit(None).cast("struct<neg:double,term:string>")), o), 1, F.size(o)),
                    lambda a, b: F.when(~a["term"].eqNullSafe(b["term"]), a)), lambda x: x["neg"].isNotNull()))
-    return held.withColumn("_cand", ordered).drop("_tok", "_uni", "_len")
+    return held.withColumn("_cand", ordered).drop("_t", "_c", "_v", "_tok", "_uni", "_len")
 
 
 def _likeness(a: Column, b: Column) -> Column:

@@ -397,6 +397,7 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         titled,
     )
     good = F.filter(everything, lambda s: tx.is_valid_section(s["content"]) & (s["title"] != ""))
-    return held.withColumn("_sections", good).select(key, F.posexplode("_sections").alias("section_order", "s")).select(
+    # Exploded as an expression: on a named column the optimizer would add a size check that evaluates it again.
+    return held.select(key, F.posexplode(good).alias("section_order", "s")).select(
         key, "section_order", "s.title", "s.content", "s.section_type", tx.word_count(F.col("s.content")).alias("word_count")
     )

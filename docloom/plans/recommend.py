@@ -85,8 +85,8 @@ def recommend(queries: DataFrame, docs: DataFrame, s: Settings = Settings(), ski
     """
     found = candidates(queries, docs, s, skip_self)
     if not s.use_features:
-        lean = [c for c in ("date",) if c in docs.columns]
-        return rescore(found.join(docs.select("doc_id", *lean), "doc_id"), s)
+        dated = found.join(docs.select("doc_id", "date"), "doc_id") if "date" in docs.columns else found
+        return rescore(dated, s)
     return rescore(components(found, queries, docs, s), s)
 
 
