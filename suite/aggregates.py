@@ -276,7 +276,9 @@ def length_density(t: Tables):
     return ds.density(t.docs, "length_chars").select("i", F.round("density", 12).alias("density")).filter("density > 0")
 
 
-@query("length_density_peaks", "AGG34")
+@query("length_density_peaks", "AGG34", """WITH f AS (SELECT length_chars AS v, count(*) AS n FROM docs GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS n, stddev_samp(length_chars) * count(*)::DOUBLE ** -0.2 AS h, max(length_chars) / 999.0::DOUBLE AS step FROM docs),
+    g AS (SELECT i, any_value(step) AS step, sum(f.n * exp(0 - pow((i * step - v) / h, 2) / 2)) AS d FROM f, s, (SELECT unnest(range(1000))::INT AS i) GROUP BY i), w AS (SELECT *, lag(d) OVER (ORDER BY i) AS before, lead(d) OVER (ORDER BY i) AS after FROM g)
+    SELECT i, floor(i * step)::BIGINT AS length FROM w WHERE d > before AND d > after""")
 def length_density_peaks(t: Tables):
     return ds.density_peaks(t.docs, "length_chars").select("i", "length")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docloom.functions import keys as ky
 from docloom.functions import maps as mp
 from docloom.functions import text as tx
 from docloom.functions import vectors as vc
@@ -134,7 +135,13 @@ def vector_rows(t: Tables):
     return ix.build_vectors(bundles(t)).select("doc_id", "metadata.document_type", "metadata.num_keywords")
 
 
-@query("vector_features", "REC7 PRJ18 PRJ19")
+_SUBJECTS = ", ".join("CASE WHEN " + " OR ".join(f"contains(b, '{w}')" for w in ws) + f" THEN '{name}' END" for name, ws in ky.SUBJECT_TERMS.items())
+
+
+@query("vector_features", "REC7 PRJ18 PRJ19", f"""SELECT celex_number AS doc_id, 'authors=European Union;document_type=' || CASE substr(celex_number, 6, 1) WHEN 'R' THEN 'regulation' WHEN 'L' THEN 'directive' WHEN 'D' THEN 'decision' WHEN 'Q' THEN 'recommendation' ELSE 'other' END
+    || ';form=' || CASE WHEN contains(s, 'regulation') THEN 'regulation' WHEN contains(s, 'directive') THEN 'directive' WHEN contains(s, 'decision') THEN 'decision' ELSE 'legal text' END || ';subject_matters=' || CASE WHEN len(l) > 0 THEN array_to_string(l, '+') ELSE 'general' END AS features
+    FROM (SELECT celex_number, s, list_filter([{_SUBJECTS}], lambda x: x IS NOT NULL) AS l FROM (SELECT celex_number, lower(summary) AS s, lower(coalesce(kw, '') || chr(10) || summary) AS b FROM summarised
+      LEFT JOIN (SELECT document_id, string_agg(keyword, ' ' ORDER BY rn) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, keyword) AS rn FROM kws) WHERE rn <= 20 GROUP BY 1) USING (document_id) WHERE trim(coalesce(summary, '')) <> ''))""")
 def vector_features(t: Tables):
     return ix.build_vectors(bundles(t)).select("doc_id", mp.as_text(F.transform_values("features", lambda k, v: F.array_join(v, "+"))).alias("features"))
 

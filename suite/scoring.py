@@ -167,7 +167,7 @@ def weighted_dot_scores(t: Tables):
     return pair_rows(t).select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
-@query("index_scores", "SIM3", """SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+@query("index_scores", "SIM3 REC6", """SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT query_id, doc_id, round(greatest(0.0, least(1.0, 0.49::DOUBLE * list_s + 0.09::DOUBLE * (0.0225::DOUBLE * same_label + 0.0625::DOUBLE * shared) / 0.1475::DOUBLE)), 6) AS score FROM (
       SELECT q.doc_id AS query_id, d.doc_id, list_cosine_similarity(q.vector, d.vector) AS list_s, (q.label = d.label)::INT AS same_label,
         ((q.label = d.label)::INT + (q.grp = d.grp)::INT) AS shared FROM vecs q, vecs d)) WHERE score >= 0.2) WHERE rank <= 10""")
@@ -220,3 +220,16 @@ def two_stage_results(t: Tables):
     rows = pair_rows(t, 20)
     scored = rows.select("query_id", "doc_id", F.round(sc.combined(F.col("text_score"), match()), 9).alias("score"))
     return rank_results(scored, 10)
+
+
+@query("ranked_corpus_recent", "REC6 SIM9", """WITH r AS (SELECT query_id, doc_id, round(greatest(0.0, least(1.0, 0.49::DOUBLE * s + 0.09::DOUBLE * (0.0225::DOUBLE * same_label + 0.0625::DOUBLE * shared) / 0.1475::DOUBLE)), 6) AS score, date FROM (
+      SELECT q.doc_id AS query_id, d.doc_id, d.date, list_cosine_similarity(q.vector, d.vector) AS s, (q.label = d.label)::INT AS same_label, ((q.label = d.label)::INT + (q.grp = d.grp)::INT) AS shared FROM vecs q, vecs d)),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS crank FROM r) WHERE crank <= 10)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(CASE WHEN date IS NULL THEN score ELSE 0.7::DOUBLE * score
+      + 0.3::DOUBLE * CASE WHEN DATE '2020-06-30' >= date THEN 1 - sqrt(least((DATE '2020-06-30' - date)::DOUBLE, 3650) / 3650) ELSE 0.5::DOUBLE END END, 9) AS score FROM c)""")
+def ranked_corpus_recent(t: Tables):
+    from docloom.plans.recommend import Settings, rank_corpus
+
+    vocab = ft.collect_vocabulary(ft.vocabulary(feature_rows(t)))
+    s = Settings(recency_weight=0.3, recency_kind="sqrt", reference_date="2020-06-30")
+    return rank_corpus(queries_of(t), t.vecs, vocab, s).select("query_id", "doc_id", "score", "rank")

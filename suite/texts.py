@@ -40,10 +40,25 @@ def sentence_scores(t: Tables):
     return rows.select("document_id", F.col("s.i").alias("pos"), (-F.col("s.neg")).alias("score"))
 
 
-@query("picked_sentences", "TXT3")
+# The budgeted pick as list folds: state and items share one shape (words so far, positions picked, closed or not).
+_PICK_SQL = f"""WITH d AS (SELECT {_HASH} AS b, count(DISTINCT document_id) AS df FROM (SELECT document_id, unnest(toks) AS tok FROM toks) GROUP BY 1),
+    sl AS (SELECT document_id, content, {SENT_SQL.format('content')} AS s, greatest(floor(total_words * 0.3::DOUBLE), 5)::INT AS target FROM docs),
+    s AS (SELECT document_id, i - 1 AS pos, s[i] AS sent FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS i FROM sl)),
+    k AS (SELECT document_id, pos, tok, count(*) AS tf FROM (SELECT document_id, pos, unnest({tokens_sql('sent')}) AS tok FROM s) GROUP BY ALL),
+    w AS (SELECT document_id, pos, sum((tf * ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1))) ** 2) AS w FROM k JOIN d ON d.b = {_HASH} GROUP BY 1, 2),
+    l AS (SELECT s.document_id, list({{'n': {words_sql('sent')}::INT, 'got': [s.pos::INT], 'full': false}} ORDER BY round(sqrt(coalesce(w, 0)), 6) DESC, s.pos) AS l FROM s LEFT JOIN w ON w.document_id = s.document_id AND w.pos = s.pos GROUP BY 1),
+    b AS (SELECT sl.*, l, floor(target * 0.9::DOUBLE)::INT AS low, floor(target * 1.1::DOUBLE)::INT AS high FROM sl JOIN l USING (document_id)),
+    r1 AS (SELECT *, list_reduce(list_prepend({{'n': 0::INT, 'got': []::INT[], 'full': false}}, l), lambda a, x: CASE WHEN NOT a.full AND a.n + x.n <= high THEN {{'n': a.n + x.n, 'got': list_concat(a.got, x.got), 'full': a.n + x.n >= low}} ELSE a END) AS r FROM b),
+    r2 AS (SELECT *, CASE WHEN r.full AND target - r.n > target * 0.1::DOUBLE THEN list_reduce(list_prepend({{'n': r.n, 'got': r.got, 'full': false}}, l), lambda a, x: CASE WHEN NOT a.full AND NOT list_contains(a.got, x.got[1]) AND a.n + x.n <= high
+      THEN {{'n': a.n + x.n, 'got': list_concat(a.got, x.got), 'full': true}} ELSE a END).got ELSE r.got END AS got FROM r1),
+    e AS (SELECT document_id, array_to_string(list_filter(s, lambda v, i: list_contains(got, (i - 1)::INT)), ' ') AS extract FROM r2 UNION ALL SELECT document_id, content FROM sl WHERE len(s) = 0)
+    SELECT document_id, {words_sql('extract')}::INT AS words, md5(extract) AS extract_md5 FROM e"""
+
+
+@query("picked_sentences", "TXT3", _PICK_SQL)
 def picked_sentences(t: Tables):
     target = F.greatest(F.floor(F.col("total_words") * 0.3), F.lit(5)).cast("int")
-    out = ex.extract(t.texts.select("document_id", "content", "total_words"), "content", target, ex.corpus_idf(t.texts))
+    out = ex.extract(t.texts.select("document_id", "content", "total_words"), "content", target, ex.corpus_idf(t.texts, hash_name="md5"), hash_name="md5")
     return out.select("document_id", tx.word_count(F.col("extract")).alias("words"), F.md5("extract").alias("extract_md5"))
 
 
