@@ -173,11 +173,11 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def term_counts(toks: Column) -> Column:
-    """array<struct<term,tf>> of a token array: sort once, mark where runs start, read off run lengths (no shuffle)."""
+def term_counts(toks: Column, kind: str = "string") -> Column:
+    """array<struct<term,tf>> of an array: sort once, mark where runs start, read off run lengths (no shuffle)."""
 
     def runs(o: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("string")), o)
+        before = F.concat(F.array(F.lit(None).cast(kind)), o)
         marks = F.zip_with(o, F.slice(before, 1, F.size(o)), lambda cur, prev: ~cur.eqNullSafe(prev))
         flagged = F.transform(marks, lambda new, i: F.when(new, i + 1))
         return let(F.array_compact(flagged), lambda starts: spans(o, starts))
@@ -188,5 +188,5 @@ def term_counts(toks: Column) -> Column:
             starts, ends, lambda a, b: F.struct(F.element_at(o, a).alias("term"), (b - a).alias("tf"))
         )
 
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    empty = F.array().cast(f"array<struct<term:{kind},tf:int>>")
     return let(F.sort_array(toks), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(empty))

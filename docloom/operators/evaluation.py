@@ -36,14 +36,39 @@ def ideal_gains(judgements: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 def query_metrics(results: DataFrame, judgements: DataFrame, ks: Sequence[int] = K_VALUES,
                   groups: Sequence[str] = ()) -> DataFrame:
-    """All metrics at all k in one pass over the ranked rows: one row per query (and group, e.g. configuration).
+    """All metrics at all k per query (and group, e.g. configuration), from judgement rows (query_id, doc_id, rel)."""
+    return metrics_of(judged(results, judgements), ideal_gains(judgements, ks), ks, groups)
+
+
+def class_metrics(results: DataFrame, classes: DataFrame, ks: Sequence[int] = K_VALUES,
+                  groups: Sequence[str] = ()) -> DataFrame:
+    """The same metrics where documents are relevant to a query document of their own class (doc_id, label).
+
+    Judgements would be all pairs inside a class, so they are never written out: a result is judged by comparing two
+    labels, and the ideal follows from the class size.
+    """
+    own = classes.select(F.col("doc_id").alias("query_id"), F.col("label").alias("_q"))
+    rows = results.join(own, "query_id").join(classes.select("doc_id", F.col("label").alias("_d")), "doc_id")
+    rows = rows.withColumn("rel", (F.col("_q") == F.col("_d")).cast("double")).drop("_d", "_q")
+    sizes = classes.groupBy(F.col("label").alias("_q")).agg((F.count("*") - 1).alias("relevant"))
+
+    def ideal(k: int) -> Column:
+        places = F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int"))
+        return F.when(F.col("relevant") > 0, F.aggregate(places, F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1.0)))
+
+    perfect = own.join(sizes, "_q").select("query_id", "relevant", *(ideal(k).alias(f"ideal_{k}") for k in ks))
+    return metrics_of(rows, perfect, ks, groups)
+
+
+def metrics_of(rows: DataFrame, ideal: DataFrame, ks: Sequence[int] = K_VALUES, groups: Sequence[str] = ()) -> DataFrame:
+    """All metrics at all k in one pass over judged, ranked rows.
 
     precision divides by the number returned up to k; recall by the relevant; NDCG by the ideal gain; MAP by
     min(relevant, k). Queries without judgements give 0.
     """
     keys = [*groups, "query_id"]
     hit = (F.col("rel") > 0).cast("int")
-    rows = judged(results, judgements).withColumn(
+    rows = rows.withColumn(
         "hits", F.sum(hit).over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     )
     aggs = []
@@ -55,7 +80,7 @@ def query_metrics(results: DataFrame, judgements: DataFrame, ks: Sequence[int] =
             F.sum(F.when(inside, F.col("rel") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"gain_{k}"),
             F.sum(F.when(inside & (F.col("rel") > 0), F.col("hits") / F.col("rank")).otherwise(0.0)).alias(f"ap_{k}"),
         ]
-    per_query = rows.groupBy(*keys).agg(*aggs).join(ideal_gains(judgements, ks), "query_id", "left")
+    per_query = rows.groupBy(*keys).agg(*aggs).join(ideal, "query_id", "left")
 
     def over(top: str, bottom: Column) -> Column:
         return F.round(F.coalesce(F.try_divide(F.col(top).cast("double"), bottom.cast("double")), F.lit(0.0)), 6)

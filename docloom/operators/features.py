@@ -110,8 +110,9 @@ def bucket(term: Column, buckets: int = BUCKETS, hash_name: str = "xxhash64") ->
 
 
 def hashed_counts(toks: Column, buckets: int = BUCKETS, hash_name: str = "xxhash64") -> Column:
-    """array<struct<b,tf>> of a token array: distinct terms counted in the row, then mapped to buckets."""
-    return F.transform(tx.term_counts(toks), lambda t: F.struct(bucket(t["term"], buckets, hash_name).alias("b"), t["tf"].alias("tf")))
+    """array<struct<b,tf>> of a token array: tokens to buckets, then counted in the row."""
+    hashed = F.transform(toks, lambda t: bucket(t, buckets, hash_name))
+    return F.transform(tx.term_counts(hashed, "int"), lambda t: F.struct(t["term"].alias("b"), t["tf"].alias("tf")))
 
 
 def idf_table(docs: DataFrame, toks: Column, buckets: int = BUCKETS, hash_name: str = "xxhash64") -> DataFrame:
@@ -136,18 +137,20 @@ def idf_array(idf: DataFrame, docs: DataFrame, buckets: int = BUCKETS) -> DataFr
 
 
 def tfidf(counts: Column, idf: Column) -> Column:
-    """array<struct<b,w>>: term frequency times idf, equal buckets summed by the later dot product."""
+    """array<struct<b,w>>: term frequency times idf."""
     return F.transform(counts, lambda c: F.struct(c["b"].alias("b"), (c["tf"] * F.element_at(idf, c["b"] + 1)).alias("w")))
 
 
-def text_vector_rows(docs: DataFrame, key: str, toks: Column, buckets: int = BUCKETS, hash_name: str = "xxhash64") -> DataFrame:
-    """Unit-length sparse text vectors as rows (key, bucket, weight)."""
-    idf = idf_table(docs, toks, buckets, hash_name)
-    rows = docs.select(key, F.explode(hashed_counts(toks, buckets, hash_name)).alias("c")).select(key, "c.b", "c.tf")
-    summed = rows.groupBy(key, "b").agg(F.sum("tf").alias("tf"))
-    weighted = summed.join(idf.select("b", "idf"), "b").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "b", F.coalesce(F.try_divide("w", length), F.lit(0.0)).alias("w"))
+def text_vector_rows(docs: DataFrame, key: str, toks: Column, idf: Column, buckets: int = BUCKETS,
+                     hash_name: str = "xxhash64") -> DataFrame:
+    """Unit-length sparse text vectors as rows (key, b, w). A vector is made inside its row: no shuffle.
+
+    ``idf``: the bounded array column of extractive.corpus_idf.
+    """
+    held = docs.withColumn("_idf", idf).withColumn("_w", tfidf(hashed_counts(toks, buckets, hash_name), F.col("_idf"))).drop("_idf")
+    length = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    rows = held.withColumn("_len", length).select(key, F.explode(F.transform("_w", lambda x: x)).alias("x"), "_len")
+    return rows.select(key, "x.b", F.coalesce(F.try_divide(F.col("x.w"), F.col("_len")), F.lit(0.0)).alias("w"))
 
 
 def text_encoder(docs: DataFrame, tokens_col: str, dim: int = 256):

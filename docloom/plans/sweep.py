@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +51,14 @@ def apply_weights(components: DataFrame, configs: Sequence[Mapping[str, float]],
     return rank_results(scored, top_k, group=("config", "query_id"))
 
 
-def grid_search(components: DataFrame, judgements: DataFrame, configs: Sequence[Mapping[str, float]], ks=(5, 10), top_k: int = 10) -> DataFrame:
-    """Mean metrics per configuration: one row each, with its weights."""
-    ranked = apply_weights(components, configs, top_k)
-    means = ev.mean_metrics(ev.query_metrics(ranked, judgements, ks, ["config"]), ["config"])
+def grid_search(components: DataFrame, measure: Callable[[DataFrame], DataFrame], configs: Sequence[Mapping[str, float]],
+                top_k: int = 10) -> DataFrame:
+    """Mean metrics per configuration: one row each, with its weights.
+
+    ``measure`` turns ranked rows (config, query_id, doc_id, rank) into metrics per config and query, e.g.
+    ``lambda r: query_metrics(r, judgements, (5, 10), ["config"])``.
+    """
+    means = ev.mean_metrics(measure(apply_weights(components, configs, top_k)), ["config"])
     pick = lambda key: F.element_at(F.array(*(F.lit(float(c[key])) for c in configs)), F.col("config") + 1)
     return means.withColumns({"text_weight": pick("text"), "category_weight": pick("category")})
 

@@ -99,13 +99,6 @@ class Tables:
             F.when(F.pmod(i, F.lit(13)) != 0, F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(i * 7, F.lit(3650)).cast("int"))).alias("date"),
         )
 
-    @cached_property
-    def judgements(self) -> DataFrame:
-        """Documents of the same label are relevant to each other: held per label, joined where needed."""
-        v = self.vecs.select("doc_id", "label")
-        return v.select(F.col("doc_id").alias("query_id"), "label").join(v, "label").filter(F.col("query_id") != F.col("doc_id")).select(
-            "query_id", "doc_id", F.lit(1.0).alias("rel"))
-
     @cached_property
     def history(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "purchase")

@@ -19,6 +19,20 @@ def components(t: Tables):
     return rc_components(rc_candidates(q, t.vecs, s, skip_self=True), q, t.vecs, s)
 
 
+def by_label(t: Tables):
+    """Metrics of swept rankings; documents of the same label are relevant to each other."""
+    return lambda ranked: ev.class_metrics(ranked, t.vecs, (5, 10), ["config"])
+
+
+def graded(t: Tables):
+    """Graded judgements: the ten documents nearest by category mostly, graded 1 to 3 by id."""
+    top = sw.apply_weights(components(t), [{"text": 0.1, "category": 0.9}])
+    return top.select("query_id", "doc_id", (F.pmod("doc_id", F.lit(3)) + 1).cast("double").alias("rel"))
+
+
+GRADED_SQL = """(SELECT query_id, doc_id, (1 + doc_id % 3)::DOUBLE AS rel FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.1::DOUBLE * text_score + 0.9::DOUBLE * category_score, 9) DESC, doc_id) AS r FROM comps) WHERE r <= 10)"""
+
+
 def _metrics_sql(source: str, ks, group: str = "") -> str:
     """Metrics of ranked rows (query_id, doc_id, rank[, config]) in source."""
     g = f"{group}, " if group else ""
@@ -39,7 +53,7 @@ def _metric(name: str, covers: str, metric: str):
 
     @query(name, covers, f"SELECT query_id, {', '.join(cols)} FROM {_metrics_sql('top10', (5, 10))}")
     def run(t: Tables):
-        return ev.query_metrics(sims10(t), t.judgements, (5, 10)).select("query_id", *cols)
+        return ev.class_metrics(sims10(t), t.vecs, (5, 10)).select("query_id", *cols)
 
 
 _metric("precision_at_k", "EVL1", "precision")
@@ -50,15 +64,14 @@ _metric("map_at_k", "EVL4", "map")
 
 @query("mean_metrics", "EVL6", "SELECT " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (5, 10, 20) for m in ev.METRICS) + f" FROM {_metrics_sql('top10', (5, 10, 20))}")
 def mean_metrics(t: Tables):
-    return ev.mean_metrics(ev.query_metrics(sims10(t), t.judgements))
+    return ev.mean_metrics(ev.class_metrics(sims10(t), t.vecs))
 
 
-@query("graded_ndcg", "EVL3", """WITH g AS (SELECT query_id, doc_id, (1 + doc_id % 3)::DOUBLE AS rel FROM judgements), i AS (SELECT query_id, sum(rel / log2(pos + 1)) AS ideal FROM
+@query("graded_ndcg", "EVL3", f"""WITH g AS {GRADED_SQL}, i AS (SELECT query_id, sum(rel / log2(pos + 1)) AS ideal FROM
       (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS pos FROM g) WHERE pos <= 10 GROUP BY 1)
     SELECT query_id, round(sum(coalesce(rel, 0) / log2(rank + 1)) / any_value(ideal), 6) AS ndcg_10 FROM top10 LEFT JOIN g USING (query_id, doc_id) JOIN i USING (query_id) GROUP BY 1""")
 def graded_ndcg(t: Tables):
-    graded = t.judgements.withColumn("rel", (F.pmod("doc_id", F.lit(3)) + 1).cast("double"))
-    return ev.query_metrics(sims10(t), graded, (10,)).select("query_id", "ndcg_10")
+    return ev.query_metrics(sims10(t), graded(t), (10,)).select("query_id", "ndcg_10")
 
 
 _PAIR_SQL = """(SELECT a.query_id, avg(list_cosine_similarity(x.vector, y.vector)) AS c FROM top10 a JOIN top10 b ON a.query_id = b.query_id AND a.rank < b.rank JOIN vecs x ON x.doc_id = a.doc_id JOIN vecs y ON y.doc_id = b.doc_id WHERE b.rank <= {k} GROUP BY 1)"""
@@ -122,17 +135,17 @@ def _search_sql(configs) -> str:
 
 @query("grid_search", "EVL10 EVL11", f"SELECT * FROM {_search_sql(GRID)}")
 def grid_search(t: Tables):
-    return sw.grid_search(components(t), t.judgements, GRID)
+    return sw.grid_search(components(t), by_label(t), GRID)
 
 
 @query("best_configurations", "TOP6", f"SELECT * FROM {_search_sql(GRID)} ORDER BY ndcg_10 DESC, config LIMIT 3")
 def best_configurations(t: Tables):
-    return sw.best(sw.grid_search(components(t), t.judgements, GRID), n=3)
+    return sw.best(sw.grid_search(components(t), by_label(t), GRID), n=3)
 
 
 @query("simplex_search", "EVL12", f"SELECT * FROM {_search_sql(SIMPLEX)}")
 def simplex_search(t: Tables):
-    return sw.grid_search(components(t), t.judgements, SIMPLEX)
+    return sw.grid_search(components(t), by_label(t), SIMPLEX)
 
 
 @query("configurations_side_by_side", "EVL15", f"SELECT query_id, config, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS top_ids FROM {_ranked_sql(SIMPLEX)} WHERE rank <= 5 GROUP BY 1, 2")
@@ -163,7 +176,7 @@ def mode_sweep(t: Tables):
 @query("sweep_summary", "EVL14", f"""WITH s AS (SELECT config, query_id % 7 AS client, avg(ndcg_10) AS score FROM {_metrics_sql(_ranked_sql(SIMPLEX), (5, 10), 'config')} GROUP BY 1, 2)
     SELECT config, round(max(score), 6) AS best_score, round(avg(score), 6) AS avg_score, count(*) FILTER (score > 0) AS non_zero, count(*) AS n FROM s GROUP BY 1""")
 def sweep_summary(t: Tables):
-    per_query = ev.query_metrics(sw.apply_weights(components(t), SIMPLEX), t.judgements, (5, 10), ["config"])
+    per_query = by_label(t)(sw.apply_weights(components(t), SIMPLEX))
     flat = per_query.groupBy("config", F.pmod("query_id", F.lit(7)).alias("client")).agg(F.avg("ndcg_10").alias("score"))
     return sw.sweep_summary(flat).withColumn("best_score", F.round("best_score", 6))
 

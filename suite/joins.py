@@ -9,7 +9,9 @@ from docloom.operators import results as rs
 from docloom.functions import text as tx
 
 from .base import Tables, query
+from .evaluation import GRADED_SQL, graded
 from .projections import TIER_SQL
+from .scoring import sims10
 
 
 @query("documents_with_lookups", "JN1", """SELECT o_orderkey AS document_id, c_mktsegment AS form_name, n_name AS body_name FROM orders
@@ -83,8 +85,6 @@ def titles_by_key(t: Tables):
 
 @query("result_publication_dates", "JN10", """SELECT query_id, doc_id, rank, CAST(date_of_document AS VARCHAR) AS published FROM top10 LEFT JOIN (SELECT document_id AS doc_id, date_of_document FROM docs) d USING (doc_id)""")
 def result_publication_dates(t: Tables):
-    from .scoring import sims10
-
     return cp.with_dates(sims10(t), t.docs).select("query_id", "doc_id", "rank", F.col("date_of_document").cast("string").alias("published"))
 
 
@@ -111,19 +111,15 @@ def outlier_details(t: Tables):
     return cp.outlier_details(t.docs, out).select("document_id", "celex_number", "form", "total_words")
 
 
-@query("results_with_judgements", "JN15", """SELECT query_id, doc_id, rank, coalesce(rel, 0.0::DOUBLE) AS rel FROM top10 LEFT JOIN judgements USING (query_id, doc_id)""")
+@query("results_with_judgements", "JN15", f"""SELECT query_id, doc_id, rank, coalesce(rel, 0.0::DOUBLE) AS rel FROM top10 LEFT JOIN {GRADED_SQL} g USING (query_id, doc_id)""")
 def results_with_judgements(t: Tables):
     from docloom.operators.evaluation import judged
 
-    from .scoring import sims10
-
-    return judged(sims10(t), t.judgements).select("query_id", "doc_id", "rank", "rel")
+    return judged(sims10(t), graded(t)).select("query_id", "doc_id", "rank", "rel")
 
 
 @query("results_with_ratings", "JN16", """SELECT query_id, doc_id, score, round(avg_rating, 6) AS avg_rating FROM top10 LEFT JOIN (SELECT document_id AS doc_id, avg(rating) AS avg_rating FROM feedback GROUP BY 1) r USING (doc_id)""")
 def results_with_ratings(t: Tables):
-    from .scoring import sims10
-
     rated = t.feedback.groupBy(F.col("document_id").alias("doc_id")).agg(F.round(F.avg("rating"), 6).alias("avg_rating"))
     return sims10(t).join(rated, "doc_id", "left").select("query_id", "doc_id", "score", "avg_rating")
 

@@ -71,8 +71,10 @@ def keyword_blend_weight(t: Tables):
     SELECT document_id, b, round(w / sqrt(sum(w * w) OVER (PARTITION BY document_id)), 6) AS w FROM w""")
 def text_vector_cells(t: Tables):
     from docloom.functions import text as tx
+    from docloom.operators.extractive import corpus_idf
 
-    rows = ft.text_vector_rows(t.texts.select("document_id", "content"), "document_id", tx.tokens(F.col("content")), hash_name="md5")
+    idf = corpus_idf(t.texts, hash_name="md5")
+    rows = ft.text_vector_rows(t.texts.select("document_id", "content"), "document_id", tx.tokens(F.col("content")), idf, hash_name="md5")
     return rows.select("document_id", "b", F.round("w", 6).alias("w"))
 
 

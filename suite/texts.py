@@ -30,8 +30,8 @@ _HASH = "('0x' || substr(md5(tok), 1, 7))::BIGINT % 262144"
 
 @query("sentence_scores", "TXT2", f"""WITH d AS (SELECT {_HASH} AS b, count(DISTINCT document_id) AS df FROM (SELECT document_id, unnest(toks) AS tok FROM toks) GROUP BY 1),
     s AS (SELECT document_id, i - 1 AS pos, s[i] AS sent FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT document_id, {SENT_SQL.format('content')} AS s FROM docs))),
-    k AS (SELECT document_id, pos, tok, count(*) AS tf FROM (SELECT document_id, pos, unnest({tokens_sql('sent')}) AS tok FROM s) GROUP BY ALL),
-    w AS (SELECT document_id, pos, sum((tf * ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1))) ** 2) AS w FROM k JOIN d ON d.b = {_HASH} GROUP BY 1, 2)
+    k AS (SELECT document_id, pos, {_HASH} AS kb, count(*) AS tf FROM (SELECT document_id, pos, unnest({tokens_sql('sent')}) AS tok FROM s) GROUP BY ALL),
+    w AS (SELECT document_id, pos, sum((tf * ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1))) ** 2) AS w FROM k JOIN d ON d.b = kb GROUP BY 1, 2)
     SELECT s.document_id, s.pos::INT AS pos, round(sqrt(coalesce(w, 0)), 6) AS score FROM s LEFT JOIN w ON w.document_id = s.document_id AND w.pos = s.pos""")
 def sentence_scores(t: Tables):
     idf = ex.corpus_idf(t.texts, hash_name="md5")
@@ -44,8 +44,8 @@ def sentence_scores(t: Tables):
 _PICK_SQL = f"""WITH d AS (SELECT {_HASH} AS b, count(DISTINCT document_id) AS df FROM (SELECT document_id, unnest(toks) AS tok FROM toks) GROUP BY 1),
     sl AS (SELECT document_id, content, {SENT_SQL.format('content')} AS s, greatest(floor(total_words * 0.3::DOUBLE), 5)::INT AS target FROM docs),
     s AS (SELECT document_id, i - 1 AS pos, s[i] AS sent FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS i FROM sl)),
-    k AS (SELECT document_id, pos, tok, count(*) AS tf FROM (SELECT document_id, pos, unnest({tokens_sql('sent')}) AS tok FROM s) GROUP BY ALL),
-    w AS (SELECT document_id, pos, sum((tf * ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1))) ** 2) AS w FROM k JOIN d ON d.b = {_HASH} GROUP BY 1, 2),
+    k AS (SELECT document_id, pos, {_HASH} AS kb, count(*) AS tf FROM (SELECT document_id, pos, unnest({tokens_sql('sent')}) AS tok FROM s) GROUP BY ALL),
+    w AS (SELECT document_id, pos, sum((tf * ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1))) ** 2) AS w FROM k JOIN d ON d.b = kb GROUP BY 1, 2),
     l AS (SELECT s.document_id, list({{'n': {words_sql('sent')}::INT, 'got': [s.pos::INT], 'full': false}} ORDER BY round(sqrt(coalesce(w, 0)), 6) DESC, s.pos) AS l FROM s LEFT JOIN w ON w.document_id = s.document_id AND w.pos = s.pos GROUP BY 1),
     b AS (SELECT sl.*, l, floor(target * 0.9::DOUBLE)::INT AS low, floor(target * 1.1::DOUBLE)::INT AS high FROM sl JOIN l USING (document_id)),
     r1 AS (SELECT *, list_reduce(list_prepend({{'n': 0::INT, 'got': []::INT[], 'full': false}}, l), lambda a, x: CASE WHEN NOT a.full AND a.n + x.n <= high THEN {{'n': a.n + x.n, 'got': list_concat(a.got, x.got), 'full': a.n + x.n >= low}} ELSE a END) AS r FROM b),

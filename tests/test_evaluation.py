@@ -78,3 +78,16 @@ def test_industry(spark):
     results = spark.createDataFrame([("pharma_01", 1), ("pharma_02", 1), ("waste_01", 2)], "query_id string, doc_id int")
     got = {r.industry: (r.clients, r.unique_documents) for r in ev.industry_coverage(results, ky.industry(F.col("query_id"))).collect()}
     assert got == {"pharma": (2, 1), "waste": (1, 1)}
+
+
+def test_class_metrics_equal_written_out_judgements(spark):
+    rng = np.random.default_rng(9)
+    labels = {i: int(rng.integers(0, 3)) for i in range(20)}
+    labels[20] = 99                                    # alone in its class: nothing is relevant
+    classes = spark.createDataFrame(list(labels.items()), "doc_id int, label int")
+    rel = spark.createDataFrame([(a, b, 1.0) for a in labels for b in labels if a != b and labels[a] == labels[b]], "query_id int, doc_id int, rel double")
+    rows = [(q, int(d), r) for q in labels for r, d in enumerate(rng.permutation([x for x in labels if x != q])[:10], 1)]
+    results = spark.createDataFrame(rows, "query_id int, doc_id int, rank int")
+    a = sorted(map(tuple, ev.query_metrics(results, rel, (5, 10)).collect()))
+    b = sorted(map(tuple, ev.class_metrics(results, classes, (5, 10)).collect()))
+    assert a == b
