@@ -11,9 +11,6 @@ from docloom.operators.ranking import rank_results
 
 from .base import Tables, query
 
-SELF = ("query_id", "vector")
-
-
 def queries_of(t: Tables):
     return t.vecs.withColumnRenamed("doc_id", "query_id")
 

@@ -206,14 +206,6 @@ def replaced_summaries(t: Tables):
     return sm.replace_summaries(docs, new).select("document_id", "summary_word_count", "compression_ratio")
 
 
-def _rouge_sql(n: int) -> str:
-    if n == 1:
-        grams = lambda c: rf"list_distinct(regexp_extract_all({c}, '\S+'))"
-    else:
-        grams = lambda c: rf"list_distinct(list_transform(range(1, greatest(len(regexp_extract_all({c}, '\S+')), 1)), lambda i: regexp_extract_all({c}, '\S+')[i] || ' ' || regexp_extract_all({c}, '\S+')[i + 1]))"
-    return f"(SELECT document_id, round(coalesce(2.0::DOUBLE * len(list_intersect(a, b)) / nullif(len(a) + len(b), 0), 0), 6) AS rouge_{n} FROM (SELECT document_id, {grams('summary')} AS a, {grams('content')} AS b FROM summarised WHERE summary IS NOT NULL))"
-
-
 @query("rouge_scores", "TXT20", r"""WITH w AS (SELECT document_id, regexp_extract_all(summary, '\S+') AS a, regexp_extract_all(content, '\S+') AS b FROM summarised WHERE summary IS NOT NULL),
     g AS (SELECT document_id, list_distinct(a) AS a1, list_distinct(b) AS b1, list_distinct(list_transform(list_zip(a[1:-2], a[2:]), lambda p: p[1] || ' ' || p[2])) AS a2, list_distinct(list_transform(list_zip(b[1:-2], b[2:]), lambda p: p[1] || ' ' || p[2])) AS b2 FROM w)
     SELECT document_id, round(coalesce(2.0::DOUBLE * len(list_intersect(a1, b1)) / nullif(len(a1) + len(b1), 0), 0), 6) AS rouge_1, round(coalesce(2.0::DOUBLE * len(list_intersect(a2, b2)) / nullif(len(a2) + len(b2), 0), 0), 6) AS rouge_2 FROM g""")
