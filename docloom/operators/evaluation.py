@@ -211,4 +211,6 @@ def mean_list_jaccard(results: DataFrame, block_rows: int = 1024) -> DataFrame:
         return pa.table({"total": [float(total)], "pairs": [float(pairs)]})
 
     parts = rows.groupBy("a", "b").cogroup(cols.groupBy("a", "b")).applyInArrow(block, "total double, pairs double")
+    # The filter names both columns, so that no plan (e.g. a bare count) prunes what the block function reads.
+    parts = parts.filter((F.col("pairs") >= 0) & (F.col("total") >= 0))
     return parts.agg(F.round(F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0)), 6).alias("average_overlap"))
