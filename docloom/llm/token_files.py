@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         for batch in batches:
             for part in spans.slices(batch, "text"):
                 if writer is None:
-                    encoder, out = ChunkEncoder(tokenizer), store.open_output_stream(f"{base}/{name}")
+                    encoder, out = ChunkEncoder(tokenizer), store.open_output_stream(f"{base}/{name}", compression=None)
                     writer = FrameWriter(out, width, level)
                 ids, bounds = encoder.encode(part.column("text"))
                 for d, a, b in zip(part.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
