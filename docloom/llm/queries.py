@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, ngram_join, token_files
+from docloom.llm import boilerplate, decontaminate, ngram_join, packing, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,63 @@ c AS (SELECT doc_id, min(x) AS c FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that more than 3 % of their source's documents (and 5 or more) share."""
+    return boilerplate.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+SQL["op2_line_dedup"] = r"""
+WITH l AS (
+  SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
+t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+bad AS (
+  SELECT k.source, key FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE key <> ''
+  GROUP BY k.source, key, pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.03::DOUBLE * pages),
+m AS (SELECT k.*, bad.key IS NOT NULL AS gone FROM k LEFT JOIN bad ON k.key = bad.key AND k.source IS NOT DISTINCT FROM bad.source),
+g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN kept END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of up to 2,048 words in eight buckets of least padding, batches of 65,536 words."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_packing"] = r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, CASE WHEN length(trim(text, x)) > 0 THEN len(regexp_split_to_array(trim(text, x), '[\t\n\x0B\f\r ]+')) ELSE 0 END AS n
+  FROM (SELECT *, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS x FROM documents)),
+p AS (
+  SELECT doc_id, piece, piece * 2048 AS start, least(2048, n - piece * 2048) AS n_tokens
+  FROM (SELECT doc_id, n, unnest(range(0, greatest(1, CAST(ceil(n / 2048) AS BIGINT)))) AS piece FROM s)),
+h AS (
+  SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS size, sum(c) OVER (ORDER BY n_tokens) AS total
+  FROM (SELECT n_tokens, count(*) AS c FROM p WHERE n_tokens > 0 GROUP BY n_tokens)),
+dp(k, j, total, best) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)]
+  UNION ALL
+  SELECT k + 1, h.j, CAST(h.total AS BIGINT), min(list_concat([CAST(best[1] + h.size * (h.total - dp.total) AS BIGINT), dp.j], best[2:]))
+  FROM dp JOIN h ON h.j > dp.j WHERE k < 8 GROUP BY k, h.j, h.total),
+o AS (SELECT best, j FROM dp WHERE k = least(8, (SELECT count(*) FROM h)) AND j = (SELECT max(j) FROM h)),
+b AS (SELECT size AS bucket FROM h WHERE j IN (SELECT unnest(list_concat([j], best[2:])) FROM o)),
+f AS (SELECT p.*, (SELECT min(bucket) FROM b WHERE bucket >= n_tokens) AS bucket FROM p WHERE n_tokens > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, piece) - 1 AS nth, 65536 // bucket AS room FROM f)
+SELECT doc_id, piece, start, n_tokens, bucket, nth // room AS batch, nth % room AS slot FROM r
+UNION ALL SELECT doc_id, piece, start, n_tokens, NULL, NULL, NULL FROM p WHERE n_tokens = 0
+"""
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match pieces of every document."""
+    import public_tokenizers
+
+    pieces = token_counts.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
