@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import boilerplate, decontaminate, ngram_join, packing, token_counts, token_files
+from docloom.llm import boilerplate, decontaminate, language_id, ngram_join, packing, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,3 +140,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = token_counts.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 1 of 3 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(3, 1)
+    found = language_id.predict(docs, language_id.fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
