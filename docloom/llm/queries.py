@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import boilerplate, decontaminate, language_id, ngram_join, packing, token_counts, token_files
+from docloom.llm import boilerplate, decontaminate, language_id, ngram_join, packing, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,3 +150,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language_id.held_out(3, 1)
     found = language_id.predict(docs, language_id.fit(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fold 2 of 4 is held out."""
+    held = language_id.held_out(4, 2)
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
