@@ -33,8 +33,9 @@ from docloom.llm.shared import written
 
 CELLS = 1 << 20  # of the count table: 8 MB as a broadcast, whatever the corpus
 SLICES = 256
+ID_CELLS = 1 << 22  # of the broadcast filter of documents to verify; a full filter only lets more rows pass
 RANGES = 16
-BLOCK = 512  # members verified against one pivot in one group
+BLOCK = 128  # members verified against one pivot in one group
 HOT = 4096  # cells that count more than this (and eight times the mean) have their shingles' groups salted
 _WORD = spans.byte_class(bytes(c for c in range(128) if c != 32 and not 9 <= c <= 13), high=True)
 
@@ -132,31 +133,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
     wanted = dealt.select("a", "block", F.col("b").alias("id"), F.lit(1).alias("role")).union(
         dealt.select("a", "block", F.col("a").alias("id"), F.lit(0).alias("role")).distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    cell = F.pmod(F.xxhash64("id"), F.lit(ID_CELLS))
+    used = np.zeros(ID_CELLS, bool)
+    used[wanted.select(cell.cast("int").alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(used))  # 512 KB
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(held[batch.column("cell").to_numpy()]))
+            for part in spans.slices(batch, "text"):
+                packed = [s.tobytes() for s in shingle_sets(part.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "shingles"])
+
+    whole = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("cell", cell).mapInArrow(sets, "id bigint, shingles binary")
+    dealt_sets = whole.join(wanted.hint("merge"), "id")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pivots = None, []
         for batch in batches:
             links = set()
-            for part in spans.slices(batch, "text"):
-                keys = zip(*(part.column(c).to_pylist() for c in ("a", "block", "id", "role")), strict=True)
-                for (a, block, b, role), s in zip(keys, shingle_sets(part.column("text"), k), strict=True):
-                    if role == 0:
-                        pivots = [*pivots, s] if held == (a, block) else [s]
-                        held = (a, block)
+            for a, block, b, role, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "id", "role", "shingles")), strict=True):
+                s = np.frombuffer(packed, np.uint64)
+                if role == 0:
+                    pivots = [*pivots, s] if held == (a, block) else [s]
+                    held = (a, block)
+                    continue
+                for p in pivots:
+                    if not len(p) or not len(s):
                         continue
-                    for p in pivots:
-                        if not len(p) or not len(s):
-                            continue
-                        at = np.minimum(np.searchsorted(p, s), len(p) - 1)
-                        common = int((p[at] == s).sum())
-                        if 100 * common >= percent * (len(p) + len(s) - common):
-                            links.add((a, b))
+                    at = np.minimum(np.searchsorted(p, s), len(p) - 1)
+                    common = int((p[at] == s).sum())
+                    if 100 * common >= percent * (len(p) + len(s) - common):
+                        links.add((a, b))
             if links:
                 u, v = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return texts.select("a", "block", "role", "id", "text").repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(step, "u bigint, v bigint")
+    return dealt_sets.select("a", "block", "role", "id", "shingles").repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(step, "u bigint, v bigint")
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -179,7 +193,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = named.select("rep").distinct()
     sizes = full.groupBy("doc_id", "d1", "d2").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
 
-    kept = _prefixes(docs, k, percent, table, limit).join(reps, F.col("id") == F.col("rep"), "left_semi")
+    kept = _prefixes(docs, k, percent, table, limit).join(reps.hint("merge"), F.col("id") == F.col("rep"), "left_semi")
     many = F.coalesce(F.try_element_at("salts", F.col("pos") + 1), F.lit(1))
     entries = (kept.select("id", "n", "salts", F.posexplode("prefix").alias("pos", "h"))
                .select("h", "id", "n", "pos", many.alias("many"), F.pmod(F.xxhash64("id"), many).alias("salt")))
