@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import boilerplate, decontaminate, language_id, ngram_join, packing, token_counts, token_files, toxicity
+from docloom.llm import (
+    boilerplate,
+    decontaminate,
+    language_id,
+    neighbours,
+    ngram_join,
+    packing,
+    token_counts,
+    token_files,
+    toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +169,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = language_id.held_out(4, 2)
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
     return found.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL. A page is labelled bad if the labels of its id say low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
