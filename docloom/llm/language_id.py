@@ -45,6 +45,23 @@ def word_posteriors(model: crf.Model, column: pa.Array) -> tuple[np.ndarray, np.
     return p, words.first
 
 
+def judge_texts(model: crf.Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and shares of each text of a batch."""
+    n = len(column)
+    if model is None:
+        return [UNKNOWN] * n, np.zeros(n), np.zeros((n, 0))
+    p, first = word_posteriors(model, column)
+    total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+    shares = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
+    letters = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(column, "[A-Za-z]"), False)).copy()
+    for i in np.flatnonzero(~letters):
+        letters[i] = any(c.isalpha() for c in column[i].as_py() or "")
+    shares[~letters] = 0
+    best = shares.argmax(axis=1)
+    names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+    return names, np.clip(shares[np.arange(n), best], 0, 1), shares
+
+
 def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score (0 to 1), shares (of each learned language), a row for each input row.
 
@@ -55,23 +72,23 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: fixed buckets, and the sample's lexicon
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
         for batch in batches:
             for part in spans.slices(batch, "text"):
-                column, n = part.column("text"), len(part)
-                names, best, score, shares = [UNKNOWN] * n, np.zeros(n, np.int64), np.zeros(n), np.zeros((n, 0))
-                if held is not None:
-                    p, first = word_posteriors(held, column)
-                    total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-                    shares = (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
-                    plain = np.asarray(pa.compute.fill_null(pa.compute.match_substring_regex(column, "[A-Za-z]"), False))
-                    for i in np.flatnonzero(~plain):
-                        plain[i] = any(c.isalpha() for c in column[i].as_py() or "")
-                    shares[~plain] = 0
-                    best = shares.argmax(axis=1)
-                    score = np.clip(shares[np.arange(n), best], 0, 1)
-                    names = [held.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), plain.tolist(), strict=True)]
+                names, score, shares = judge_texts(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "shares"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, lang_pred string, score double, shares array<double>")
+
+
+def keep_known(docs: DataFrame, model: crf.Model | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language by a share of at least ``least`` of its words; all columns, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in spans.slices(batch, "text"):
+                names, score, _ = judge_texts(sent.value, part.column("text"))
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(step, docs.schema)
