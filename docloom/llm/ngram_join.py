@@ -121,7 +121,7 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
 def _suffix_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Sets differ at least by the sum of the differences of their counts in each hash range."""
     for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}n"), F.col("ranges").alias(f"{side}r")), side)
+        pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("n").alias(f"{side}n"), F.col("ranges").alias(f"{side}r")).hint("merge"), side)
     apart = F.aggregate(F.zip_with("ar", "br", lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     both = F.col("an") + F.col("bn")
     return pairs.where((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b")
@@ -212,10 +212,10 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = written(_verified(tried, docs, k, percent).union(shared_id), "links")
 
     found = components(links)
-    apart = met.select("h", "id", "n", "pos").join(found, F.col("id") == F.col("node"), "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    apart = met.select("h", "id", "n", "pos").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     apart = written(apart, "members")
     mixed = apart.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high AND size > 2").select("h")
-    open_ = apart.join(mixed, "h")
+    open_ = apart.join(mixed.hint("merge"), "h")
     left = open_.select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
     right = open_.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
     near = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))

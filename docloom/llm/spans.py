@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # working memory of a step, about 40 times this; a longer text is one slice of its own
+SLICE_BYTES = 2 << 20  # working memory of a step, about 60 times this; a longer text is one slice of its own
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -88,7 +88,7 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> Spans:
 def _power_table(n: int) -> np.ndarray:
     global _powers
     if _powers.shape[1] < n:
-        rows = np.empty((2, 2 * n), np.uint64)
+        rows = np.empty((2, n + n // 8), np.uint64)
         rows[:, 0] = 1
         rows[0, 1:] = _BASE
         rows[1, 1:] = _INVERSE

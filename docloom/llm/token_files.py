@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}.ids.zst"
         encoder = out = writer = None
         for batch in batches:
-            for part in spans.slices(batch, "text"):
+            for part in spans.slices(batch, "text", 2 * spans.SLICE_BYTES):
                 if writer is None:
                     encoder, out = ChunkEncoder(tokenizer), store.open_output_stream(f"{base}/{name}", compression=None)
                     writer = FrameWriter(out, width, level)
