@@ -24,13 +24,6 @@ def pair_score(text: Column, category: Column, tw: float = TEXT_WEIGHT, cw: floa
     return F.lit(tw) * text + F.lit(cw) * category
 
 
-def index_score(text: Column, category: Column, tw: float = TEXT_WEIGHT, cw: float = CATEGORY_WEIGHT,
-                min_similarity: float | None = None) -> Column:
-    """Score when both sides carry the weights: squared weights; clamped to 0..1 if a floor is given."""
-    raw = F.lit(tw * tw) * text + F.lit(cw * cw) * category
-    return raw if min_similarity is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """|a ∩ b| / |a ∪ b|; 0 when both are empty."""
     return F.coalesce(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .ranking import top_per_group
 
-PIVOT_LIMIT = 1000
 
 
 # -- lookups -------------------------------------------------------------------------------------------------
@@ -196,15 +195,21 @@ def documents_per_link(bridge: DataFrame, dim: DataFrame, key: str, name: str) -
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Counts pivoted, missing cells 0. Column values are read off (up to a checked bound) when not given."""
+    """Counts pivoted, missing cells 0. Without ``values`` the columns are those found, one for each value.
+
+    A table of very many columns is better kept as rows: ``cross_counts``.
+    """
     if values is None:
-        found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(PIVOT_LIMIT + 1).collect()]
-        if len(found) > PIVOT_LIMIT:
-            raise ValueError(f"{column} has over {PIVOT_LIMIT} values; pass the values to pivot on")
-        values = sorted(found)
+        seen = cross_counts(df, row, column).select(column).filter(F.col(column).isNotNull()).distinct()
+        values = sorted(r[0] for r in seen.collect())
     return df.groupBy(row).pivot(column, list(values)).count().fillna(0, [str(v) for v in values])
 
 
+def cross_counts(df: DataFrame, row: str, column: str) -> DataFrame:
+    """The same counts as rows (row value, column value, n) for any number of values."""
+    return df.groupBy(row, column).agg(F.count("*").alias("n"))
+
+
 def documents_per_month(docs: DataFrame, date: str = "date_of_document") -> DataFrame:
     dated = docs.filter(F.col(date).isNotNull())
     return dated.groupBy(F.trunc(date, "MM").alias("month_start")).agg(F.count("*").alias("documents"))

@@ -172,16 +172,18 @@ def fourth_tier(docs: DataFrame, idf: Column, text: str = "content", target: int
     return _joined(extract(rows, "chunk", F.floor(F.col("words") * F.col("share")).cast("int"), idf), "extract")
 
 
-def fixed_share(docs: DataFrame, idf: Column, target: int, text: str = "content", passes: int = 3) -> DataFrame:
+def fixed_share(docs: DataFrame, idf: Column, target: int, text: str = "content") -> DataFrame:
     """Chunks of up to 1000 words, a fixed share of each, then shrink passes while over 1.5 times the target.
 
-    One pass leaves at most 16.5 % of a text, so three passes bring any text of up to 220 times the target down;
-    a row already short enough is left alone by every pass.
+    A pass leaves a row at most 110 % of the larger of its target and 15 % of its words, so the longest text of the
+    corpus says how many passes bring every row down; a row already short enough is left alone by every pass.
     """
     rows = _chunk_rows(docs, ck.sentence_chunks(F.col(text)))
     first = _joined(extract(rows, "chunk", F.floor(F.col("words") * ck.chunk_share(F.col("pos"))).cast("int"), idf), "extract")
-    out = first
-    for _ in range(passes):
+    out = materialise(first, "shares")
+    longest = out.agg(F.max(tx.word_count(F.col("extract")))).first()[0] or 0
+    while longest > 1.5 * target:
+        longest = longest * SHARE_RANGE[0] * (1 + TOLERANCE)
         n = tx.word_count(F.col("extract"))
         share = F.greatest(F.lit(SHARE_RANGE[0]), F.lit(float(target)) / F.greatest(n, F.lit(1)))
         shrunk = extract(out.withColumn("_n", n), "extract", F.floor(n * share).cast("int"), idf, "_shrunk")

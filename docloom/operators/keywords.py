@@ -10,7 +10,7 @@ from ..functions.text import let
 from . import features as ft
 from .extractive import with_idf
 
-DIVERSITY, POOL = 0.7, 30
+DIVERSITY = 0.7
 
 
 def _weighted_tokens(toks: Column, counted: Column) -> Column:
@@ -60,9 +60,15 @@ def _likeness(a: Column, b: Column) -> Column:
 
 
 def diversify(pool: Column, k: Column, diversity: float = DIVERSITY) -> Column:
-    """Pick k of the pooled candidates one by one: (1 - d) * score - d * likeness to what is picked already."""
+    """Pick k of all candidates one by one: (1 - d) * score - d * likeness to what is picked already.
 
-    def step(got: Column, i: Column) -> Column:
+    Candidates have one or two words, so any that shares a word with a picked one has a likeness of 0.5 at least. Above
+    d = 2/3 it is then worth less than nothing, and one that shares none is worth 0 or more: the rule comes down to one
+    walk through the candidates, best first, taking those that share no word. Only rows that run out of such
+    candidates before they have k (or a smaller d) need the rule in full.
+    """
+
+    def step(got: Column, _: Column) -> Column:
         def worth(c: Column) -> Column:
             near = F.aggregate(got, F.lit(0.0), lambda m, g: F.greatest(m, _likeness(c["term"], g["term"])))
             value = F.lit(1 - diversity) * -c["neg"] - F.lit(diversity) * near
@@ -70,12 +76,22 @@ def diversify(pool: Column, k: Column, diversity: float = DIVERSITY) -> Column:
 
         open_ = F.filter(pool, lambda c: ~F.exists(got, lambda g: g["term"] == c["term"]))
         best = F.array_min(F.transform(open_, worth))
-        nothing = F.when(i >= k, F.lit(True)).otherwise(best.isNull())
-        return F.when(nothing, got).otherwise(
+        return F.when(best.isNull(), got).otherwise(
             F.concat(got, F.array(F.struct(best["neg"].alias("neg"), best["term"].alias("term")))))
 
+    def walk(acc: Column, c: Column) -> Column:
+        words = F.split(c["term"], " ")
+        take = (F.size(acc["got"]) < k) & ~F.arrays_overlap(acc["words"], words)
+        more = F.struct(F.concat(acc["got"], F.array(c)).alias("got"), F.concat(acc["words"], words).alias("words"))
+        return F.when(take, more).otherwise(acc)
+
     start = F.array().cast("array<struct<neg:double,term:string>>")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(14)), start, step)
+    in_full = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), start, step)).otherwise(start)
+    if diversity <= 2 / 3:
+        return in_full
+    none = F.struct(start.alias("got"), F.array().cast("array<string>").alias("words"))
+    apart = F.aggregate(pool, none, walk, lambda acc: acc["got"])
+    return let(apart, lambda got: F.when((F.size(got) >= k) | (F.size(got) == F.size(pool)), got).otherwise(in_full))
 
 
 def extract_keywords(docs: DataFrame, idf: Column, text: str = "content", diversity: float | None = DIVERSITY,
@@ -85,8 +101,7 @@ def extract_keywords(docs: DataFrame, idf: Column, text: str = "content", divers
     if diversity is None:
         chosen = F.slice("_cand", 1, F.col("_k"))
     else:
-        found = found.withColumn("_pool", F.slice("_cand", 1, POOL))
-        chosen = diversify(F.col("_pool"), F.col("_k"), diversity)
+        chosen = diversify(F.col("_cand"), F.col("_k"), diversity)
     return found.select("document_id", F.explode(chosen).alias("c")).select(
         "document_id", F.col("c.term").alias("keyword"), (-F.col("c.neg")).alias("score")
     )

@@ -68,12 +68,3 @@ def sample_by_hash(df: DataFrame, group: str, key: str, share: float = 0.1, at_l
     order = Window.partitionBy("_g", "_slot").orderBy("_h", key)
     part = cut.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("_left"))
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
-
-
-def first_priority(df: DataFrame, keys: Sequence[str], priority: str) -> DataFrame:
-    """Row of lowest priority value per key."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(priority)).alias("_row"))
-        .select(*keys, "_row.*").select(*df.columns)
-    )

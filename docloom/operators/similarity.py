@@ -1,9 +1,9 @@
 """Exact top-k inner-product search for many queries at once.
 
-Documents are never paired with queries as rows. Each task multiplies a block of document vectors with the query
-matrix and keeps k candidates per query, so what leaves a task is at most k rows per query; a window picks the
-final k. Small query sets (bounded in rows) ride along as a broadcast matrix. Larger ones are cut into blocks and
-meet document blocks on a (query block, document block) grid. Both ways are exact and give the same rows.
+Documents are never paired with queries as rows. Query blocks bounded in bytes meet groups of documents; a cell holds
+its query block, multiplies it with one batch of document vectors after the other and keeps k candidates per query. So
+k rows per query and document group leave the cells, and a window picks the final k. There is one way for all sizes,
+and no vector passes the driver.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 
 from .ranking import top_per_group
 
-QUERY_ROWS = 8192      # rows of a query block; at 1,024 dimensions 64 MB
-DOC_ROWS = 16384       # rows of a document block on the grid
+QUERY_BYTES = 64 << 20  # of a block of query vectors: what a task holds beside one batch of documents
 TILE = 256             # query rows multiplied at a time
 DIGITS = 6             # scores are compared at this precision, ties broken by id
 
@@ -47,20 +46,31 @@ def _ids(column) -> np.ndarray:
 
 
 class _Best:
-    """Running k best documents per query."""
+    """Running k best documents per query, kept by tile so that a batch only sorts what it can change."""
 
     def __init__(self, k: int):
         self.k = k
-        self.q = self.ids = self.s = None
-
-    def add(self, q: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
-        if self.q is not None:
-            q, ids, s = np.concatenate([self.q, q]), np.concatenate([self.ids, ids]), np.concatenate([self.s, s])
+        self.tiles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def floor(self, tile: int, rows: int) -> np.ndarray:
+        """Score a document must reach to matter, per query of a tile."""
+        out = np.full(rows, -np.inf)
+        if tile in self.tiles:
+            q, _, s = self.tiles[tile]
+            last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, int)
+            first = np.append(0, last[:-1] + 1) if len(q) else last
+            full = last - first + 1 >= self.k
+            out[q[last[full]] - tile] = s[last[full]]
+        return out
+
+    def add(self, tile: int, q: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        if tile in self.tiles:
+            q, ids, s = (np.concatenate(x) for x in zip(self.tiles[tile], (q, ids, s)))
         order = np.lexsort((ids, -s, q))
         q, ids, s = q[order], ids[order], s[order]
         first = np.searchsorted(q, q, side="left")
         keep = np.arange(len(q)) - first < self.k
-        self.q, self.ids, self.s = q[keep], ids[keep], s[keep]
+        self.tiles[tile] = q[keep], ids[keep], s[keep]
 
 
 def _score_block(best: _Best, queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.ndarray,
@@ -72,22 +82,22 @@ def _score_block(best: _Best, queries: np.ndarray, qids: np.ndarray, docs: np.nd
         s = np.round(queries[at:at + TILE] @ docs.T, DIGITS) + 0.0
         if skip_self:
             s[qids[at:at + TILE, None] == ids[None, :]] = -np.inf
+        cut = best.floor(at, len(s))
         if n > best.k:
-            cut = np.partition(s, n - best.k, axis=1)[:, n - best.k]
-            rows, cols = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
-        else:
-            rows, cols = np.nonzero(s > -np.inf)
-        best.add(rows + at, ids[cols], s[rows, cols])
+            cut = np.maximum(cut, np.partition(s, n - best.k, axis=1)[:, n - best.k])
+        rows, cols = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
+        best.add(at, rows + at, ids[cols], s[rows, cols])
 
 
 def _emit(best: _Best, qids: pa.Array, names: pa.Schema) -> pa.RecordBatch:
-    if best.q is None:
+    if not best.tiles:
         return pa.RecordBatch.from_pylist([], schema=names)
+    q, ids, s = (np.concatenate(x) for x in zip(*best.tiles.values()))
     return pa.RecordBatch.from_arrays(
         [
-            qids.take(pa.array(best.q)).cast(names.field(0).type),
-            pa.array(best.ids).cast(names.field(1).type),
-            pa.array(best.s, pa.float64()),
+            qids.take(pa.array(q)).cast(names.field(0).type),
+            pa.array(ids).cast(names.field(1).type),
+            pa.array(s, pa.float64()),
         ],
         schema=names,
     )
@@ -100,68 +110,64 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
 
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = False, normalise: bool = True,
-          query_rows: int = QUERY_ROWS, doc_rows: int = DOC_ROWS) -> DataFrame:
+          query_bytes: int = QUERY_BYTES, doc_groups: int | None = None) -> DataFrame:
     """The k documents of highest inner product (cosine when ``normalise``) for every query.
 
     ``queries``: (query_id, vector); ``docs``: (doc_id, vector), any numeric array type, one dimension.
     Returns (query_id, doc_id, score, rank) with scores rounded to 6 places and ties broken by id.
+
+    Queries are cut into blocks of ``query_bytes``, documents into ``doc_groups`` (so that all tasks have a cell). In
+    a cell the query block comes first and is held; document batches stream past it against one running best.
     """
     q = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
     d = docs.select("doc_id", "vector").filter(F.col("vector").isNotNull())
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q.schema["query_id"].dataType),
-            T.StructField("doc_id", d.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    types = {"query_id": q.schema["query_id"].dataType, "doc_id": d.schema["doc_id"].dataType, "score": T.DoubleType()}
+    schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
     names = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
-    held = q.limit(query_rows + 1).toArrow()  # at most query_rows + 1 rows reach the driver
-    small = held.num_rows <= query_rows
-    parts = _by_broadcast(held, d, k, skip_self, normalise, schema, names) if small else _by_grid(
-        q, d, k, skip_self, normalise, schema, names, query_rows, doc_rows
-    )
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    blocks = max(1, math.ceil(size["n"] * (size["dim"] or 1) * 8 / query_bytes))
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = doc_groups or max(1, math.ceil(tasks / blocks))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = lambda n: F.lit(None).cast(types[n]).alias(n)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    asked = q.select(place("query_id", blocks).alias("qb"), spread(groups).alias("dg"), F.lit(0).alias("side"), "query_id", none("doc_id"), vector)
+    held = d.select(place("doc_id", groups).alias("dg"), spread(blocks).alias("qb"), F.lit(1).alias("side"), none("query_id"), "doc_id", vector)
+    cells = asked.unionByName(held).repartition(blocks * groups, "qb", "dg").sortWithinPartitions("qb", "dg", "side")
+    parts = cells.mapInArrow(_search_cells(k, skip_self, _unit if normalise else (lambda m: m), names), schema)
     return top_per_group(parts, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def _by_broadcast(held: pa.Table, docs: DataFrame, k, skip_self, normalise, schema, names) -> DataFrame:
-    prep = _unit if normalise else (lambda m: m)
-    qcol = held.column("query_id").combine_chunks()
-    shared = docs.sparkSession.sparkContext.broadcast((qcol, _ids(qcol), prep(_matrix(held.column("vector")))))
+def _search_cells(k: int, skip_self: bool, prep, names: pa.Schema):
+    """Batches sorted by cell, queries before documents, to the k best of each cell's queries."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qarr, qids, qm = shared.value
-        best = _Best(k)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, queries, best, qarr, qids, qm = None, [], None, None, None, None
         for batch in batches:
-            if batch.num_rows and len(qids):
-                _score_block(best, qm, qids, prep(_matrix(batch.column(1))), _ids(batch.column(0)), skip_self)
-        yield _emit(best, qarr, names)
-
-    return docs.mapInArrow(score, schema)
-
-
-def _by_grid(q: DataFrame, d: DataFrame, k, skip_self, normalise, schema, names, query_rows, doc_rows) -> DataFrame:
-    nq = max(1, math.ceil(q.count() / query_rows))
-    nd = max(1, math.ceil(d.count() / doc_rows))
-    prep = _unit if normalise else (lambda m: m)
-    left = d.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(nd)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
-    )
-    right = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn(
-        "db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))
-    )
-
-    def score(docs_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        best = _Best(k)
-        qcol = query_block.column("query_id").combine_chunks()
-        if query_block.num_rows and docs_block.num_rows:
-            _score_block(
-                best, prep(_matrix(query_block.column("vector"))), _ids(qcol),
-                prep(_matrix(docs_block.column("vector"))), _ids(docs_block.column("doc_id")), skip_self,
-            )
-        return pa.Table.from_batches([_emit(best, qcol, names)])
-
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(score, schema)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                part, (qb, dg, side) = batch.slice(a, b - a), keys[a].tolist()
+                if (qb, dg) != cell:
+                    if best is not None:
+                        yield _emit(best, qarr, names)
+                    cell, queries, best = (qb, dg), [], None
+                if side == 0:
+                    queries.append(part)
+                    continue
+                if best is None and queries:
+                    table = pa.Table.from_batches(queries)
+                    qarr = table.column("query_id").combine_chunks()
+                    qids, qm, best, queries = _ids(qarr), prep(_matrix(table.column("vector"))), _Best(k), []
+                if best is not None:
+                    _score_block(best, qm, qids, prep(_matrix(part.column("vector"))), _ids(part.column("doc_id")), skip_self)
+        if best is not None:
+            yield _emit(best, qarr, names)
+
+    return search
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str = "vector") -> DataFrame:

@@ -55,8 +55,8 @@ def build_vectors(docs: DataFrame, encoder=None, dim: int = 256, fixed_summary_w
 
 
 def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:
-    """New vectors replace those of the same id."""
-    return upsert(current, new, ["doc_id"])
+    """New vectors replace those of the same id; of several with one id the largest by its components stays."""
+    return upsert(current, new, ["doc_id"], ["vector"])
 
 
 def save_state(vectors: DataFrame, vocab: DataFrame, settings: Settings, path: str) -> None:

@@ -47,12 +47,15 @@ def ingest(links: DataFrame, metadata_pages: DataFrame, content_pages: DataFrame
 
 
 def to_corpus(raw: DataFrame) -> dict[str, DataFrame]:
-    """Raw nested documents as the corpus tables: ids are stable hashes of key or name, so a rerun gives the same rows."""
+    """Raw nested documents as the corpus tables: ids are stable hashes of key or name, so a rerun gives the same rows.
+
+    A missing name has no id and no row of its own.
+    """
     from ..functions import dates as dt
 
     m = F.col("metadata")
     doc_id = F.xxhash64("metadata.celex_number")
-    name_id = lambda c: F.xxhash64(c)
+    name_id = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
     docs = raw.select(
         doc_id.alias("document_id"), m["celex_number"].alias("celex_number"), m["title"].alias("title"),
         m["identifier"].alias("identifier"), m["eli_uri"].alias("eli_uri"), m["html_url"].alias("html_url"), m["pdf_url"].alias("pdf_url"),
@@ -63,15 +66,15 @@ def to_corpus(raw: DataFrame) -> dict[str, DataFrame]:
     )
     out = {
         "documents": docs,
-        "forms": raw.select(name_id(m["form"]).alias("form_id"), m["form"].alias("form_name")).distinct(),
-        "responsible_bodies": raw.select(name_id(m["responsible_body"]).alias("body_id"), m["responsible_body"].alias("body_name")).distinct(),
+        "forms": raw.select(name_id(m["form"]).alias("form_id"), m["form"].alias("form_name")).filter("form_name IS NOT NULL").distinct(),
+        "responsible_bodies": raw.select(name_id(m["responsible_body"]).alias("body_id"), m["responsible_body"].alias("body_name")).filter("body_name IS NOT NULL").distinct(),
     }
     for field, dim, key, name in (
         ("authors", "authors", "author_id", "name"),
         ("eurovoc_descriptors", "eurovoc_descriptors", "descriptor_id", "descriptor_name"),
         ("subject_matters", "subject_matters", "subject_id", "subject_name"),
     ):
-        rows = raw.select(doc_id.alias("document_id"), F.explode(m[field]).alias(name)).distinct()
+        rows = raw.select(doc_id.alias("document_id"), F.explode(m[field]).alias(name)).filter(F.col(name).isNotNull()).distinct()
         out[dim] = rows.select(name_id(F.col(name)).alias(key), name).distinct()
         out[f"document_{field}"] = rows.select("document_id", name_id(F.col(name)).alias(key))
     pairs = F.arrays_zip(m["directory_codes"].alias("directory_code"), m["directory_descriptions"].alias("directory_label"))

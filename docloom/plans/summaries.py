@@ -11,14 +11,12 @@ from ..operators import extractive as ex
 from ..operators import keywords as kw
 from ..sources.writers import update_fields
 
-MAX_WORDS = 68_000
-SUMMARY_FIELDS = ("summary", "summary_word_count", "compression_ratio", "tier")
-
 
 def summarise(docs: DataFrame, sections: DataFrame, idf: Column, summariser=None) -> DataFrame:
     """(document_id, summary, summary_word_count, compression_ratio, tier) of documents without a summary.
 
-    Tier 1 keeps the text, the others extract by their recipe. ``summariser``: a pandas UDF string -> string run on
+    Tier 1 keeps the text, the others extract by their recipe; a third-tier document without section rows is one section
+    of its own. ``summariser``: a pandas UDF string -> string run on
     the extract (for instance a neural model); the default summary is the extract itself.
     """
     todo = docs.filter(F.col("summary").isNull()).withColumn("tier", tx.tier(F.col("total_words")))
@@ -26,7 +24,10 @@ def summarise(docs: DataFrame, sections: DataFrame, idf: Column, summariser=None
     keys = lambda t: base.filter(F.col("tier") == t)
     first = keys(1).select("document_id", F.col("content").alias("extract"))
     second = ex.second_tier(keys(2), idf)
-    third = ex.third_tier(sections.join(keys(3).select("document_id"), "document_id", "left_semi"), idf)
+    parts = sections.select("document_id", F.col("section_order").cast("int").alias("section_order"), "content")
+    held = parts.join(keys(3).select("document_id"), "document_id", "left_semi")
+    alone = keys(3).join(parts.select("document_id"), "document_id", "left_anti")
+    third = ex.third_tier(held.unionByName(alone.select("document_id", F.lit(0).alias("section_order"), "content")), idf)
     fourth = ex.fourth_tier(keys(4), idf)
     text = F.col("extract") if summariser is None else summariser(F.col("extract"))
     made = first.unionByName(second).unionByName(third).unionByName(fourth).select("document_id", text.alias("summary"))
@@ -35,10 +36,6 @@ def summarise(docs: DataFrame, sections: DataFrame, idf: Column, summariser=None
     return counted.select("document_id", "summary", "summary_word_count", ratio.alias("compression_ratio"), "tier")
 
 
-def save_summaries(docs: DataFrame, made: DataFrame) -> DataFrame:
-    return update_fields(docs, made, "document_id", SUMMARY_FIELDS)
-
-
 def replace_summaries(docs: DataFrame, rewritten: DataFrame) -> DataFrame:
     """New summary texts (document_id, summary) in: words and ratio are counted again."""
     fresh = rewritten.withColumn("summary_word_count", tx.word_count(F.col("summary"))).join(

@@ -12,8 +12,6 @@ from ..functions import scores as sc
 from ..operators import evaluation as ev
 from ..operators.ranking import rank_results
 
-CONFIG_LIMIT = 10_000
-
 
 def weight_grid(params: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
     """Distinct weight settings: all combinations, all-zero ones left out, rescaled to sum 1."""
@@ -24,8 +22,6 @@ def weight_grid(params: Mapping[str, Sequence[float]]) -> list[dict[str, float]]
             continue
         scaled = tuple(round(w / total, 9) if len(combo) > 1 else w for w in combo)
         out.setdefault(scaled, dict(zip(params, scaled)))
-    if len(out) > CONFIG_LIMIT:
-        raise ValueError(f"over {CONFIG_LIMIT} configurations")
     return list(out.values())
 
 

@@ -30,11 +30,13 @@ def build_session(master: str | None = None, app: str = "docloom", **conf: str)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The cluster names a folder every executor can reach in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder is taken.
+    The cluster names a folder every executor can reach in ``spark.checkpoint.dir``. Where that is unset, a local
+    session (one machine) gets a temporary folder; on a cluster it is an error, since executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "docloom-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -9,14 +9,14 @@ from ..functions import text as tx
 from . import schemas as S
 
 
-def read_raw_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_documents(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
     """JSON documents anywhere below ``path``; unreadable files and files without a key are left out."""
     raw = (
         spark.read.schema(S.RAW_DOCUMENT_DDL)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", names)
         .json(path)
     )
     return raw.withColumn("file_path", F.col("_metadata.file_path")).withColumn(

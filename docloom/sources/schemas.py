@@ -10,22 +10,22 @@ RAW_DOCUMENT_DDL = (
 
 CORPUS_DDL = {
     "documents": "document_id long, celex_number string, title string, identifier string, eli_uri string, "
-    "html_url string, pdf_url string, responsible_body_id int, form_id int, date_of_document date, "
+    "html_url string, pdf_url string, responsible_body_id long, form_id long, date_of_document date, "
     "date_of_effect date, date_of_end_validity date, content string, html_content string, total_words int, "
     "summary string, summary_word_count int, compression_ratio double, tier int",
     "document_sections": "section_id long, document_id long, title string, content string, section_type string, "
     "section_order int, word_count int, summary string, summary_word_count int, compression_ratio double, tier int",
     "document_keywords": "id long, document_id long, keyword string, score double",
-    "forms": "form_id int, form_name string",
-    "responsible_bodies": "body_id int, body_name string",
-    "authors": "author_id int, name string",
-    "document_authors": "document_id long, author_id int",
-    "eurovoc_descriptors": "descriptor_id int, descriptor_name string",
-    "document_eurovoc_descriptors": "document_id long, descriptor_id int",
-    "subject_matters": "subject_id int, subject_name string",
-    "document_subject_matters": "document_id long, subject_id int",
-    "directory_codes": "directory_id int, directory_code string, directory_label string",
-    "document_directory_codes": "document_id long, directory_id int",
+    "forms": "form_id long, form_name string",
+    "responsible_bodies": "body_id long, body_name string",
+    "authors": "author_id long, name string",
+    "document_authors": "document_id long, author_id long",
+    "eurovoc_descriptors": "descriptor_id long, descriptor_name string",
+    "document_eurovoc_descriptors": "document_id long, descriptor_id long",
+    "subject_matters": "subject_id long, subject_name string",
+    "document_subject_matters": "document_id long, subject_id long",
+    "directory_codes": "directory_id long, directory_code string, directory_label string",
+    "document_directory_codes": "document_id long, directory_id long",
 }
 
 FEEDBACK_DDL = (
@@ -43,7 +43,6 @@ PROFILE_DDL = (
     f"client struct<id:string,profile_components:struct<{COMPONENTS}>>"
 )
 
-JUDGEMENT_DDL = "query_id string, query string, relevant_docs array<string>, relevance map<string,double>"
 SWEEP_DDL = (
     "best_weights map<string,double>, best_score double, metric string, "
     "all_results array<struct<weights:map<string,double>,score:double,metrics:map<string,double>>>"

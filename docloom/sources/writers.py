@@ -43,21 +43,28 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) ->
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*df.columns)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Target with updates laid over it by key, last update winning; running it twice changes nothing.
 
-    ``order`` names update columns that rank repeated updates of one key. The target holds a key once, so it only
+    ``order`` names update columns that rank repeated updates of one key (its remaining columns break ties). The target holds a key once, so it only
     loses the updated keys (anti join: with few updates the target is not shuffled at all) and gains the new rows.
     The updates are read twice; write costly ones first (session.materialise).
     """
-    newest = latest(updates, keys, order) if order else updates.dropDuplicates(list(keys))
+    rest = [c for c in updates.columns if c not in keys and c not in order]
+    comparable = [c for c in rest if "map<" not in updates.schema[c].dataType.simpleString()]
+    newest = latest(updates, keys, [*order, *comparable])
     kept = target.join(newest.select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(newest.select(*(c for c in newest.columns if c in target.columns)), allowMissingColumns=True)
 
 
-def update_fields(target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Replace the given fields by key where an update holds a value; other rows and fields stay."""
-    fresh = updates.select(key, *(F.col(f).alias(f"_new_{f}") for f in fields))
+def update_fields(target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Replace the given fields by key where an update holds a value; other rows and fields stay.
+
+    Of several updates of a key the last by ``order`` counts (ties, and updates without an order, by their values), so
+    the target keeps its rows.
+    """
+    newest = latest(updates.select(key, *dict.fromkeys([*order, *fields])), [key], [*order, *fields])
+    fresh = newest.select(key, *(F.col(f).alias(f"_new_{f}") for f in fields))
     kept = [F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in target.columns]
     return target.join(fresh, key, "left").select(*kept)
 
@@ -68,8 +75,11 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def save_profiles(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Profile upsert: new values win, the first ``created_at`` is kept, ``updated_at`` moves."""
-    c, u = current.alias("c"), updates.alias("u")
+    """Profile upsert: new values win, the first ``created_at`` is kept, ``updated_at`` moves.
+
+    Of several updates of one user the last by ``updated_at`` counts.
+    """
+    c, u = current.alias("c"), latest(updates, ["user_id"], ["updated_at"]).alias("u")
     payload = [x for x in current.columns if x not in ("user_id", "created_at", "updated_at")]
     return c.join(u, "user_id", "full_outer").select(
         "user_id",

@@ -79,7 +79,7 @@ def documents_per_author(t: Tables):
 
 @query("form_by_body", "AGG12", """SELECT form, count(*) FILTER (responsible_body = 'de') AS de, count(*) FILTER (responsible_body = 'en') AS en, count(*) FILTER (responsible_body = 'es') AS es, count(*) FILTER (responsible_body = 'fr') AS fr FROM docs GROUP BY form""")
 def form_by_body(t: Tables):
-    return cp.crosstab(t.docs, "form", "responsible_body", ["de", "en", "es", "fr"])
+    return cp.crosstab(t.docs, "form", "responsible_body")
 
 
 @query("documents_per_month", "AGG13", "SELECT CAST(date_trunc('month', date_of_document)::DATE AS VARCHAR) AS month_start, count(*) AS documents FROM docs WHERE date_of_document IS NOT NULL GROUP BY 1")

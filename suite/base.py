@@ -99,21 +99,30 @@ class Tables:
             F.when(F.pmod(i, F.lit(13)) != 0, F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(i * 7, F.lit(3650)).cast("int"))).alias("date"),
         )
 
+    @cached_property
+    def n_vectors(self) -> int:
+        """Ids run from 0, so events refer to all vectors, however many there are."""
+        return self.raw("embeddings").count()
+
+    @cached_property
+    def n_documents(self) -> int:
+        return self.raw("documents").count()
+
     @cached_property
     def history(self) -> DataFrame:
         e = self.raw("events").filter(F.col("event_type") == "purchase")
-        return e.select("user_id", F.pmod("event_id", F.lit(500)).alias("doc_id")).distinct()
+        return e.select("user_id", F.pmod("event_id", F.lit(self.n_vectors)).alias("doc_id")).distinct()
 
     @cached_property
     def experts(self) -> DataFrame:
-        users = self.raw("events").select("user_id").distinct().withColumn("doc_id", F.pmod("user_id", F.lit(500)))
+        users = self.raw("events").select("user_id").distinct().withColumn("doc_id", F.pmod("user_id", F.lit(self.n_vectors)))
         return users.join(self.vecs.select("doc_id", "vector", "features"), "doc_id").drop("doc_id")
 
     @cached_property
     def feedback(self) -> DataFrame:
         e = self.raw("events")
         return e.select(
-            "user_id", F.pmod("event_id", F.lit(200)).alias("document_id"),
+            "user_id", F.pmod("event_id", F.lit(self.n_documents)).alias("document_id"),
             (F.lit(1) + F.least(F.lit(4), F.floor(F.col("value") / 100))).cast("int").alias("rating"),
             "event_id", "event_type", F.to_date("ts").alias("day"), "ts", "value",
         )
@@ -166,13 +175,13 @@ CTES = {
         row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, doc_id) AS rank FROM sims) WHERE rank <= 10""",
     "cand20": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, doc_id) AS crank FROM sims) WHERE crank <= 20""",
     "comps": """SELECT query_id, doc_id, text_score, date, (0.15::DOUBLE * same_label + 0.25::DOUBLE * (shared / (4.0::DOUBLE - shared))) / 0.4::DOUBLE AS category_score FROM cand20""",
-    "history": "SELECT DISTINCT user_id, event_id % 500 AS doc_id FROM events WHERE event_type = 'purchase'",
-    "experts": "SELECT u.user_id, v.vector, v.label, v.grp FROM (SELECT DISTINCT user_id FROM events) u JOIN vecs v ON v.doc_id = u.user_id % 500",
+    "history": "SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM embeddings) AS doc_id FROM events WHERE event_type = 'purchase'",
+    "experts": "SELECT u.user_id, v.vector, v.label, v.grp FROM (SELECT DISTINCT user_id FROM events) u JOIN vecs v ON v.doc_id = u.user_id % (SELECT count(*) FROM embeddings)",
     "histmean": """SELECT user_id, list(x ORDER BY pos) AS vector FROM (SELECT user_id, pos, avg(x) AS x FROM
         (SELECT h.user_id, unnest(v.vector) AS x, unnest(range(len(v.vector))) AS pos FROM history h JOIN vecs v USING (doc_id)) GROUP BY user_id, pos) GROUP BY user_id""",
     "profvec": """SELECT e.user_id, e.label, e.grp, CASE WHEN h.vector IS NULL THEN e.vector ELSE list_transform(list_zip(e.vector, h.vector), lambda p: 0.5::DOUBLE * p[1] + 0.5::DOUBLE * p[2]) END AS vector
         FROM experts e LEFT JOIN histmean h USING (user_id)""",
-    "feedback": """SELECT user_id, event_id % 200 AS document_id, (1 + least(4, floor(value / 100)))::INT AS rating, event_id, event_type, ts::DATE AS day, value FROM events""",
+    "feedback": """SELECT user_id, event_id % (SELECT count(*) FROM documents) AS document_id, (1 + least(4, floor(value / 100)))::INT AS rating, event_id, event_type, ts::DATE AS day, value FROM events""",
     "links": "SELECT DISTINCT l_orderkey AS document_id, l_suppkey AS author_id FROM lineitem",
     "freq": "SELECT total_words AS value, count(*) AS n FROM docs GROUP BY 1",
 }

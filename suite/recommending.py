@@ -67,9 +67,9 @@ def recommend_for_profiles(t: Tables):
 
 
 @query("recommend_personalised_queries", "REC4 MAP1", _profile_sql("""(SELECT e.user_id, q.label, q.grp, list_transform(list_zip(list_transform(e.vector, lambda x: x / sqrt(list_dot_product(e.vector, e.vector))),
-      list_transform(q.vector, lambda x: x / sqrt(list_dot_product(q.vector, q.vector)))), lambda z: 0.5::DOUBLE * z[1] + 0.5::DOUBLE * z[2]) AS vector FROM profvec e JOIN vecs q ON q.doc_id = (e.user_id * 3) % 500)"""))
+      list_transform(q.vector, lambda x: x / sqrt(list_dot_product(q.vector, q.vector)))), lambda z: 0.5::DOUBLE * z[1] + 0.5::DOUBLE * z[2]) AS vector FROM profvec e JOIN vecs q ON q.doc_id = (e.user_id * 3) % (SELECT count(*) FROM embeddings))"""))
 def recommend_personalised_queries(t: Tables):
-    users = t.experts.select("user_id", F.pmod(F.col("user_id") * 3, F.lit(500)).alias("doc_id"))
+    users = t.experts.select("user_id", F.pmod(F.col("user_id") * 3, F.lit(t.n_vectors)).alias("doc_id"))
     q = users.join(t.vecs.select("doc_id", vc.unit(F.col("vector")).alias("vector"), "features"), "doc_id").select(
         "user_id", F.col("user_id").alias("query_id"), "vector", "features")
     return rc.recommend_for_profiles(profiles(t), t.vecs, queries=q).select("query_id", "doc_id", "score", "rank")

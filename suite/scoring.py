@@ -24,6 +24,15 @@ def top_k_similar(t: Tables):
     return sims10(t)
 
 
+@query("top_k_in_blocks", "TOP1 JN12", "SELECT query_id, doc_id, score, rank FROM top10")
+def top_k_in_blocks(t: Tables):
+    """The same search with query blocks of 32 KB, so that it takes many cells."""
+    from docloom.operators.similarity import top_k
+
+    v = t.vecs.select("doc_id", "vector")
+    return top_k(v.withColumnRenamed("doc_id", "query_id"), v, 10, skip_self=True, query_bytes=32 << 10, doc_groups=3)
+
+
 @query("vector_norms", "VEC1", """SELECT doc_id, round(sqrt(list_dot_product(vector, vector)), 6) AS norm,
     round(vector[1] / sqrt(list_dot_product(vector, vector)), 6) AS first_cell FROM vecs""")
 def vector_norms(t: Tables):

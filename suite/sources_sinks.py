@@ -1,5 +1,6 @@
 """Readers and writers over data derived from the driver tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import dates as dt
@@ -29,10 +30,13 @@ def raw_documents(t: Tables):
 
 @query("json_documents", "SRC1", """SELECT celex_number, form, CAST(date_of_document AS VARCHAR) AS dated, length_chars FROM docs WHERE document_id % 17 <> 0""")
 def json_documents(t: Tables):
+    """Files of a few documents each (JSON arrays over several lines), among them files that cannot be read."""
     path = shared_dir(t.spark, "raw")
-    raw_documents(t).write.json(path)
-    # Written line by line here; the reader's multi-line mode is for one document per file.
-    back = t.spark.read.schema(sch.RAW_DOCUMENT_DDL).option("recursiveFileLookup", True).json(path).filter(F.col("metadata.celex_number").isNotNull())
+    held = raw_documents(t).select(F.to_json(F.struct("metadata", "content"), {"pretty": "true"}).alias("j"), F.pmod(F.xxhash64("content"), F.lit(40)).alias("part"))
+    files = held.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    broken = t.spark.createDataFrame([(100, '{"metadata": {"celex'), (101, "")], "part int, value string")
+    files.unionByName(broken).repartition(42, "part").write.partitionBy("part").text(path)
+    back = rd.read_raw_documents(t.spark, path, "*.txt")
     return back.select("metadata.celex_number", "metadata.form", dt.parse_date(F.col("metadata.dates.`Date of document`")).cast("string").alias("dated"), F.length("content").cast("long").alias("length_chars"))
 
 
@@ -61,20 +65,30 @@ def loaded_documents(t: Tables):
     return rd.load_documents(back, keys).select("doc_id", "journal_id")
 
 
-@query("corpus_tables", "SRC3", """SELECT 'authors' AS table_name, count(DISTINCT source) AS n FROM docs WHERE document_id % 17 <> 0 UNION ALL SELECT 'documents', count(*) FROM docs WHERE document_id % 17 <> 0
-    UNION ALL SELECT 'document_subject_matters', count(*) * 2 FROM docs WHERE document_id % 17 <> 0 UNION ALL SELECT 'forms', count(DISTINCT coalesce(form, '')) FROM docs WHERE document_id % 17 <> 0""")
+@query("corpus_tables", "SRC3", """WITH k AS (SELECT * FROM docs WHERE document_id % 17 <> 0) SELECT 'authors' AS table_name, count(DISTINCT source) AS n, count(DISTINCT source) AS ids FROM k UNION ALL SELECT 'documents', count(*), count(*) FROM k
+    UNION ALL SELECT 'document_authors', count(*), count(*) FROM k UNION ALL SELECT 'document_subject_matters', count(*) * 2, count(*) FROM k UNION ALL SELECT 'forms', count(DISTINCT form), count(DISTINCT form) FROM k
+    UNION ALL SELECT 'responsible_bodies', count(DISTINCT lang), count(DISTINCT lang) FROM k UNION ALL SELECT 'subject_matters', count(DISTINCT v), count(DISTINCT v) FROM (SELECT source AS v FROM k UNION ALL SELECT lang FROM k)
+    UNION ALL SELECT 'eurovoc_descriptors', count(DISTINCT lang), count(DISTINCT lang) FROM k UNION ALL SELECT 'document_eurovoc_descriptors', count(*), count(*) FROM k
+    UNION ALL SELECT 'directory_codes', count(*), count(DISTINCT source) FROM (SELECT DISTINCT source, lang FROM k) UNION ALL SELECT 'document_directory_codes', count(*), count(*) FROM k
+    UNION ALL SELECT 'document_sections', count(*), count(DISTINCT document_id) FROM secs WHERE document_id % 17 <> 0 UNION ALL SELECT 'document_keywords', count(*), count(DISTINCT document_id) FROM kws WHERE document_id % 17 <> 0""")
 def corpus_tables(t: Tables):
-    """Raw documents turned into the relational tables, written, read back with their declared schema."""
+    """All 13 relational tables, written, registered with their declared schemas and counted through the views."""
     from docloom.plans.ingest import to_corpus
 
     path = shared_dir(t.spark, "raw")
     raw_documents(t).write.json(path)
     raw = t.spark.read.schema(sch.RAW_DOCUMENT_DDL).json(path)
     tables = to_corpus(raw.filter(F.col("metadata.celex_number").isNotNull()))
+    key = t.docs.filter("document_id % 17 <> 0").select("document_id", F.xxhash64("celex_number").alias("id"))
+    own = lambda df: df.join(key, "document_id").withColumn("document_id", F.col("id"))
+    tables["document_sections"] = own(t.secs).select(F.xxhash64("document_id", "section_order").alias("section_id"), "document_id", "content", "section_type", "section_order", F.col("word_count").cast("int").alias("word_count"))
+    tables["document_keywords"] = own(t.kws).select(F.xxhash64("document_id", "keyword").alias("id"), "document_id", "keyword", "score")
     base, out = shared_dir(t.spark, "corpus"), None
-    for name in ("authors", "documents", "document_subject_matters", "forms"):
-        wr.replace_table(tables[name], f"{base}/{name}")
-        n = t.spark.read.parquet(f"{base}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+    for name, df in tables.items():
+        wr.replace_table(df, f"{base}/{name}")
+    first = {"documents": "document_id", "forms": "form_id", "responsible_bodies": "body_id", "authors": "author_id", "eurovoc_descriptors": "descriptor_id", "subject_matters": "subject_id", "directory_codes": "directory_id"}
+    for name in rd.register_corpus(t.spark, base):
+        n = t.spark.table(name).agg(F.count("*").alias("n"), F.count_distinct(first.get(name, "document_id")).alias("ids")).select(F.lit(name).alias("table_name"), "n", "ids")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -116,8 +130,11 @@ def sweep_rows(t: Tables):
 
 @query("updated_summaries", "SNK2", r"""SELECT document_id, CASE WHEN document_id % 7 = 0 THEN title ELSE summary END AS summary, total_words FROM summarised""")
 def updated_summaries(t: Tables):
-    new = t.summarised.filter(F.col("summary").isNull()).select("document_id", F.col("title").alias("summary"))
-    return wr.update_fields(t.summarised, new, "document_id", ["summary"]).select("document_id", "summary", "total_words")
+    """Every document to update has two updates; the later one counts."""
+    todo = t.summarised.filter(F.col("summary").isNull())
+    final = todo.select("document_id", F.col("title").alias("summary"), F.lit(2).alias("seq"))
+    draft = todo.select("document_id", F.concat(F.lit("zz draft "), F.col("title")).alias("summary"), F.lit(1).alias("seq"))
+    return wr.update_fields(t.summarised, final.unionByName(draft), "document_id", ["summary"], ["seq"]).select("document_id", "summary", "total_words")
 
 
 @query("upserted_sections", "SNK3", """SELECT document_id, section_order, CASE WHEN document_id % 5 = 0 THEN md5('new ' || content) ELSE md5(content) END AS content_md5 FROM secs
@@ -126,7 +143,7 @@ def upserted_sections(t: Tables):
     base = t.secs.select("document_id", "section_order", "content")
     changed = base.filter(F.pmod("document_id", F.lit(5)) == 0).withColumn("content", F.concat(F.lit("new "), F.col("content")))
     added = t.docs.select("document_id", F.lit(-1).alias("section_order"), F.lit("added").alias("content"))
-    once = wr.upsert(base, changed.unionByName(added), ["document_id", "section_order"])
+    once = wr.upsert(base, changed.unionByName(added), ["document_id", "section_order"], ["content"])
     return once.select("document_id", "section_order", F.md5("content").alias("content_md5"))
 
 
@@ -158,9 +175,11 @@ def rebuilt_sections(t: Tables):
 @query("saved_profiles", "SNK7", """WITH old AS (SELECT user_id, min(event_type) AS body, min(ts) AS at FROM events WHERE event_type <> 'signup' GROUP BY 1), new AS (SELECT user_id, 'new' AS body, max(ts) AS at FROM events WHERE event_type = 'signup' AND value > 50 GROUP BY 1)
     SELECT user_id, coalesce(new.body, old.body) AS body, CAST(coalesce(old.at, new.at)::DATE AS VARCHAR) AS created, CAST(coalesce(new.at, old.at)::DATE AS VARCHAR) AS updated FROM old FULL JOIN new USING (user_id)""")
 def saved_profiles(t: Tables):
+    """Every sign-up is an update of its own; the last of a user counts."""
     e = t.raw("events")
     old = e.filter("event_type <> 'signup'").groupBy("user_id").agg(F.min("event_type").alias("body"), F.min("ts").alias("created_at"), F.min("ts").alias("updated_at"))
-    new = e.filter("event_type = 'signup' and value > 50").groupBy("user_id").agg(F.lit("new").alias("body"), F.max("ts").alias("updated_at"))
+    signups = e.filter("event_type = 'signup' and value > 50").withColumn("last", F.max("ts").over(Window.partitionBy("user_id")))
+    new = signups.select("user_id", F.when(F.col("ts") == F.col("last"), "new").otherwise("old").alias("body"), F.col("ts").alias("updated_at"))
     out = wr.save_profiles(old, new)
     day = lambda c: F.to_date(c).cast("string")
     return out.select("user_id", "body", day("created_at").alias("created"), day("updated_at").alias("updated"))
@@ -187,7 +206,7 @@ def stored_byte_totals(t: Tables):
     return wr.stored_bytes(t.spark, t.dir)
 
 
-@query("edited_profiles", "SNK11", """WITH h AS (SELECT user_id, count(DISTINCT d) AS history FROM (SELECT user_id, doc_id AS d FROM history UNION ALL SELECT user_id, event_id % 500 FROM events WHERE event_type = 'click') GROUP BY 1),
+@query("edited_profiles", "SNK11", """WITH h AS (SELECT user_id, count(DISTINCT d) AS history FROM (SELECT user_id, doc_id AS d FROM history UNION ALL SELECT user_id, event_id % (SELECT count(*) FROM embeddings) FROM events WHERE event_type = 'click') GROUP BY 1),
     x AS (SELECT user_id, max_by('text ' || event_id, event_id) AS expert_description FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT h.user_id::VARCHAR AS user_id, coalesce(x.expert_description, 'first') AS expert_description, history FROM h LEFT JOIN x USING (user_id)""")
 def edited_profiles(t: Tables):
@@ -197,6 +216,6 @@ def edited_profiles(t: Tables):
         u, F.lit("first").alias("expert_description"), "historical_documents", F.lit(None).cast(pref).alias("preferences"))
     e = t.raw("events")
     text = e.filter("event_type = 'signup'").select(u, F.col("event_id").alias("seq"), F.lit("set_text").alias("op"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"))
-    add = e.filter("event_type = 'click'").select(u, F.col("event_id").alias("seq"), F.lit("add_history").alias("op"), F.pmod("event_id", F.lit(500)).cast("string").alias("text"))
+    add = e.filter("event_type = 'click'").select(u, F.col("event_id").alias("seq"), F.lit("add_history").alias("op"), F.pmod("event_id", F.lit(t.n_vectors)).cast("string").alias("text"))
     out = wr.apply_profile_edits(base, text.unionByName(add).withColumn("preferences", F.lit(None).cast(pref)))
     return out.select("user_id", "expert_description", F.size("historical_documents").cast("long").alias("history"))

@@ -32,7 +32,7 @@ _RATED = ", ".join(f"count(*) FILTER (rating = {r}) AS rated_{r}" for r in range
 def streamed_ratings(t: Tables):
     base, mark = shared_dir(t.spark, "ratings"), shared_dir(t.spark, "mark")
     rated = stream(t, "events").select(
-        F.pmod("event_id", F.lit(200)).alias("document_id"), (F.lit(1) + F.least(F.lit(4), F.floor(F.col("value") / 100))).cast("int").alias("rating"))
+        F.pmod("event_id", F.lit(t.n_documents)).alias("document_id"), (F.lit(1) + F.least(F.lit(4), F.floor(F.col("value") / 100))).cast("int").alias("rating"))
     table = inc.KeyedTable(t.spark, base, ["document_id"])
     finish(inc.run_batches(inc.running_ratings(rated), mark, table.fold, "update"))
     return table.read()

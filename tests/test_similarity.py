@@ -1,4 +1,4 @@
-"""Exact top-k against brute force, on both ways through the operator."""
+"""Exact top-k against brute force, in one cell and in many."""
 
 import numpy as np
 import pytest
@@ -22,9 +22,9 @@ def frames(spark, q, d, qid="long"):
     return qs, ds
 
 
-@pytest.mark.parametrize("query_rows,doc_rows", [(8192, 16384), (7, 11)])
+@pytest.mark.parametrize("query_bytes,doc_groups", [(64 << 20, None), (7 * 8 * 8, 5), (64, 1)])
 @pytest.mark.parametrize("skip_self", [False, True])
-def test_top_k_equals_brute_force(spark, query_rows, doc_rows, skip_self):
+def test_top_k_equals_brute_force(spark, query_bytes, doc_groups, skip_self):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(60, 8))
     base[20:40] = base[3]          # a third of the documents are copies: ties at the cut
@@ -32,7 +32,7 @@ def test_top_k_equals_brute_force(spark, query_rows, doc_rows, skip_self):
     d = [(i, base[i]) for i in range(60)]
     q = d[:30]
     qs, ds = frames(spark, q, d)
-    got = sm.top_k(qs, ds, 6, skip_self=skip_self, query_rows=query_rows, doc_rows=doc_rows)
+    got = sm.top_k(qs, ds, 6, skip_self=skip_self, query_bytes=query_bytes, doc_groups=doc_groups)
     rows = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect())
     want = brute(q, d, 6, skip_self)
     assert [(a, b, r) for a, b, _, r in rows] == [(a, b, r) for a, b, _, r in want]
