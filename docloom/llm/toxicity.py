@@ -32,7 +32,7 @@ SECOND_PERSON = "you your youre du dich dein ihr tu toi vous tú te eres usted"
 PATTERNS = ("any lexicon, twice", "lexicon after second person", "shouted: half the letters are capitals", "three exclamation marks in a row")
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
 LEVELS = (1, 2, 4)  # a mined beginning has a voter for each: so many words of the text start with it
-SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 9000  # labelled learning rows the words are mined on, at most; about that many are drawn
+SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 9000  # labelled learning rows the words are mined on; together never more
 MINED = 40  # mined terms at most
 TEXT_SAMPLE = 16_384  # bytes; longer texts are not mined (they are scored, as every text)
 ROUNDS = 10
@@ -122,21 +122,21 @@ def votes(column: pa.Array, held: Voters) -> np.ndarray:
     return out
 
 
-def mine(labelled: DataFrame) -> list[tuple[str, bytes]]:
-    """labelled: doc_id, text, toxic. Words and word beginnings of toxic texts.
+def mine(texts: DataFrame, known: DataFrame) -> list[tuple[str, bytes]]:
+    """texts: doc_id, text; known: doc_id, toxic (0 or 1), ids once. Words and word beginnings of toxic texts.
 
     Kept are those in at least 3 toxic texts with 8 of 10 uses, rates compared, in toxic texts and a log-likelihood ratio
     that chance among a million terms hardly gives; the most telling first, of equals the longest, and no term that a
     kept beginning covers or that begins it.
     """
-    usable = labelled.where(F.octet_length("text").between(1, TEXT_SAMPLE) & F.col("toxic").isin(0, 1))
-    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
         return []
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mine")), F.lit(1 << 30))
     most = {1: SAMPLE_TOXIC, 0: SAMPLE_OTHER}
     rate = F.create_map(*[F.lit(x) for y, n in totals.items() for x in (y, int((1 << 30) * min(1.0, 0.9 * most[y] / n)))])
-    sample = usable.where(draw < rate[F.col("toxic")]).select("toxic", "text")
+    drawn = known.where(draw < rate[F.col("toxic")]).limit(SAMPLE_TOXIC + SAMPLE_OTHER)  # so many ids at most: a broadcast of 200 KB
+    sample = texts.where(F.octet_length("text").between(1, TEXT_SAMPLE)).join(F.broadcast(drawn), "doc_id").select("toxic", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bytes], list[int]] = {}
@@ -265,7 +265,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column) -> DataFrame:
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn)
     texts = docs.select("doc_id", "text")
-    held = voters(mine(texts.where(learn).join(known, "doc_id")))
+    held = voters(mine(texts, known))
     m = len(held.names)
     sent = docs.sparkSession.sparkContext.broadcast(held)  # at most MINED terms and the lists above
 
