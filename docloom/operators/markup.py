@@ -301,11 +301,16 @@ def document_links(parsed: DataFrame, key: str = "page_id", base: str = ky.BASE_
 
 # -- sections ------------------------------------------------------------------------------------------------
 
+def below(nodes: Column, e: Column) -> Column:
+    """Elements inside ``e``: they follow it in document order, so they are one slice, whatever else the page holds."""
+    return F.slice(nodes, e["seq"] + 1, F.greatest(e["last"] - e["seq"], F.lit(0)))
+
+
 def table_text(nodes: Column, pieces: Column, table: Column) -> Column:
     """Text of a table: ``n text`` for a numbered-paragraph table, else its rows line by line."""
 
     def cell_text(c: Column) -> Column:
-        notes = F.filter(nodes, lambda e: inside(e, c) & e["tag"].isin("a", "span") & has_class(e, NOTE_CLASS))
+        notes = F.filter(below(nodes, c), lambda e: e["tag"].isin("a", "span") & has_class(e, NOTE_CLASS))
         kept = F.filter(
             F.transform(F.sequence(c["t0"], c["t1"]), lambda i: F.when(
                 (i < c["t1"]) & ~F.exists(notes, lambda n: (i >= n["t0"]) & (i < n["t1"])), F.get(pieces, i)["s"])),
@@ -313,21 +318,22 @@ def table_text(nodes: Column, pieces: Column, table: Column) -> Column:
         )
         return F.array_join(kept, "")
 
-    cols = F.filter(nodes, lambda e: (e["tag"] == "col") & inside(e, table))
-    cells = F.filter(nodes, lambda e: (e["tag"] == "td") & inside(e, table))
+    own = below(nodes, table)
+    cols = F.filter(own, lambda e: e["tag"] == "col")
+    cells = F.filter(own, lambda e: e["tag"] == "td")
     numbered = (F.size(cols) == 2) & F.exists(cols, lambda c: F.coalesce(c["width"], F.lit("")).contains("4%"))
     body = tx.strip(cell_text(F.get(cells, F.lit(1))))
     numbered_text = F.when((F.size(cells) > 1) & (body != ""), F.concat_ws(" ", tx.strip(cell_text(F.get(cells, F.lit(0)))), body)).otherwise("")
 
     def row_text(tr: Column) -> Column:
         def build(cs: Column) -> Column:
-            ok = lambda c: (F.size(cs) > 1) | F.exists(nodes, lambda e: inside(e, c) & ((e["tag"] == "span") | ((e["tag"] == "p") & has_class(e, "oj-normal"))))
+            ok = lambda c: (F.size(cs) > 1) | F.exists(below(nodes, c), lambda e: (e["tag"] == "span") | ((e["tag"] == "p") & has_class(e, "oj-normal")))
             texts = F.transform(F.filter(cs, ok), lambda c: tx.clean_legal_text(cell_text(c)))
             return F.array_join(F.filter(texts, lambda s: (s != "") & ~s.rlike(r"^\d+$")), " ")
 
-        return let(F.filter(nodes, lambda e: e["tag"].isin("td", "th") & inside(e, tr)), build)
+        return let(F.filter(below(nodes, tr), lambda e: e["tag"].isin("td", "th")), build)
 
-    lines = F.transform(F.filter(nodes, lambda e: (e["tag"] == "tr") & inside(e, table)), row_text)
+    lines = F.transform(F.filter(own, lambda e: e["tag"] == "tr"), row_text)
     plain = F.array_join(F.filter(lines, lambda s: s != ""), "\n")
     return F.when(numbered, numbered_text).otherwise(plain)
 
@@ -345,18 +351,18 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
     def child_text(parent: Column) -> Column:
         """Texts of the direct paragraphs, tables and spans of a subdivision, in that order."""
-        kids = lambda tag: F.filter(nodes, lambda e: (e["parent"] == parent["seq"]) & (e["tag"] == tag))
+        kids = lambda tag: F.filter(below(nodes, parent), lambda e: (e["parent"] == parent["seq"]) & (e["tag"] == tag))
         paragraphs = F.transform(F.filter(kids("p"), lambda e: has_class(e, "oj-normal")), clean)
         tables = F.transform(kids("table"), lambda t: table_text(nodes, pieces, t))
         return F.concat(paragraphs, tables, F.transform(kids("span"), clean))
 
     def inline_text(e: Column) -> Column:
-        ps = F.filter(nodes, lambda p: (p["tag"] == "p") & inside(p, e) & (p["style"] == "display: inline;"))
+        ps = F.filter(below(nodes, e), lambda p: (p["tag"] == "p") & (p["style"] == "display: inline;"))
         return F.array_join(F.filter(F.transform(ps, clean), lambda s: s != ""), " ")
 
     box = F.col("_box")
-    in_box = lambda name: F.filter(nodes, lambda e: (e["tag"] == "div") & has_class(e, name) & inside(e, box))
-    loose = F.filter(nodes, lambda e: (e["tag"] == "p") & has_class(e, "oj-normal") & (e["parent"] == box["seq"]))
+    in_box = lambda name: F.filter(below(nodes, box), lambda e: (e["tag"] == "div") & has_class(e, name))
+    loose = F.filter(below(nodes, box), lambda e: (e["tag"] == "p") & has_class(e, "oj-normal") & (e["parent"] == box["seq"]))
     main_parts = F.concat(
         F.transform(in_box("oj-enumeration-spacing"), inline_text),
         F.flatten(F.transform(in_box("eli-subdivision"), child_text)),
@@ -368,14 +374,15 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     order = lambda e: F.array_min(F.transform(e["classes"], lambda c: F.nullif(F.array_position(titles, c), F.lit(0))))
     titles = F.array(*(F.lit(n) for n in TITLE_CLASSES))
     annex = lambda e: has_class(e, "oj-doc-ti") & tx.strip(text_of(pieces, e)).rlike("^ANNEX [IVX]+$")
-    held = held.withColumn("_marks", F.filter(nodes, lambda e: has_class(e, *TITLE_CLASSES)))
-    heads = F.transform(F.filter("_marks", lambda e: ~annex(e)), lambda e: F.struct(order(e).alias("o"), e["seq"].alias("seq"), e.alias("e")))
-    held = held.withColumn("_heads", F.sort_array(heads))
+    # Sorted by level and place, the next heading of a heading's level stands right after it.
+    marks = F.sort_array(F.transform(F.filter(nodes, lambda e: has_class(e, *TITLE_CLASSES)), lambda e: F.struct(e["parent"].alias("parent"), e["seq"].alias("seq"), e.alias("e"))))
+    after = F.zip_with(F.col("_marks"), F.slice(F.col("_marks"), 2, F.greatest(F.size("_marks") - 1, F.lit(0))), lambda m, n: F.struct(
+        order(m["e"]).alias("o"), m["seq"].alias("seq"), m["e"].alias("e"), F.when(n["parent"] == m["parent"], n["seq"]).alias("next")))
+    held = held.withColumn("_marks", marks).withColumn("_heads", F.sort_array(F.filter(after, lambda h: ~annex(h["e"]))))
 
-    def body(h: Column) -> Column:
-        later = F.filter("_marks", lambda m: (m["parent"] == h["parent"]) & (m["seq"] > h["seq"]))
+    def body(h: Column, following_head: Column) -> Column:
         level_end = F.when(h["parent"] > 0, F.get(nodes, h["parent"] - 1)["last"]).otherwise(F.size(nodes))
-        stop = F.least(level_end, F.get(later, F.lit(0))["seq"] - 1)
+        stop = F.least(level_end, following_head - 1)
         following = F.filter(F.slice(nodes, h["seq"] + 1, F.greatest(stop - h["seq"], F.lit(0))), lambda e: e["parent"] == h["parent"])
         parts = F.flatten(F.transform(
             following,
@@ -385,7 +392,7 @@ def sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:
         return joined(F.array_distinct(parts))
 
     titled = F.transform("_heads", lambda h: F.struct(
-        clean(h["e"]).alias("title"), body(h["e"]).alias("content"), F.element_at(titles, h["o"].cast("int")).alias("section_type")))
+        clean(h["e"]).alias("title"), body(h["e"], h["next"]).alias("content"), F.element_at(titles, h["o"].cast("int")).alias("section_type")))
 
     def fixed(title: str, content: Column, kind: str) -> Column:
         return F.array(F.struct(F.lit(title).alias("title"), content.alias("content"), F.lit(kind).alias("section_type")))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as cp
 from ..operators import markup as mk
+from ..session import materialise
 
 
 def build_sections(documents: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sections of documents (document_id, html_content) not sectioned yet, and per-document totals with errors."""
     todo = cp.without_sections(documents.filter(F.coalesce(F.trim("html_content"), F.lit("")) != ""), existing)
-    parsed = mk.parse_pages(todo, "document_id", "html_content", mk.UNWANTED_CLASSES)
+    parsed = materialise(mk.parse_pages(todo, "document_id", "html_content", mk.UNWANTED_CLASSES), "parsed")
     sections = mk.sections(parsed, "document_id")
     totals = sections.groupBy("document_id").agg(F.count("*").alias("sections"), F.sum("word_count").alias("total_words"))
     report = parsed.select("document_id", "error").join(totals, "document_id", "left").select(
@@ -27,15 +28,21 @@ def ingest(links: DataFrame, metadata_pages: DataFrame, content_pages: DataFrame
 
     ``links``: (document_id, journal_date); pages: (document_id, html). Returns (stored, rejected, counters).
     Fetching pages is not part of it.
+
+    Of several links or pages of an id the largest counts, of several ids with one key the smallest id; the others are
+    left out as already processed. Pages are parsed once: what is read from them is written and serves all three results.
     """
-    wanted = links.select("document_id", "journal_date").dropDuplicates(["document_id"])
-    meta = mk.metadata(mk.parse_pages(metadata_pages.join(wanted.select("document_id"), "document_id", "left_semi"), "document_id"), "document_id")
-    text = mk.main_text(mk.parse_pages(content_pages, "document_id"), "document_id")
-    joined = (
+    wanted = links.groupBy("document_id").agg(F.max("journal_date").alias("journal_date"))
+    one = lambda pages: pages.join(wanted.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(F.max("html").alias("html"))
+    meta = mk.metadata(mk.parse_pages(one(metadata_pages), "document_id"), "document_id")
+    text = mk.main_text(mk.parse_pages(one(content_pages), "document_id"), "document_id")
+    joined = materialise((
         wanted.join(meta.withColumnRenamed("error", "meta_error"), "document_id", "left")
         .join(text.withColumnRenamed("error", "text_error"), "document_id", "left")
-    )
-    fresh = cp.unseen(joined.filter(F.col("celex_number").isNotNull()), known)
+    ), "ingest")
+    keyed = joined.filter(F.col("celex_number").isNotNull())
+    first = keyed.groupBy("celex_number").agg(F.min("document_id").alias("document_id"))
+    fresh = cp.unseen(keyed.join(first, ["celex_number", "document_id"], "left_semi").select(joined.columns), known)
     unread = joined.filter(F.col("celex_number").isNull())
     checked = mk.validate(fresh.unionByName(unread))
     reasons = F.concat("reasons", F.array_compact(F.array("meta_error", "text_error")))

@@ -10,18 +10,31 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.writers import latest
 
 
-def new_documents(stream: DataFrame, key: str = "celex_number", seen_at: str | None = None, delay: str = "30 days") -> DataFrame:
-    """Stream rows whose key has not come before.
+def append_new(base: str, key: str = "celex_number") -> Callable[[DataFrame, int], None]:
+    """Batch handler: rows whose key has not come before are added to the table in ``base``, one folder per batch.
 
-    With an arrival time the state is dropped after ``delay``; without one every key is remembered.
+    What has come before is looked up in the table itself, so no state grows with the stream and no key is ever
+    forgotten. A repeated batch compares with earlier batches only and rewrites its own folder. Of rows that share a
+    key in one batch one is kept. ``read_new`` reads the table.
     """
-    if seen_at is None:
-        return stream.dropDuplicates([key])
-    return stream.withWatermark(seen_at, delay).dropDuplicatesWithinWatermark([key])
+
+    def handle(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number > 0:
+            seen = read_new(batch.sparkSession, base, batch.schema).filter(F.col("batch") < number).select(key)
+            fresh = fresh.join(seen, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{base}/batch={number}")
+
+    return handle
+
+
+def read_new(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(base)
 
 
 def running_ratings(stream: DataFrame) -> DataFrame:
@@ -33,7 +46,7 @@ def running_ratings(stream: DataFrame) -> DataFrame:
 
 
 def daily_counts(stream: DataFrame, at: str, status: str, delay: str = "1 day") -> DataFrame:
-    """Events per day and status; a day is final once the watermark has passed it."""
+    """Events per day and status, kept current in update mode; the state of a day goes once the watermark has passed it."""
     return (
         stream.withWatermark(at, delay)
         .groupBy(F.window(at, "1 day").alias("w"), status).agg(F.count("*").alias("n"))
@@ -61,7 +74,8 @@ class KeyedTable:
 
     A batch only writes its own rows, reduced to the last one per key, so the cost of a batch follows the batch and
     not the table. Replaying a batch after a failure rewrites the same folder with the same rows. Readers take the
-    newest batch per key; ``compact`` folds the log into a new base when it has grown.
+    last row per key by ``order``, whatever batch it came in, or without an order the newest batch; ``compact`` folds the
+    log into a new base when it has grown.
     """
 
     def __init__(self, spark: SparkSession, base: str, keys: Sequence[str], order: Sequence[str] = ()):
@@ -73,7 +87,7 @@ class KeyedTable:
 
     def read(self) -> DataFrame:
         log = self.spark.read.parquet(self.base)
-        return latest(log, self.keys, ["batch", *self.order]).drop("batch")
+        return latest(log, self.keys, [*self.order, "batch"]).drop("batch")
 
     def compact(self, to: str) -> "KeyedTable":
         self.read().write.mode("overwrite").parquet(f"{to}/batch=-1")

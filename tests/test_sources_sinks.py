@@ -149,8 +149,23 @@ def test_new_documents_across_restarts(spark, tmp_path):
     for keys in (["a", "b", "a"], ["b", "c"]):
         write(keys)
         s = spark.readStream.schema("celex_number string").parquet(str(src))
-        inc.run_to_table(inc.new_documents(s), out, mark).awaitTermination()
-    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+        inc.run_batches(s, mark, inc.append_new(out), "append").awaitTermination()
+    assert sorted(r[0] for r in inc.read_new(spark, out, s.schema).collect()) == ["a", "b", "c"]
+    inc.append_new(out)(spark.createDataFrame([("b",), ("c",)], "celex_number string"), 1)  # a repeated batch changes nothing
+    assert sorted(r[0] for r in inc.read_new(spark, out, s.schema).collect()) == ["a", "b", "c"]
+
+
+def test_late_updates_do_not_win(spark, tmp_path):
+    table = inc.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["seq"])
+    for number, seq in enumerate((5, 3)):
+        table.fold(spark.createDataFrame([("a", seq)], "k string, seq long"), number)
+    assert [tuple(r) for r in table.read().collect()] == [("a", 5)]
+
+
+def test_repeated_updates_keep_one_row(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, t string, u string")
+    new = spark.createDataFrame([(1, "first", 1), (1, "last", 2), (3, "none", 1)], "id long, t string, seq int")
+    assert sorted(map(tuple, wr.update_fields(target, new, "id", ["t"], ["seq"]).collect())) == [(1, "last", "x"), (2, "b", "y")]
 
 
 def test_sample_is_exact_and_stable(spark):
