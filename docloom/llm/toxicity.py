@@ -5,7 +5,7 @@
 3. A generative model with a hidden class is fitted by expectation-maximisation on counts of vote patterns; labels, where
    a learning row has one, fix its class. It estimates how often each voter fires in each class, and in a last round the
    correlation of every two voters within a class; a voter counts less the more it repeats others.
-4. The model's posteriors are the soft labels on which logistic regression over the votes is trained; it gives the score.
+4. The model's posteriors (a learning row's label, where it has one) are the soft labels on which logistic regression over the votes is trained; it gives the score.
 """
 
 from __future__ import annotations
@@ -234,12 +234,16 @@ def _dense(lists: pa.Array, m: int) -> np.ndarray:
 
 
 def fit_linear(rows: list, model: LabelModel, m: int, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Logistic regression of soft labels on votes by Newton steps; the last weight is the constant. rows: (votes, n)."""
+    """Logistic regression of soft labels on votes by Newton steps; the last weight is the constant.
+
+    rows: votes, n, and how many of these are labelled bad and good; the label model's posterior stands for the others.
+    """
     fired = np.zeros((len(rows), m + 1))
     n = np.array([r["n"] for r in rows], float)
     for i, r in enumerate(rows):
         fired[i, r["votes"]] = 1
-    q = model.posterior(fired[:, :m] > 0)
+    bad, good = (np.array([r[c] for r in rows], float) for c in ("bad", "good"))
+    q = (bad + (n - bad - good) * model.posterior(fired[:, :m] > 0)) / np.maximum(n, 1)
     fired[:, m] = 1
     w = np.zeros(m + 1)
     w[m] = np.log(model.prior / (1 - model.prior))
@@ -282,7 +286,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column) -> DataFrame:
     patterns = voted.where(learn).join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n"))
     patterns = written(patterns, "patterns")
     model = fit_labels(patterns, m)
-    top = patterns.groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(LINEAR_PATTERNS).collect()
+    top = patterns.groupBy("votes").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "bad"), (0, "good")))).orderBy(F.desc("n"), "votes").limit(LINEAR_PATTERNS).collect()
     weights = fit_linear(top, model, m)
     each = F.array(*map(F.lit, map(float, weights[:m])))
     odds = F.aggregate("votes", F.lit(float(weights[m])), lambda s, v: s + F.element_at(each, v + 1))
