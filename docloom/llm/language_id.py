@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,25 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> crf.Model | None:
     """labelled: doc_id, text, lang. Null or empty texts and null languages are left out; without any rows: None.
 
     The sample is drawn by a hash of doc_id at a rate for each language, so it is spread over the whole table; its
-    bound is 2 * texts for each language, whatever the table holds.
+    bound is 2 * texts for each language, whatever the table holds. One task fits the model; only the model reaches the
+    driver.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, SAMPLE_BYTES))
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    sample: list[tuple[str, str]] = []
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    if totals:
-        rate = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
-        drawn = rows.where(draw < rate[F.col("lang")]).select("lang", "text", "doc_id").limit(2 * texts * len(totals))
-        sample = sorted((r["lang"], r["text"]) for r in drawn.collect())
-    return crf.train([t for _, t in sample], [y for y, _ in sample])
+    if not totals:
+        return None
+    rate = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
+    drawn = rows.where(draw < rate[F.col("lang")]).select("lang", "text").limit(2 * texts * len(totals)).coalesce(1)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(pair for b in batches for pair in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True))
+        model = crf.train([t for _, t in sample], [y for y, _ in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model and tuple(vars(model).values()))], pa.binary())], ["model"])
+
+    fitted = drawn.mapInArrow(train, "model binary").collect()
+    parts = pickle.loads(fitted[0]["model"]) if fitted else None
+    return crf.Model(*parts) if parts else None
 
 
 def word_posteriors(model: crf.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

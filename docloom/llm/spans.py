@@ -104,7 +104,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, spans: Spans) -> np.ndarray:
-    """Hash of each span's bytes by prefix sums of a polynomial, the same wherever the bytes stand."""
+    """Hash of each span's bytes by prefix sums of a polynomial, the same wherever the bytes stand.
+
+    Spans come in order and do not overlap; a long text is worked on a few MB of spans at a time.
+    """
+    if len(data) > 2 * SLICE_BYTES and len(spans.start) > 1:
+        out, a = np.empty(len(spans.start), np.uint64), 0
+        while a < len(spans.start):
+            low = int(spans.start[a])
+            b = max(a + 1, int(np.searchsorted(spans.start, low + SLICE_BYTES)))
+            part = Spans(spans.start[a:b] - low, spans.end[a:b] - low, spans.first)
+            out[a:b] = hash_spans(data[low : int(spans.end[b - 1])], part) if b - a < len(spans.start) else _hash(data, spans)
+            a = b
+        return out
+    return _hash(data, spans)
+
+
+def _hash(data: np.ndarray, spans: Spans) -> np.ndarray:
     power = _power_table(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[0, : len(data)], out=sums[1:])
