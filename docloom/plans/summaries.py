@@ -45,9 +45,9 @@ def replace_summaries(docs: DataFrame, rewritten: DataFrame) -> DataFrame:
     return update_fields(docs, made, "document_id", ("summary", "summary_word_count", "compression_ratio"))
 
 
-def add_keywords(docs: DataFrame, keywords: DataFrame, idf: Column, text: str = "content") -> DataFrame:
+def add_keywords(docs: DataFrame, keywords: DataFrame, idf: Column, text: str = "content", hash_name: str = "xxhash64") -> DataFrame:
     """Keyword table with keywords for every summarised document that had none (an anti join, no running offset)."""
     todo = cp.without_keywords(docs, keywords)
-    made = kw.extract_keywords(todo, idf, text)
+    made = kw.extract_keywords(todo, idf, text, hash_name=hash_name)
     # The anti join left only documents without keywords, so no key can clash: adding rows is the whole upsert.
     return keywords.select("document_id", "keyword", "score").unionByName(made)

@@ -202,4 +202,6 @@ def with_ctes(body: str) -> str:
     if not needed:
         return body
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in needed)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

@@ -188,14 +188,32 @@ def extracted_keywords(t: Tables):
     return kw.extract_keywords(t.texts, ex.corpus_idf(t.texts, hash_name="md5"), diversity=None, hash_name="md5")
 
 
-@query("diverse_keywords", "TXT17")
+# Rounds take the best candidate that shares no word with those taken; documents that run out of such candidates get the
+# diversity rule in full, as a fold over their few candidates.
+_LIKE_SQL = "(len(list_intersect(x.w, g.w)) / sqrt(len(x.w) * len(g.w)))"
+_DIVERSE_SQL = "WITH RECURSIVE " + _KW_SQL[5:_KW_SQL.index("SELECT document_id, keyword, score FROM (SELECT c.*")].rstrip() + f""",
+    cw AS MATERIALIZED (SELECT document_id, {{'n': -score, 't': keyword, 's': score, 'w': string_split(keyword, ' ')}} AS x, trunc(greatest(2.0, least(15.0, 2.5::DOUBLE * ln(greatest(total_words, 1)) - 4.77::DOUBLE)))::INT AS k
+      FROM cand JOIN (SELECT document_id, total_words FROM docs) d USING (document_id)),
+    walk(document_id, k, got) AS (SELECT document_id, any_value(k), [min(x)] FROM cw GROUP BY document_id
+      UNION ALL SELECT w.document_id, any_value(w.k), list_append(any_value(w.got), min(x)) FROM walk w JOIN cw ON cw.document_id = w.document_id
+        WHERE len(w.got) < w.k AND NOT list_has_any(flatten(list_transform(w.got, lambda g: g.w)), x.w) GROUP BY w.document_id),
+    near AS MATERIALIZED (SELECT document_id, arg_max(got, len(got)) AS got, any_value(k) AS k FROM walk GROUP BY document_id),
+    few AS (SELECT document_id, any_value(near.k) AS k, list(x ORDER BY x) AS c FROM near JOIN cw USING (document_id) GROUP BY document_id HAVING any_value(len(got)) < least(any_value(near.k), count(*))),
+    picked AS (SELECT document_id, got FROM near WHERE document_id NOT IN (SELECT document_id FROM few)
+      UNION ALL SELECT document_id, list_reduce(list_transform(range(0, k), lambda i: [c[1]]), lambda a, y: list_concat(a, list_transform(list_sort(list_transform(list_filter(c, lambda x: NOT list_contains(list_transform(a, lambda g: g.t), x.t)),
+        lambda x: {{'o': -round(0.3::DOUBLE * x.s - 0.7::DOUBLE * list_max(list_transform(a, lambda g: {_LIKE_SQL})), 9), 'x': x}}))[:1], lambda z: z.x))) AS got FROM few)
+    SELECT document_id, g.t AS keyword, g.s AS score FROM (SELECT document_id, unnest(got) AS g FROM picked)"""
+
+
+@query("diverse_keywords", "TXT17", _DIVERSE_SQL)
 def diverse_keywords(t: Tables):
-    return kw.extract_keywords(t.texts, ex.corpus_idf(t.texts))
+    return kw.extract_keywords(t.texts, ex.corpus_idf(t.texts, hash_name="md5"), hash_name="md5")
 
 
-@query("keyword_batch", "TXT18")
+@query("keyword_batch", "TXT18", f"""SELECT document_id, keyword, score FROM kws WHERE score >= 0.2
+    UNION ALL SELECT m.* FROM ({_DIVERSE_SQL}) m JOIN summarised s USING (document_id) WHERE s.summary IS NOT NULL AND document_id NOT IN (SELECT document_id FROM kws WHERE score >= 0.2)""")
 def keyword_batch(t: Tables):
-    return sm.add_keywords(spread(t.summarised), t.kws.filter("score >= 0.2"), ex.corpus_idf(t.texts)).select("document_id", "keyword", "score")
+    return sm.add_keywords(spread(t.summarised), t.kws.filter("score >= 0.2"), ex.corpus_idf(t.texts, hash_name="md5"), hash_name="md5").select("document_id", "keyword", "score")
 
 
 @query("replaced_summaries", "TXT19", rf"""SELECT document_id, CASE WHEN quality IS NOT NULL THEN {words_sql('title')} END::INT AS summary_word_count, CASE WHEN quality IS NOT NULL THEN round(coalesce({words_sql('title')}::DOUBLE / nullif(total_words, 0), 0), 6) END AS compression_ratio
