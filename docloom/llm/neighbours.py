@@ -5,10 +5,12 @@ product is the smallest distance. Each of a few random directions gives a sorted
 buckets. Around a query's own projection a window is opened in each array and widened round by round (virtual
 rehashing: only the new ends are read). A vector that lies in enough windows is verified against the query in double
 precision. A query ends when its k-th best is nearer than the radius of the round, or when all vectors were verified.
+Before it ends, the count is lowered so far that a vector as near as the k-th best reaches it almost surely.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ from docloom.llm.shared import written
 DIRECTIONS = 16
 RADII = tuple(0.1 * 1.5**i for i in range(8))  # of the rounds; unrelated unit vectors are 1.41 apart, the last radius is 1.71
 SHARE = 0.68  # of the windows a vector must lie in: as many as one at the radius itself lies in on average
+SURE = 0.9999  # probability that a vector as near as the k-th best is verified before its query ends
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 512
 ROWS = "query_id bigint, vec_id bigint, score double"
 
@@ -30,6 +33,20 @@ def _matrix(table: pa.Table, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
+def closing_count(radius: float, square: float) -> int:
+    """The most windows of this radius that a vector at this squared distance lies in with probability SURE at least.
+
+    Projections of a distance d are normal with deviation d and independent of each other.
+    """
+    p = math.erf(radius / math.sqrt(2 * square)) if square > 0 else 1.0
+    tail = 0.0
+    for m in range(DIRECTIONS, 0, -1):
+        tail += math.comb(DIRECTIONS, m) * p**m * (1 - p) ** (DIRECTIONS - m)
+        if tail >= SURE:
+            return m
+    return 0
+
+
 class Index:
     """Sorted projections of a block. Equal vectors are one entry with all their ids in ascending order."""
 
@@ -71,7 +88,8 @@ class Index:
                         hits[order[right[j] : hi[j]]] += 1
                 left, right = lo, hi
                 ids, scores = self._verify(np.flatnonzero((hits >= need) & ~seen), seen, vector, own, ids, scores, k)
-                if len(scores) >= k and 2 - 2 * scores[k - 1] / (self.norm * lengths[q]) <= radius * radius:
+                if len(scores) >= k and (square := 2 - 2 * scores[k - 1] / (self.norm * lengths[q])) <= radius * radius:
+                    ids, scores = self._verify(np.flatnonzero((hits >= closing_count(radius, square)) & ~seen), seen, vector, own, ids, scores, k)
                     break
             else:
                 ids, scores = self._verify(np.flatnonzero(~seen), seen, vector, own, ids, scores, k)

@@ -43,3 +43,33 @@ def test_copies_bad_vectors_and_small_tables(spark):
     assert run(spark, few, 20) == sorted(brute(few, 20, 20))
     assert run(spark, [], 20) == []
     assert run(spark, [(1, [1.0])], 20) == []
+
+
+@pytest.mark.parametrize("kind", ["random", "groups"])
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_recall_on_full_blocks(kind, blocks):
+    n, k = blocks * nb.BLOCK_VECTORS, 20
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64))
+    if kind == "groups":
+        x = rng.normal(size=(n // 200, 64))[rng.integers(0, n // 200, n)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, n, n // 50)[:50]
+    found = {int(q): [] for q in asked}
+    for b in range(blocks):
+        own = np.arange(b, n, blocks)
+        for q, ids, scores in nb.Index(own, x[own], 1 + 1e-12, 7).search(x[asked], asked, k):
+            found[q] += zip(-scores, ids, strict=True)
+    got = {(q, int(i)) for q, some in found.items() for _, i in sorted(some)[:k]}
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(q), int(i)) for q, s in zip(asked, score, strict=True) for i in np.argsort(-s)[:k]}
+    assert len(got & want) >= 0.99 * len(want)
+
+
+def test_closing_count_holds_for_the_kth_best():
+    rng = np.random.default_rng(2)
+    for radius, distance in [(1.0, 1.0), (1.139, 1.11), (1.0, 0.8), (0.5, 0.25)]:
+        inside = (np.abs(rng.normal(size=(100_000, nb.DIRECTIONS)) * distance) <= radius).sum(axis=1)
+        assert (inside >= nb.closing_count(radius, distance**2)).mean() >= 0.9995
+    assert nb.closing_count(0.1, 0.0) == nb.closing_count(0.1, -1e-16) == nb.DIRECTIONS
