@@ -1,5 +1,6 @@
 """Readers and writers over data derived from the driver tables."""
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,14 +29,32 @@ def raw_documents(t: Tables):
     return d.select(meta.alias("metadata"), "content")
 
 
+FILE_CHARS = 1 << 20  # of documents in one JSON file; a longer document has a file of its own
+
+
+def json_files(batches):
+    """Rows of JSON documents to rows of JSON arrays, each of at most FILE_CHARS characters or one document."""
+    held, size = [], 0
+    for batch in batches:
+        for j in batch.column(0):
+            j = j.as_py()
+            if held and size + len(j) > FILE_CHARS:
+                yield pa.record_batch([pa.array(["[" + ",\n".join(held) + "]"])], names=["value"])
+                held, size = [], 0
+            held.append(j)
+            size += len(j)
+    if held:
+        yield pa.record_batch([pa.array(["[" + ",\n".join(held) + "]"])], names=["value"])
+
+
 @query("json_documents", "SRC1", """SELECT celex_number, form, CAST(date_of_document AS VARCHAR) AS dated, length_chars FROM docs WHERE document_id % 17 <> 0""")
 def json_documents(t: Tables):
     """Files of a few documents each (JSON arrays over several lines), among them files that cannot be read."""
     path = shared_dir(t.spark, "raw")
-    held = raw_documents(t).select(F.to_json(F.struct("metadata", "content"), {"pretty": "true"}).alias("j"), F.pmod(F.xxhash64("content"), F.lit(40)).alias("part"))
-    files = held.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    broken = t.spark.createDataFrame([(100, '{"metadata": {"celex'), (101, "")], "part int, value string")
-    files.unionByName(broken).repartition(42, "part").write.partitionBy("part").text(path)
+    held = raw_documents(t).select(F.to_json(F.struct("metadata", "content"), {"pretty": "true"}).alias("j"))
+    broken = t.spark.createDataFrame([('{"metadata": {"celex',), ("",)], "value string")
+    # One row is one file. Documents are taken as they come: no shuffle, and files grow in number, not in size.
+    held.mapInArrow(json_files, "value string").unionByName(broken).write.option("maxRecordsPerFile", 1).text(path)
     back = rd.read_raw_documents(t.spark, path, "*.txt")
     return back.select("metadata.celex_number", "metadata.form", dt.parse_date(F.col("metadata.dates.`Date of document`")).cast("string").alias("dated"), F.length("content").cast("long").alias("length_chars"))
 

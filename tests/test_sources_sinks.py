@@ -185,3 +185,17 @@ def test_earliest_copy_with_a_hot_key(spark):
     assert kept.count() == 101 and removed.count() == 199
     assert kept.filter("celex_number = 'hot'").first().file_path == "p199"
     assert duplicate_keys(rows).count() == 200
+
+
+def test_json_files_stay_small_whatever_the_copies(spark, data, tmp_path, monkeypatch):
+    from suite import sources_sinks as ss
+    from suite.base import Tables
+
+    text = 'one "text"\nthat all share ' + "x" * 20_000
+    one = F.struct(F.struct(F.concat(F.lit("3"), F.col("id").cast("string")).alias("celex_number"), F.lit("f").alias("form"), F.struct(F.lit("05/01/2024").alias("Date of document")).alias("dates")).alias("metadata"), F.lit(text).alias("content"))
+    monkeypatch.setattr(ss, "raw_documents", lambda t: spark.range(0, 400, 1, 3).select(one.alias("d")).select("d.*"))
+    monkeypatch.setattr(ss, "shared_dir", lambda spark, name: str(tmp_path / name))
+    got = ss.json_documents(Tables(spark, data)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"3{i}", "f", "2024-01-05", len(text)) for i in range(400))
+    sizes = [f.stat().st_size for f in tmp_path.rglob("*.txt")]
+    assert max(sizes) <= 1.1 * (1 << 20) and len(sizes) >= 8
