@@ -33,11 +33,19 @@ def url_tokens(url: str, host: str, path: str) -> Column:
         words(F.col(path), "path:"), words(query, "query:")))
 
 
+def needed_share(base: float, lift: float) -> float:
+    """Share of bad URLs that stands out from the share ``base`` of all: ``lift`` times as many bad or as few good ones.
+
+    The lower of both is taken; the second is below 1 as long as any URL is good.
+    """
+    return min(lift * base, 1 - (1 - base) / lift)
+
+
 def mine_rules(labelled: DataFrame, support: float, least: int, confidence: float, lift: float) -> DataFrame:
     """labelled: tokens array<string>, bad boolean. Returns tokens, rare (the token the rule is indexed by), confidence, hits.
 
-    Kept are token sets on at least ``support`` of the labelled URLs (and ``least``), of which at least ``confidence``,
-    and ``lift`` times the general share, are bad; a set with a subset that does as well is left out. Tokens on the same
+    Kept are token sets on at least ``support`` of the labelled URLs (and ``least``), of which at least ``confidence``
+    and ``needed_share`` are bad; a set with a subset that does as well is left out. Tokens on the same
     URLs exactly are mined as one item, so copies of a long URL do not multiply into all subsets of its tokens.
     """
     numbered = written(labelled.where(F.col("bad").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
@@ -53,7 +61,7 @@ def mine_rules(labelled: DataFrame, support: float, least: int, confidence: floa
     n = baskets.count()
     if not n:
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, rare string, confidence double, hits bigint")
-    sure = min(1.0, max(confidence, lift * bad / total))
+    sure = max(confidence, needed_share(bad / total, lift))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, sure * max(least, support * total) / n), minConfidence=sure).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
     hits = F.round(F.col("support") * n / F.col("confidence")).cast("bigint")

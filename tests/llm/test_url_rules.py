@@ -64,3 +64,21 @@ def test_mined_rules_block_pages(spark):
     assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
     assert got[1000].verdict == "block" and got[1000].rule is None and got[1001].rule == "net/"
     assert url_rules.judge(p, spark.createDataFrame(labels, "page_id long, bad boolean").where(F.lit(False)), []).where("verdict = 'block'").count() == 0
+
+
+def test_needed_share_can_be_reached_at_every_base_rate():
+    for base in [i / 100 for i in range(1, 100)]:
+        share = url_rules.needed_share(base, 2.0)
+        assert base < share < 1 and (base > 1 / 3 or share == 2 * base)
+
+
+def test_rules_are_mined_when_most_labels_are_bad(spark):
+    for bad in (5, 7):  # of ten other pages
+        rng = random.Random(bad)
+        pages = [(i, f"http://{'spam' if i < 100 else 'good' if i < 200 else f'w{i}'}.example/{i}", i != 0 and (i < 100 or i >= 200 and rng.random() < bad / 10)) for i in range(1200)]
+        pages += [(i, f"http://w{i}.example/{i}", True) for i in range(1200, 1200 + (0 if bad == 5 else 140))]
+        df = spark.createDataFrame(pages, "page_id long, url string, bad boolean").repartition(3)
+        share = sum(b for _, _, b in pages) / len(pages)
+        assert abs(share - bad / 10) < 0.06
+        got = {r.page_id: r.verdict for r in url_rules.judge(df.select("page_id", "url"), df.select("page_id", "bad"), []).collect()}
+        assert all(got[i] == ("block" if i < 100 else "allow") for i, _, _ in pages)
