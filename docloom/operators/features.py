@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vc
 from ..functions.scores import FEATURE_WEIGHTS, MULTI_VALUED
 
 # Fields of a document that are no categories.
@@ -16,7 +15,6 @@ NOT_CATEGORICAL = (
     "id", "celex_number", "title", "summary", "total_words", "summary_word_count", "tier", "date_of_document",
     "date_of_effect", "date_of_end_validity", "keywords",
 )
-VOCABULARY_LIMIT = 20_000
 ENTROPY_SHARE, COVERAGE_SHARE = 0.7, 0.3
 
 
@@ -49,25 +47,48 @@ def dimensions(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("feature").agg(F.count("*").alias("dims"))
 
 
-def collect_vocabulary(vocab: DataFrame, limit: int = VOCABULARY_LIMIT) -> dict[str, list[str]]:
-    """A small vocabulary as plain lists for dense encoding; larger ones stay in sparse rows."""
-    got = vocab.select("feature", "value", "position").limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"over {limit} feature values; use encode_sparse")
-    out: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["feature"], r["position"])):
-        out.setdefault(r["feature"], []).append(r["value"])
-    return out
-
-
-def encode_dense(features: Column, vocab: Mapping[str, Sequence[str]], weights: Mapping[str, float] = FEATURE_WEIGHTS,
-                 multi: Sequence[str] = MULTI_VALUED) -> Column:
-    """One weighted vector over all features of a map<string,array<string>> (small vocabularies)."""
-    parts = [
-        vc.encode(F.try_element_at(features, F.lit(f)), values, weights.get(f, 1.0), f in multi)
-        for f, values in vocab.items()
-    ]
-    return F.concat(*parts)
+def categories(features: Column, weights: Mapping[str, float] = FEATURE_WEIGHTS, multi: Sequence[str] = MULTI_VALUED) -> Column:
+    """A map<string,array<string>> as its weighted values, array<struct<c,w>>: no vocabulary, whatever their number.
+
+    A list on a single-valued feature counts with its first element.
+    """
+    weight = F.create_map(*(x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w))))) if weights else None
+    held = lambda e: F.when(e["key"].isin(*multi), e["value"]).otherwise(F.slice(e["value"], 1, 1))
+    w = lambda e: F.coalesce(F.try_element_at(weight, e["key"]), F.lit(1.0)) if weights else F.lit(1.0)
+    empty = F.array().cast("array<struct<c:string,w:double>>")
+    one = lambda e: F.transform(F.array_distinct(F.array_compact(held(e))), lambda v: F.struct(category(e["key"], v).alias("c"), w(e).alias("w")))
+    return F.coalesce(F.flatten(F.transform(F.map_entries(features), lambda e: F.coalesce(one(e), empty))), empty)
+
+
+def category(feature: Column, value: Column) -> Column:
+    """Feature and value as one string."""
+    return F.concat(feature, F.lit("\t"), value)
+
+
+def shared_weight(a: Column, b: Column) -> Column:
+    """Inner product of two rows of categories."""
+    known = F.map_from_entries(b)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(known, x["c"]), F.lit(0.0)))
+
+
+def scaled_to(cats: Column, length: float) -> Column:
+    """Categories with weights of this length together; without any weight they stay as they are."""
+    square = F.aggregate(cats, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    by = F.when(square > 0, F.lit(float(length)) / F.sqrt(square)).otherwise(F.lit(1.0))
+    return F.transform(cats, lambda x: F.struct(x["c"].alias("c"), (x["w"] * by).alias("w")))
+
+
+def encode_dense(df: DataFrame, vocab: DataFrame, features: str = "features", out: str = "vector",
+                 weights: Mapping[str, float] = FEATURE_WEIGHTS, multi: Sequence[str] = MULTI_VALUED) -> DataFrame:
+    """One weighted vector over all features of a map<string,array<string>>, with a cell for each value of the vocabulary.
+
+    The vocabulary reaches the rows as one array, as long as the vectors themselves; the driver does not see it.
+    """
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("feature", "position", "value"))), lambda x: category(x["feature"], x["value"]))
+    every = vocab.where("value IS NOT NULL").agg(cells.alias("_every"))
+    held = F.map_from_entries("_own")
+    vector = F.transform("_every", lambda c: F.coalesce(F.try_element_at(held, c), F.lit(0.0)))
+    return df.withColumn("_own", categories(F.col(features), weights, multi)).crossJoin(F.broadcast(every)).withColumn(out, vector).drop("_own", "_every")
 
 
 def encode_sparse(rows: DataFrame, vocab: DataFrame, weights: Mapping[str, float] = FEATURE_WEIGHTS) -> DataFrame:

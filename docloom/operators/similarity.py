@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from .ranking import top_per_group
 
 QUERY_BYTES = 64 << 20  # of a block of query vectors: what a task holds beside one batch of documents
 TILE = 256             # query rows multiplied at a time
+SHARED = 512           # categories that queries of a tile and documents share, multiplied at a time
 DIGITS = 6             # scores are compared at this precision, ties broken by id
 
 
@@ -73,13 +75,49 @@ class _Best:
         self.tiles[tile] = q[keep], ids[keep], s[keep]
 
 
+def _sparse(column, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Arrow list of structs (c, w) to rows, positions in ``known`` (all of this column when None), weights, ``known``."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = column.flatten()
+    keys = pc.struct_field(flat, "c")
+    known = pc.unique(keys) if known is None else known
+    at = pc.fill_null(pc.index_in(keys, value_set=known), -1).to_numpy(zero_copy_only=False)
+    fit = at >= 0
+    return rows[fit], at[fit], pc.struct_field(flat, "w").to_numpy(zero_copy_only=False)[fit], known
+
+
+def _dense(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """The columns ``part`` (sorted) of a sparse matrix of n rows."""
+    place = np.minimum(np.searchsorted(part, at), len(part) - 1)
+    fit = part[place] == at
+    out = np.zeros((n, len(part)))
+    out[rows[fit], place[fit]] = weights[fit]
+    return out
+
+
+def _shared(q: tuple, d: tuple, at: int, n: int, docs: int) -> np.ndarray | float:
+    """Inner products of the categories of n queries from ``at`` with those of a batch of documents."""
+    (rows, cols, weights, _), out = q, 0.0
+    own = slice(*np.searchsorted(rows, [at, at + n]))
+    both = np.intersect1d(cols[own], d[1])
+    for a in range(0, len(both), SHARED):
+        part = both[a:a + SHARED]
+        out = out + _dense(rows[own] - at, cols[own], weights[own], part, n) @ _dense(*d[:3], part, docs).T
+    return out
+
+
 def _score_block(best: _Best, queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.ndarray,
-                 skip_self: bool) -> None:
+                 skip_self: bool, q_cats: tuple | None = None, d_cats: tuple | None = None) -> None:
     n = len(ids)
     if n == 0:
         return
     for at in range(0, len(queries), TILE):
-        s = np.round(queries[at:at + TILE] @ docs.T, DIGITS) + 0.0
+        s = queries[at:at + TILE] @ docs.T
+        if q_cats is not None:
+            s = s + _shared(q_cats, d_cats, at, len(s), n)
+        s = np.round(s, DIGITS) + 0.0
         if skip_self:
             s[qids[at:at + TILE, None] == ids[None, :]] = -np.inf
         cut = best.floor(at, len(s))
@@ -113,18 +151,20 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
           query_bytes: int = QUERY_BYTES, doc_groups: int | None = None) -> DataFrame:
     """The k documents of highest inner product (cosine when ``normalise``) for every query.
 
-    ``queries``: (query_id, vector); ``docs``: (doc_id, vector), any numeric array type, one dimension.
+    ``queries``: (query_id, vector); ``docs``: (doc_id, vector), any numeric array type, one dimension. Where both have
+    ``categories`` (array<struct<c:string,w:double>>, a c once in a row), the product of these weights is added.
     Returns (query_id, doc_id, score, rank) with scores rounded to 6 places and ties broken by id.
 
     Queries are cut into blocks of ``query_bytes``, documents into ``doc_groups`` (so that all tasks have a cell). In
     a cell the query block comes first and is held; document batches stream past it against one running best.
     """
-    q = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
-    d = docs.select("doc_id", "vector").filter(F.col("vector").isNotNull())
+    cats = ["categories"] if "categories" in queries.columns and "categories" in docs.columns else []
+    q = queries.select("query_id", "vector", *cats).filter(F.col("vector").isNotNull())
+    d = docs.select("doc_id", "vector", *cats).filter(F.col("vector").isNotNull())
     types = {"query_id": q.schema["query_id"].dataType, "doc_id": d.schema["doc_id"].dataType, "score": T.DoubleType()}
     schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
     names = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    size = q.agg(F.count("*").alias("n"), (F.max(F.size("vector")) + (F.avg(F.size("categories")) * 4 if cats else 0)).alias("dim")).first()
     blocks = max(1, math.ceil(size["n"] * (size["dim"] or 1) * 8 / query_bytes))
     tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = doc_groups or max(1, math.ceil(tasks / blocks))
@@ -132,8 +172,8 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     none = lambda n: F.lit(None).cast(types[n]).alias(n)
     vector = F.col("vector").cast("array<double>").alias("vector")
-    asked = q.select(place("query_id", blocks).alias("qb"), spread(groups).alias("dg"), F.lit(0).alias("side"), "query_id", none("doc_id"), vector)
-    held = d.select(place("doc_id", groups).alias("dg"), spread(blocks).alias("qb"), F.lit(1).alias("side"), none("query_id"), "doc_id", vector)
+    asked = q.select(place("query_id", blocks).alias("qb"), spread(groups).alias("dg"), F.lit(0).alias("side"), "query_id", none("doc_id"), vector, *cats)
+    held = d.select(place("doc_id", groups).alias("dg"), spread(blocks).alias("qb"), F.lit(1).alias("side"), none("query_id"), "doc_id", vector, *cats)
     cells = asked.unionByName(held).repartition(blocks * groups, "qb", "dg").sortWithinPartitions("qb", "dg", "side")
     parts = cells.mapInArrow(_search_cells(k, skip_self, _unit if normalise else (lambda m: m), names), schema)
     return top_per_group(parts, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
@@ -143,7 +183,7 @@ def _search_cells(k: int, skip_self: bool, prep, names: pa.Schema):
     """Batches sorted by cell, queries before documents, to the k best of each cell's queries."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, queries, best, qarr, qids, qm = None, [], None, None, None, None
+        cell, queries, best, qarr, qids, qm, qc = None, [], None, None, None, None, None
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -162,8 +202,10 @@ def _search_cells(k: int, skip_self: bool, prep, names: pa.Schema):
                     table = pa.Table.from_batches(queries)
                     qarr = table.column("query_id").combine_chunks()
                     qids, qm, best, queries = _ids(qarr), prep(_matrix(table.column("vector"))), _Best(k), []
+                    qc = _sparse(table.column("categories")) if "categories" in table.column_names else None
                 if best is not None:
-                    _score_block(best, qm, qids, prep(_matrix(part.column("vector"))), _ids(part.column("doc_id")), skip_self)
+                    dc = _sparse(part.column("categories"), qc[3]) if qc is not None else None
+                    _score_block(best, qm, qids, prep(_matrix(part.column("vector"))), _ids(part.column("doc_id")), skip_self, qc, dc)
         if best is not None:
             yield _emit(best, qarr, names)
 

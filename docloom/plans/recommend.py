@@ -168,23 +168,18 @@ def recommend_for_profiles(profiles: DataFrame, docs: DataFrame, s: Settings = S
 
 # -- ranking a corpus against interest profiles ----------------------------------------------------------------
 
-def two_part_vector(text: Column, category: Column, s: Settings) -> Column:
-    """Weighted text and category vectors side by side: the inner product of two of these is the index score."""
-    return F.concat(
-        vc.scale(vc.unit(vc.as_double(text)), F.lit(s.text_weight)), vc.scale(vc.unit(category), F.lit(s.category_weight)))
+def rank_corpus(queries: DataFrame, docs: DataFrame, s: Settings = Settings(recency_kind="sqrt")) -> DataFrame:
+    """Rank documents by text and categories in one product; both sides carry the weights (squared in the score).
 
-
-def rank_corpus(queries: DataFrame, docs: DataFrame, vocab: Mapping[str, list[str]], s: Settings = Settings(recency_kind="sqrt")) -> DataFrame:
-    """Rank documents by text and encoded categories in one product; both sides carry the weights (squared in the score).
-
-    Scores are held within 0..1, ``min_similarity`` filters, recency re-ranks. Features are map<string,array<string>>.
+    Scores are held within 0..1, ``min_similarity`` filters, recency re-ranks. Features are map<string,array<string>>
+    with any number of values: categories stay sparse.
     """
 
-    def two(df: DataFrame) -> Column:
-        return two_part_vector(F.col("vector"), ft.encode_dense(F.col("features"), vocab, s.feature_weights, s.multi_valued), s)
+    def two(df: DataFrame, key: str) -> DataFrame:
+        cats = ft.scaled_to(ft.categories(F.col("features"), s.feature_weights, s.multi_valued), s.category_weight)
+        return df.select(key, vc.scale(vc.unit(vc.as_double(F.col("vector"))), F.lit(s.text_weight)).alias("vector"), cats.alias("categories"))
 
-    q = queries.select("query_id", two(queries).alias("vector"))
-    d = docs.select("doc_id", two(docs).alias("vector"))
+    q, d = two(queries, "query_id"), two(docs, "doc_id")
     found = top_k(q, d, s.top_k, normalise=False)
     clamped = found.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     floor = s.min_similarity or 0.0

@@ -91,9 +91,8 @@ def text_vector_cells(t: Tables):
       unnest(range(23))::INT AS pos FROM vecs)""")
 def encoded_features(t: Tables):
     rows = t.vecs.select(F.col("doc_id"), F.explode("features").alias("feature", "values")).select("doc_id", "feature", F.explode("values").alias("value"))
-    vocab = ft.collect_vocabulary(ft.vocabulary(rows))
-    v = ft.encode_dense(F.col("features"), vocab)
-    return t.vecs.select("doc_id", F.posexplode(v).alias("pos", "cell"))
+    coded = ft.encode_dense(t.vecs.select("doc_id", "features"), ft.vocabulary(rows), out="v")
+    return coded.select("doc_id", F.posexplode("v").alias("pos", "cell"))
 
 
 def feature_rows(t: Tables):
@@ -160,18 +159,15 @@ def feature_match_scores(t: Tables):
 @query("pair_scores", "SIM1", """SELECT query_id, doc_id, round(0.7::DOUBLE * text_score + 0.3::DOUBLE * (0.0225::DOUBLE * same_label + 0.0625::DOUBLE * shared) / 0.1475::DOUBLE, 9) AS score FROM cand20""")
 def pair_scores(t: Tables):
     # The category vectors of a document are label (0.15) and label, group (0.25 each): cosine of the encodings.
-    vocab = ft.collect_vocabulary(ft.vocabulary(feature_rows(t)))
-    cat = vc.cosine(ft.encode_dense(F.col("_query"), vocab), ft.encode_dense(F.col("_doc"), vocab))
+    unit = lambda c: ft.scaled_to(ft.categories(F.col(c)), 1.0)
+    cat = ft.shared_weight(unit("_query"), unit("_doc"))
     return pair_rows(t).select("query_id", "doc_id", F.round(sc.pair_score(F.col("text_score"), cat), 9).alias("score"))
 
 
 @query("weighted_dot_scores", "SIM2", """SELECT query_id, doc_id, round(0.15::DOUBLE * same_label + 0.25::DOUBLE * shared, 6) AS score FROM cand20""")
 def weighted_dot_scores(t: Tables):
     plain = {"form": 1.0, "subject_matters": 1.0}
-    vocab = ft.collect_vocabulary(ft.vocabulary(feature_rows(t)))
-    weights = F.array(*(F.lit(sc.FEATURE_WEIGHTS[f]) for f, vs in vocab.items() for _ in vs))
-    q, d = ft.encode_dense(F.col("_query"), vocab, plain), ft.encode_dense(F.col("_doc"), vocab, plain)
-    score = vc.dot(F.zip_with(q, d, lambda a, b: a * b), weights)
+    score = ft.shared_weight(ft.categories(F.col("_query")), ft.categories(F.col("_doc"), plain))
     return pair_rows(t).select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
@@ -182,8 +178,7 @@ def weighted_dot_scores(t: Tables):
 def index_scores(t: Tables):
     from docloom.plans.recommend import Settings, rank_corpus
 
-    vocab = ft.collect_vocabulary(ft.vocabulary(feature_rows(t)))
-    out = rank_corpus(queries_of(t), t.vecs, vocab, Settings(min_similarity=0.2))
+    out = rank_corpus(queries_of(t), t.vecs, Settings(min_similarity=0.2))
     return out.select("query_id", "doc_id", "score", "rank")
 
 
@@ -238,6 +233,5 @@ def two_stage_results(t: Tables):
 def ranked_corpus_recent(t: Tables):
     from docloom.plans.recommend import Settings, rank_corpus
 
-    vocab = ft.collect_vocabulary(ft.vocabulary(feature_rows(t)))
     s = Settings(recency_weight=0.3, recency_kind="sqrt", reference_date="2020-06-30")
-    return rank_corpus(queries_of(t), t.vecs, vocab, s).select("query_id", "doc_id", "score", "rank")
+    return rank_corpus(queries_of(t), t.vecs, s).select("query_id", "doc_id", "score", "rank")

@@ -70,3 +70,30 @@ def test_mean_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 5.0])], "g string, vector array<double>")
     got = {r.g: (r.vector, r.members) for r in sm.mean_vectors(df, "g").collect()}
     assert got == {"a": ([2.0, 3.0], 2), "b": ([5.0, 5.0], 1)}
+
+
+def test_categories_of_any_number(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from docloom.operators import features as ft
+    from docloom.plans.recommend import Settings, rank_corpus
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    own = [[f"d{v}" for v in range(i * 100, i * 100 + 100)] + [f"s{i % 7}", f"t{i % 11}"] for i in range(300)]  # 30,018 values
+    rows = [(i, x[i].tolist(), {"form": [f"f{i % 3}", "never"], "authors": own[i], "eurovoc_descriptors": None if i == 5 else [f"e{i % 40}"]}) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, vector array<double>, features map<string,array<string>>")
+    got = {(r.query_id, r.doc_id): r.score for r in rank_corpus(docs.where("doc_id < 40").withColumnRenamed("doc_id", "query_id"), docs, Settings(top_k=5)).collect()}
+    weight = {"form": 0.15, "authors": 0.10, "eurovoc_descriptors": 0.25}
+    cats = [{(f, v): weight[f] for f, vs in r[2].items() for v in (vs or [])[: 1 if f == "form" else None]} for r in rows]
+    length = [sum(w * w for w in c.values()) ** 0.5 for c in cats]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for q in range(40):
+        s = [round(min(1, max(0, 0.49 * unit[q] @ unit[d] + 0.09 * sum(w * cats[d].get(k, 0) for k, w in cats[q].items()) / length[q] / length[d])), 6) for d in range(300)]
+        want |= {(q, d): s[d] for d in sorted(range(300), key=lambda d: (-s[d], d))[:5]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    flat = docs.select("doc_id", F.explode("features").alias("feature", "vs")).select("doc_id", "feature", F.explode("vs").alias("value"))
+    coded = ft.encode_dense(docs.where("doc_id = 7"), ft.vocabulary(flat)).first().vector
+    assert len(coded) == 30_000 + 18 + 40 + 3 + 1 and sorted(set(coded)) == [0.0, 0.1, 0.15, 0.25] and coded.count(0.1) == 102
