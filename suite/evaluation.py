@@ -157,7 +157,7 @@ _MODES_SQL = """(SELECT user_id, 'combined' AS mode, vector FROM profvec UNION A
     SELECT e.user_id, 'historical', coalesce(h.vector, e.vector) FROM experts e LEFT JOIN histmean h USING (user_id))"""
 
 
-@query("mode_sweep", "EVL13 REC5", f"""WITH r AS (SELECT user_id, mode, doc_id, row_number() OVER (PARTITION BY user_id, mode ORDER BY s DESC, doc_id) AS rank FROM (SELECT p.user_id, mode, v.doc_id, round(list_cosine_similarity(p.vector, v.vector), 6) AS s FROM {_MODES_SQL} p, vecs v))
+@query("mode_sweep", "", f"""WITH r AS (SELECT user_id, mode, doc_id, row_number() OVER (PARTITION BY user_id, mode ORDER BY s DESC, doc_id) AS rank FROM (SELECT p.user_id, mode, v.doc_id, round(list_cosine_similarity(p.vector, v.vector), 6) AS s FROM {_MODES_SQL} p, vecs v))
     SELECT mode, count(*) AS results, sum((h.doc_id IS NOT NULL)::INT)::BIGINT AS hits, count(DISTINCT r.doc_id) AS unique_documents FROM r LEFT JOIN history h USING (user_id, doc_id) WHERE rank <= 10 GROUP BY mode""")
 def mode_sweep(t: Tables):
     from docloom.operators.similarity import top_k

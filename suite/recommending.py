@@ -75,7 +75,7 @@ def recommend_personalised_queries(t: Tables):
     return rc.recommend_for_profiles(profiles(t), t.vecs, queries=q).select("query_id", "doc_id", "score", "rank")
 
 
-@query("recommend_expert_mode", "REC5", _profile_sql("experts"))
+@query("recommend_expert_mode", "", _profile_sql("experts"))
 def recommend_expert_mode(t: Tables):
     v = rc.profile_vectors(t.experts, t.history, t.vecs, *rc.PROFILE_MODES["expert"]).join(t.experts.select("user_id", "features"), "user_id")
     return rc.recommend_for_profiles(v, t.vecs).select("query_id", "doc_id", "score", "rank")
@@ -111,7 +111,7 @@ def reweighted_results(t: Tables):
 
 # -- text to vectors to results ---------------------------------------------------------------------------------
 
-@query("recommend_by_text", "REC1 UDF3")
+@query("recommend_by_text", "REC1")
 def recommend_by_text(t: Tables):
     """Every benchmark text asks the whole document table, with keywords and combined vectors."""
     docs, encode = rc.text_index(t.texts.select(F.col("document_id").alias("doc_id"), "content"))
@@ -129,7 +129,7 @@ def bundles(t: Tables):
     return docs.select("celex_number", "title", "summary", F.coalesce("keywords", empty).alias("keywords"), "tier")
 
 
-@query("vector_rows", "REC7 UDF1", """SELECT celex_number AS doc_id, CASE substr(celex_number, 6, 1) WHEN 'R' THEN 'regulation' WHEN 'L' THEN 'directive' WHEN 'D' THEN 'decision' WHEN 'Q' THEN 'recommendation' ELSE 'other' END AS document_type,
+@query("vector_rows", "REC7", """SELECT celex_number AS doc_id, CASE substr(celex_number, 6, 1) WHEN 'R' THEN 'regulation' WHEN 'L' THEN 'directive' WHEN 'D' THEN 'decision' WHEN 'Q' THEN 'recommendation' ELSE 'other' END AS document_type,
     least(20, coalesce(k, 0))::INT AS num_keywords FROM summarised LEFT JOIN (SELECT document_id, count(*) AS k FROM kws GROUP BY 1) USING (document_id) WHERE trim(coalesce(summary, '')) <> ''""")
 def vector_rows(t: Tables):
     return ix.build_vectors(bundles(t)).select("doc_id", "metadata.document_type", "metadata.num_keywords")

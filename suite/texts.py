@@ -160,7 +160,7 @@ def shrunk_extracts(t: Tables):
     return _extracts(ex.fixed_share(t.texts, ex.corpus_idf(t.texts), 60))
 
 
-@query("summaries_by_tier", "TXT15 UDF2")
+@query("summaries_by_tier", "TXT15")
 def summaries_by_tier(t: Tables):
     docs = t.texts.withColumn("summary", F.lit(None).cast("string"))
     made = sm.summarise(docs, joined_sections(t), ex.corpus_idf(t.texts))
