@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from docloom.llm import spans
@@ -28,8 +27,8 @@ class ChunkEncoder:
     The pre-tokenizer never joins a non-space with a following space, and of a run of spaces only a last plain space
     goes with the next word; nor does it join a letter with a following ASCII mark. So a text is the sequence of its
     chunks (a word with at most one space before it, the marks after it, or a run of other spaces) and its ids are those
-    of the chunks in turn. Chunks are found and numbered for a whole batch
-    by their hashes; only unseen ones go through the tokenizer, many in one call, separated by line breaks.
+    of the chunks in turn. Chunks are found and numbered for a whole batch and known by their bytes; only unseen ones go
+    through the tokenizer, many in one call, separated by line breaks.
     """
 
     def __init__(self, path: str):
@@ -45,13 +44,13 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, keys: list[int], ids: list[np.ndarray]) -> None:
+    def _add(self, keys: list[bytes], ids: list[np.ndarray]) -> None:
         n = len(self.known)
         lengths = np.array([len(x) for x in ids], np.int64)
         total = int(lengths.sum())
@@ -65,7 +64,8 @@ class ChunkEncoder:
         self.used += total
         self.known.update(zip(keys, range(n, n + len(ids)), strict=True))
 
-    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
+        chunks = [k.decode() for k in keys]
         words = [i for i, c in enumerate(chunks) if not c.isspace()]
         ids: list[np.ndarray | None] = [None] * len(chunks)
         for lo in range(0, len(words), JOINED):
@@ -118,15 +118,13 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         raw = data.tobytes()
         found = self._chunks(data, offsets)
-        code, distinct = pd.factorize(spans.hash_spans(data, found))
-        if len(self.known) + len(distinct) > CACHE_ENTRIES:
+        code, first = spans.number_spans(data, found)
+        if len(self.known) + len(first) > CACHE_ENTRIES:
             self._clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        keys = [raw[a:b] for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
+        new = [k for k in keys if k not in self.known]
         if new:
-            where = np.zeros(len(distinct), np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
-            self._learn([keys[i] for i in new], [raw[found.start[where[i]] : found.end[where[i]]].decode() for i in new])
+            self._learn(new)
         row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[code]
         sizes = self.size[row]
         ids = self.pool[spans.ragged(self.at[row], sizes)]
@@ -137,3 +135,13 @@ class ChunkEncoder:
             each = [parts.get(d, ids[bounds[d] : bounds[d + 1]]) for d in range(n)]
             ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return ids, bounds
+
+
+_held: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder for a tokenizer file: loaded once, and its chunks are remembered from task to task."""
+    if path not in _held:
+        _held[path] = ChunkEncoder(path)
+    return _held[path]

@@ -9,13 +9,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 2 << 20  # working memory of a step, about 60 times this; a longer text is one slice of its own
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones((2, 1), np.uint64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+SHORT = 64  # bytes; longer spans are hashed one by one
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # mask of the first i bytes of a block
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread every input bit over the word (SplitMix64 finaliser)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_BY_SIZE = mix(np.arange(SHORT + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
 
 def byte_class(chars: bytes, *, high: bool) -> np.ndarray:
@@ -85,47 +97,59 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> Spans:
     return Spans(start, end, np.searchsorted(start, offsets))
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if _powers.shape[1] < n:
-        rows = np.empty((2, n + n // 8), np.uint64)
-        rows[:, 0] = 1
-        rows[0, 1:] = _BASE
-        rows[1, 1:] = _INVERSE
-        _powers = np.cumprod(rows, axis=1, dtype=np.uint64)
-    return _powers
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread every input bit over the word (SplitMix64 finaliser)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one little-endian number; zeros stand after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def hash_spans(data: np.ndarray, spans: Spans) -> np.ndarray:
-    """Hash of each span's bytes by prefix sums of a polynomial, the same wherever the bytes stand.
+    """Hash of each span's bytes, the same wherever they stand: length and eight-byte blocks mixed in one after the other.
 
-    Spans come in order and do not overlap; a long text is worked on a few MB of spans at a time.
+    Each step is one-to-one in its block, so texts that differ in one block never meet and others only by chance.
+    """
+    size = spans.end - spans.start
+    blocks = _blocks(data)
+    h = mix((_BY_SIZE[np.minimum(size, SHORT)] ^ (blocks[spans.start] & _TAIL[np.minimum(size, 8)])) * _ODD)
+    going = np.flatnonzero((size > 8) & (size <= SHORT))
+    at, left = spans.start[going] + 8, size[going] - 8
+    while len(going):
+        h[going] = mix((h[going] ^ (blocks[at] & _TAIL[np.minimum(left, 8)])) * _ODD)
+        more = left > 8
+        going, at, left = going[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[spans.start[i] : spans.end[i]].tobytes())
+    return h
+
+
+def number_spans(data: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal for equal bytes and only for them, and the first span of each number.
+
+    Spans are grouped by hash; every one is then compared with the first of its group, byte by byte.
     """
-    if len(data) > 2 * SLICE_BYTES and len(spans.start) > 1:
-        out, a = np.empty(len(spans.start), np.uint64), 0
-        while a < len(spans.start):
-            low = int(spans.start[a])
-            b = max(a + 1, int(np.searchsorted(spans.start, low + SLICE_BYTES)))
-            part = Spans(spans.start[a:b] - low, spans.end[a:b] - low, spans.first)
-            out[a:b] = hash_spans(data[low : int(spans.end[b - 1])], part) if b - a < len(spans.start) else _hash(data, spans)
-            a = b
-        return out
-    return _hash(data, spans)
-
-
-def _hash(data: np.ndarray, spans: Spans) -> np.ndarray:
-    power = _power_table(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[0, : len(data)], out=sums[1:])
-    h = (sums[spans.end] - sums[spans.start]) * power[1, spans.start]
-    return mix(h + (spans.end - spans.start).astype(np.uint64))
+    code, distinct = pd.factorize(hash_spans(data, spans))
+    first = np.zeros(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    size, blocks = spans.end - spans.start, _blocks(data)
+    like = first[code]
+    same = size == size[like]
+    going = np.flatnonzero(same & (size <= SHORT) & (like != np.arange(len(code))))
+    at, to, left = spans.start[going], spans.start[like[going]], size[going]
+    while len(going):
+        mask = _TAIL[np.minimum(left, 8)]
+        same[going] &= (blocks[at] & mask) == (blocks[to] & mask)
+        more = left > 8
+        going, at, to, left = going[more], at[more] + 8, to[more] + 8, left[more] - 8
+    for i in np.flatnonzero(same & (size > SHORT)).tolist():
+        j = like[i]
+        same[i] = i == j or np.array_equal(data[spans.start[i] : spans.end[i]], data[spans.start[j] : spans.end[j]])
+    if not same.all():  # two texts of one hash: number by the bytes themselves
+        raw = data.tobytes()
+        code, _ = pd.factorize(np.array([raw[a:b] for a, b in zip(spans.start.tolist(), spans.end.tolist(), strict=True)], object))
+        first = np.zeros(int(code.max()) + 1, np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+    return code, first
 
 
 def hash_grams(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

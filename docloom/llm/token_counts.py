@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,9 +128,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], mark: bytes = MARK) -> Da
             for part in spans.slices(batch, "text"):
                 data, offsets = spans.text_buffer(part.column("text"))
                 words = spans.runs(_WORD[data], offsets)
-                code, distinct = pd.factorize(spans.hash_spans(data, words))
-                where = np.zeros(len(distinct), np.int64)
-                where[code[::-1]] = np.arange(len(code))[::-1]
+                code, where = spans.number_spans(data, words)
                 each = held.count(table, data, words.start[where], words.end[where])[code]
                 sums = np.concatenate([[0], np.cumsum(each)])[words.first]
                 most = np.zeros(len(part), np.int64)

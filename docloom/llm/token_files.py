@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import spans
-from docloom.llm.encoding import ChunkEncoder
+from docloom.llm.encoding import encoder
 from docloom.llm.shared import shared_folder, written
 
 # Fixed values of the seekable format.
@@ -114,30 +114,29 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, width: int = 2, level: int = 3) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write one file for each range of doc_ids; returns the manifest, a row for each file.
 
-    A null or empty text gives the end id alone. Rows that share a doc_id are written one after the other, by text. A
-    null doc_id cannot be found again and raises. Other columns are not read. No documents: no files.
+    A null or empty text gives the end id alone. Rows that share a doc_id stand one after the other, by text; many
+    of them may fill several files. Rows with a null doc_id have no place in the order and are left out. Other columns are not read. No documents: no files.
     A file is named by its task attempt and counts only once the manifest, written by Spark's own commit, names it; so
     attempts that died leave nothing that is read.
     """
     if width not in (2, 4):
         raise ValueError("width is 2 or 4 bytes")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    ordered = keyed.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}.ids.zst"
-        encoder = out = writer = None
+        out = writer = None
         for batch in batches:
             for part in spans.slices(batch, "text", 2 * spans.SLICE_BYTES):
                 if writer is None:
-                    encoder, out = ChunkEncoder(tokenizer), store.open_output_stream(f"{base}/{name}", compression=None)
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
                     writer = FrameWriter(out, width, level)
-                ids, bounds = encoder.encode(part.column("text"))
+                ids, bounds = encoder(tokenizer).encode(part.column("text"))
                 for d, a, b in zip(part.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
-                    if d is None:
-                        raise ValueError("a document without doc_id")
                     writer.add(d, np.append(ids[a:b], np.uint32(end_id)))
         if writer is not None:
             writer.close()
