@@ -18,6 +18,7 @@ from docloom.llm import (
     token_files,
     toxicity,
     url_rules,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,37 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 nearest of every vector whose id is divisible by 20, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 8 parts, 16 entries each, six rounds, all in exact integers."""
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+_ROUND = """
+a{i} AS MATERIALIZED (
+  SELECT vec_id, r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT x.vec_id, r, x.part, entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts x JOIN b{i} b ON x.part = b.part) GROUP BY vec_id, r, part)"""
+_MEANS = """,
+m{i} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS v FROM (
+    SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS m FROM (
+      SELECT part, entry, pos, sum(c) AS s, count(*) AS n FROM (
+        SELECT a.part, a.entry, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM a{i} a JOIN parts x ON a.r = x.r AND a.part = x.part)
+      GROUP BY part, entry, pos)) GROUP BY part, entry),
+b{j} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (part, entry)),"""
+SQL["op12_vector_codes"] = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, r, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS v FROM kept, range(8) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM parts WHERE r <= 16),""" + "".join(
+    (_ROUND + (_MEANS if i < 6 else "")).format(i=i, j=i + 1) for i in range(7)) + """,
+coded AS (SELECT r, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), h
+"""
