@@ -11,6 +11,7 @@ from docloom.llm import (
     boilerplate,
     decontaminate,
     language_id,
+    lexical_search,
     neighbours,
     ngram_join,
     packing,
@@ -221,3 +222,26 @@ h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
 FROM coded JOIN kept USING (r), h
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring of all documents for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_lexical_search"] = r"""
+WITH dw AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+g AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM dw),
+tf AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM dw) WHERE t IN (SELECT t FROM iw) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t, n_docs),
+c AS (
+  SELECT r, t, wt.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(dw.w) * n_docs) // l))) AS c
+  FROM tf JOIN wt USING (t) JOIN dw USING (r), g),
+s AS (SELECT item_id, r, CAST(sum(c * q) AS BIGINT) AS score FROM (SELECT item_id, t, count(*) AS q FROM iw GROUP BY item_id, t) JOIN c USING (t) GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN dw USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
