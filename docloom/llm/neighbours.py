@@ -24,7 +24,7 @@ DIRECTIONS = 16
 RADII = tuple(0.1 * 1.5**i for i in range(8))  # of the rounds; unrelated unit vectors are 1.41 apart, the last radius is 1.71
 SHARE = 0.68  # of the windows a vector must lie in: as many as one at the radius itself lies in on average
 SURE = 0.9999  # probability that a vector as near as the k-th best is verified before its query ends
-BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 512
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
 ROWS = "query_id bigint, vec_id bigint, score double"
 
 
@@ -56,7 +56,7 @@ class Index:
         places: dict[bytes, list[int]] = {}
         for i, v in enumerate(vectors):
             places.setdefault(v.tobytes(), []).append(i)
-        self.ids = [ids[p] for p in places.values()]
+        self.ids = [np.unique(ids[p]) for p in places.values()]
         self.vectors = vectors[[p[0] for p in places.values()]]
         unit = self.vectors / norm
         rest = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1)))
@@ -108,15 +108,19 @@ class Index:
         more = [(s, i) for s, e in zip(exact.tolist(), found.tolist(), strict=True) for i in self.ids[e][: k + 1].tolist() if i != own]
         ids = np.concatenate([ids, np.array([i for _, i in more], np.int64)])
         scores = np.concatenate([scores, np.array([s for s, _ in more])])
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        best = np.lexsort((ids, -scores))
+        ids, scores = ids[best], scores[best]
+        new = np.ones(len(ids), bool)  # one id may stand at several vectors of the same score
+        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        return ids[new][:k], scores[new][:k]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7) -> DataFrame:
     """vectors, queries: vec_id, embedding. Returns query_id, rank (from 1), vec_id, score: each query's k best found.
 
     Candidates are all vectors but those with the query's own id; ties go to the smaller vec_id; fewer than k candidates
-    are all returned. Rows that are null, zero, or hold null or non-finite components take no part, nor do null ids;
+    are all returned. Repeated rows, of candidates and of queries, count once; an id with several vectors is near by each of
+    them, and as a query it asks with each. Rows that are null, zero, or hold null or non-finite components take no part, nor do null ids;
     only vectors of the query's dimension are compared. Other columns are not read. The query set meets all vectors
     in blocks of fixed size; a block's index is built where it is searched.
     """
@@ -142,7 +146,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7)
             return empty
         dim = left.column("dim")[0].as_py()
         index = Index(left.column("vec_id").to_numpy(), _matrix(left, dim), norm, seed)
-        parts = list(index.search(_matrix(right, dim), right.column("vec_id").to_numpy(), k))
+        asked = {(i, v.tobytes()): n for n, (i, v) in enumerate(zip(right.column("vec_id").to_pylist(), _matrix(right, dim), strict=True))}
+        once = np.array(sorted(asked.values()))
+        parts = list(index.search(_matrix(right, dim)[once], right.column("vec_id").to_numpy()[once], k))
         return pa.table([pa.array(np.repeat([q for q, _, _ in parts], [len(i) for _, i, _ in parts]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in parts])), pa.array(np.concatenate([s for _, _, s in parts]))], names=names)
 
     key = ["dim", "block", "sheet"]

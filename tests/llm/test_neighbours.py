@@ -45,6 +45,20 @@ def test_copies_bad_vectors_and_small_tables(spark):
     assert run(spark, [(1, [1.0])], 20) == []
 
 
+def test_every_row_many_times_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    want = sorted(brute(rows, 20, 20))
+    assert len(want) == 60 and run(spark, rows * 30, 20) == want
+    several = rows + [(i % 60, rows[(i * 7) % 60][1]) for i in range(30)]
+    got = run(spark, several, 5)
+    pairs = {}
+    for q, a in several:
+        if q % 20 == 0:
+            pairs.setdefault(q, set()).update((-float((np.array(a) * np.array(b)).sum()), i) for i, b in several if i != q)
+    assert [(q, i) for q, _, i, _ in got] == [(q, i) for q in sorted(pairs) for _, i in sorted(pairs[q])[:5]]
+
+
 @pytest.mark.parametrize("kind", ["random", "groups"])
 @pytest.mark.parametrize("blocks", [1, 2])
 def test_recall_on_full_blocks(kind, blocks):
