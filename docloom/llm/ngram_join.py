@@ -9,8 +9,9 @@ Steps, all over whole texts:
 3. Kept shingles meet. Each class is paired with the smallest doc_id of its shingle's group rather than with every other
    member. Length and positional filters apply at the meeting; the suffix filter (a bound on the difference of two
    sets from their counts in hash ranges) once per distinct pair; what is left is verified once, on the whole sets.
-4. Links are contracted. Only members of a group that are still apart can be linked by a pair not looked at; those
-   pairs, and no others, are formed, filtered and verified in the same way.
+4. Links are contracted. Only members of a group that are still apart can be linked by a pair not looked at. Of those
+   pairs the ones that pass the length and positional filters from the smaller set's side are formed, in bands of
+   length, then filtered and verified in the same way.
 
 A group of near copies is thus verified against one member each, never all against all, and no link between documents
 in different components is left out. Shingles that very many documents share are split by salt in step 3.
@@ -18,6 +19,7 @@ in different components is left out. Shingles that very many documents share are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,10 +218,14 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     apart = written(apart, "members")
     mixed = apart.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high AND size > 2").select("h")
     open_ = apart.join(mixed.hint("merge"), "h")
-    left = open_.select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
-    right = open_.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
-    near = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    rest = left.join(right, "h").where(near)
+    # The smaller set of a pair stands at the shared shingle early enough for a partner as large as itself; a template
+    # that its instances share to less than the threshold stands too late in all of them, so its group forms no pair.
+    light = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))  # a larger partner's is the same or the next; one more for rounding
+    smaller = open_.where(light).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"), F.explode(F.array(band, band + 1, band + 2)).alias("band"))
+    larger = open_.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"), band.alias("band"))
+    near = ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
+    rest = smaller.join(larger, ["h", "band"]).where(near)
     rest = _suffix_filter(_possible(rest, percent), sizes, percent).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(links.union(_verified(written(rest, "rest"), docs, k, percent)), "links")
     final = components(more)

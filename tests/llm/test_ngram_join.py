@@ -58,3 +58,14 @@ def test_repeats_long_text_and_empty_table(spark):
     docs = [(1, far), (2, far + " end"), (3, "a b c d e f"), (3, "a b c d e f")]
     assert run(spark, docs) == [(1, 9973 and len(shingles(far)), 1), (2, len(shingles(far + " end")), 1), (3, 2, 3), (3, 2, 3)]
     assert run(spark, []) == []
+
+
+def test_a_large_group_of_a_template_forms_no_pairs(spark, monkeypatch):
+    """Instances share about seven tenths of their shingles: none link, and none are paired but with the group's first."""
+    template = [f"t{i}" for i in range(140)]
+    docs = [(i, " ".join([f"o{i}.{j}" for j in range(28)] + template)) for i in range(3000)] + [(9000, " ".join([f"o7.{j}" for j in range(27)] + ["new", *template]))]
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), verified(pairs, *rest))[1])
+    got = run(spark, docs)
+    assert {d: c for d, _, c in got if d != c} == {9000: 7}
+    assert sum(tried) <= 2 * len(docs)
