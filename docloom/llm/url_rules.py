@@ -20,9 +20,9 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 
 def url_tokens(url: str, host: str, path: str) -> Column:
-    """Distinct tokens of a URL: host labels, their parts and the whole domain ending, path and query words; numbers are one token."""
+    """Distinct tokens of a URL: host labels, their parts and the whole domain ending, path and query words; numbers are one token. A URL without a host has none but those of its path."""
     labels = F.split(F.col(host), r"\.")
-    query = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"\?([^#]*)", 1)
+    query = F.when(F.col(host) != "", F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"\?([^#]*)", 1)).otherwise("")
 
     def words(text: Column, kind: str) -> Column:
         lower = F.translate(text, UPPER, LOWER)

@@ -57,11 +57,14 @@ def test_mined_rules_equal_all_subsets(spark):
 
 
 def test_mined_rules_block_pages(spark):
-    pages = [(i, f"http://{'ads' if i % 4 == 0 else 'www'}.site{i % 7}.example/{'promo' if i % 4 == 0 else 'news'}/{i}") for i in range(400)] + [(1000, "http://ADS.other.example/promo/9"), (1001, "http://ads.net/promo/1")]
+    pages = [(i, f"http://{'ads' if i % 4 == 0 else 'www'}.site{i % 7}.example/{'promo?bad=zz' if i % 4 == 0 else 'news'}/{i}") for i in range(400)]
+    pages += [(2000, "foo?bad=zz"), (2001, "://?bad=zz"), (2002, "?bad=zz"), (2003, None)]
+    pages += [(1000, "http://ADS.other.example/promo/9"), (1001, "http://ads.net/promo/1")]
     labels = [(i, i % 4 == 0) for i in range(0, 300)] + [(5, None), (8, True), (5555, True)]
     p = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
     got = {r.page_id: r for r in url_rules.judge(p, spark.createDataFrame(labels, "page_id long, bad boolean"), URL_RULES).collect()}
     assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
+    assert all(got[i].verdict == "allow" and got[i].confidence is None for i in range(2000, 2004))
     assert got[1000].verdict == "block" and got[1000].rule is None and got[1001].rule == "net/"
     assert url_rules.judge(p, spark.createDataFrame(labels, "page_id long, bad boolean").where(F.lit(False)), []).where("verdict = 'block'").count() == 0
 
