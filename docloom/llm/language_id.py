@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docloom.llm import crf, spans
 
 SAMPLE_TEXTS = 200  # labelled texts of a language the model is fitted on, about; never more than twice as many
-SAMPLE_BYTES = 16_384  # longer texts are not in the sample
+SAMPLE_CHARS = 8_192  # of a longer text the sample has one run of words of this length
 UNKNOWN = "und"
 
 
@@ -22,20 +22,31 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def run_of_words(text: str, chars: int) -> Column:
+    """The text, or of a longer one about ``chars`` characters from a place drawn by its hash, without the words cut at both ends."""
+    size = F.length(text)
+    start = F.pmod(F.xxhash64(text, F.lit("run")), F.greatest(size - chars, F.lit(0)) + 1).cast("int") + 1
+    piece = F.substring(F.col(text), start, F.lit(chars))
+    inner = F.regexp_extract(piece, r"(?s)\s(.*\S)\s", 1)
+    return F.when(size <= chars, F.col(text)).when(inner != "", inner).otherwise(piece)
+
+
 def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> crf.Model | None:
     """labelled: doc_id, text, lang. Null or empty texts and null languages are left out; without any rows: None.
 
-    The sample is drawn by a hash of doc_id at a rate for each language, so it is spread over the whole table; its
-    bound is 2 * texts for each language, whatever the table holds. One task fits the model; only the model reaches the
+    The sample is drawn by a hash of doc_id at a rate for each language, so it is spread over the whole table and the same
+    at every run; its bound is 2 * texts for each language, whatever the table holds. A text of any length counts: of a
+    long one a run of whole words is taken, at a place drawn by hash. One task fits the model; only the model reaches the
     driver.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    rows = labelled.where("lang IS NOT NULL AND text <> ''")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     if not totals:
         return None
     rate = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
-    drawn = rows.where(draw < rate[F.col("lang")]).select("lang", "text").limit(2 * texts * len(totals)).coalesce(1)
+    drawn = rows.where(draw < rate[F.col("lang")]).select("lang", run_of_words("text", SAMPLE_CHARS).alias("text"), draw.alias("draw"))
+    drawn = drawn.orderBy("draw", "lang", "text").limit(2 * texts * len(totals)).select("lang", "text").coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = sorted(pair for b in batches for pair in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True))
@@ -76,7 +87,7 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
 
     Every word of the whole text is labelled by its posterior; the text's language is the one with the largest expected
     share of its words (of equals the first by name), the share is the score. ``und`` and 0 for null and empty texts and
-    texts without a letter, and where no language was learned. Other columns are not read.
+    texts without a letter, and where no language was learned. A very long text takes memory in proportion. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: fixed buckets, and the sample's lexicon
 
@@ -90,8 +101,14 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, lang_pred string, score double, shares array<double>")
 
 
-def keep_known(docs: DataFrame, model: crf.Model | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language by a share of at least ``least`` of its words; all columns, no shuffle."""
+def keep_known(docs: DataFrame, model: crf.Model | None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and, by a share of at least ``least`` of its words, a learned language.
+
+    All columns, no shuffle. Null and empty texts go; repeated rows are judged one by one; texts in several languages stay.
+    Without a model no language is known to be missing, and all rows stay. An empty table stays empty.
+    """
+    if model is None:
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,16 @@ def test_nothing_to_learn(spark):
     assert language_id.fit(df) is None
     assert {(r.lang_pred, r.score) for r in language_id.predict(df, None).collect()} == {("und", 0.0)}
     assert language_id.predict(df.limit(0), None).count() == 0
+
+
+def test_a_language_of_long_texts_is_learned_alike_at_every_run(spark):
+    rng = random.Random(6)
+    rows = [(i, invented(rng, "aa", 30), "aa") for i in range(8)] + [(100 + i, invented(rng, "bb", 5000), "bb") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.fit(df.repartition(n, "doc_id")) for n in (2, 5)]
+    assert models[0].labels == ["aa", "bb"] and (models[0].grams == models[1].grams).all()
+    asked = spark.createDataFrame([(1, invented(rng, "bb", 40)), (2, invented(rng, "aa", 40))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(asked, models[0]).collect()} == {1: "bb", 2: "aa"}
+    piece = df.where("doc_id = 100").select("text", language_id.run_of_words("text", 500).alias("run")).first()
+    assert 0 < len(piece.run) <= 500 and f" {piece.run} " in f" {piece.text} "
+    assert language_id.keep_known(df, None).count() == len(rows)
