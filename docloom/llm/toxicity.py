@@ -2,15 +2,16 @@
 
 1. Voters: lexicons, patterns, and words and word beginnings that labelled toxic texts use far more often than others.
 2. Each document's votes are found in one pass over the texts and kept as a small table.
-3. A generative model with a hidden class is fitted by expectation-maximisation on counts of vote patterns; labels, where
-   a learning row has one, fix its class. It estimates how often each voter fires in each class, and in a last round the
-   correlation of every two voters within a class; a voter counts less the more it repeats others.
-4. The model's posteriors (a learning row's label, where it has one) are the soft labels on which logistic regression over the votes is trained; it gives the score.
+3. A generative model with a hidden class is fitted by expectation-maximisation on counts of vote patterns. A learning
+   row's label is one more voter, whose accuracy is estimated too. The model estimates how often each voter fires in each
+   class, then the correlation of every two voters within a class; a voter counts less the more it repeats others, and the
+   rates are estimated again under these weights.
+4. The model's posteriors are the soft labels on which logistic regression over the votes is trained; it gives the score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import spans
+from docloom.llm.language_id import run_of_words
 from docloom.llm.shared import written
 
 # Own lists of insults, one voter for each list and one for any of them right after a second-person word.
@@ -34,8 +36,8 @@ PREFIXES = (4, 5, 6, 7, 8)  # bytes
 LEVELS = (1, 2, 4)  # a mined beginning has a voter for each: so many words of the text start with it
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 9000  # labelled learning rows the words are mined on; together never more
 MINED = 40  # mined terms at most
-TEXT_SAMPLE = 16_384  # bytes; longer texts are not mined (they are scored, as every text)
-ROUNDS = 10
+MINED_CHARS = 8_192  # of a longer text one run of words of this length is mined (every text is scored whole)
+ROUNDS, AGAIN = 10, 2  # of expectation-maximisation, before and after voters are weighed
 SURPRISE = 25.0  # log-likelihood ratio of a mined term, at least
 _LETTER = spans.byte_class(b"abcdefghijklmnopqrstuvwxyz", high=True)
 
@@ -135,8 +137,8 @@ def mine(texts: DataFrame, known: DataFrame) -> list[tuple[str, bytes]]:
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mine")), F.lit(1 << 30))
     most = {1: SAMPLE_TOXIC, 0: SAMPLE_OTHER}
     rate = F.create_map(*[F.lit(x) for y, n in totals.items() for x in (y, int((1 << 30) * min(1.0, 0.9 * most[y] / n)))])
-    drawn = known.where(draw < rate[F.col("toxic")]).limit(SAMPLE_TOXIC + SAMPLE_OTHER)  # so many ids at most: a broadcast of 200 KB
-    sample = texts.where(F.octet_length("text").between(1, TEXT_SAMPLE)).join(F.broadcast(drawn), "doc_id").select("toxic", "text")
+    drawn = known.where(draw < rate[F.col("toxic")]).orderBy(draw, "doc_id").limit(SAMPLE_TOXIC + SAMPLE_OTHER)  # so many ids at most: a broadcast of 200 KB
+    sample = texts.where("text <> ''").join(F.broadcast(drawn), "doc_id").select("toxic", run_of_words("text", MINED_CHARS).alias("text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bytes], list[int]] = {}
@@ -178,51 +180,71 @@ class LabelModel:
     prior: float
     rate: np.ndarray  # 2 x voters: how often a voter fires in each class
     weight: np.ndarray  # of a voter, 1 where it is independent of all others within the classes
+    labelled: np.ndarray  # how often a label says toxic in each class
 
-    def posterior(self, fired: np.ndarray) -> np.ndarray:
+    def posterior(self, fired: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Probability of the toxic class; ``label`` is 1, 0 or NaN where a row has none."""
         on, off = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
         odds = np.log(self.prior / (1 - self.prior)) + np.where(fired, on, off) @ self.weight
+        says, denies = np.log(self.labelled[1] / self.labelled[0]), np.log((1 - self.labelled[1]) / (1 - self.labelled[0]))
+        odds = odds + np.where(np.isnan(label), 0, np.where(label == 1, says, denies))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
+def _columns(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _dense(batch.column("votes"), m), batch.column("toxic").to_pandas().to_numpy(float), batch.column("n").to_numpy()
+
+
+def _added(rows: DataFrame, one: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum of ``one`` over all batches; a vector of ``size`` numbers for each partition is all that reaches the driver."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += one(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return sum((np.frombuffer(r["sums"]) for r in rows.mapInArrow(step, "sums binary").collect()), np.zeros(size))
+
+
 def fit_labels(patterns: DataFrame, m: int) -> LabelModel:
-    """patterns: votes array<int> (the voters that fired), toxic (0, 1 or null), n. Sums over it are all that reaches the driver."""
+    """patterns: votes array<int> (the voters that fired), toxic (0, 1 or null), n. All of them count; no pattern at all gives the starting model."""
     def expected(model: LabelModel, pairs: bool) -> tuple[np.ndarray, ...]:
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mass, fires, both = np.zeros(2), np.zeros((2, m)), np.zeros((2, m, m) if pairs else 0)
-            for batch in batches:
-                fired = _dense(batch.column("votes"), m)
-                q = model.posterior(fired)
-                known = batch.column("toxic").to_pandas().to_numpy(float)
-                q = np.where(np.isnan(known), q, np.clip(known, 0.01, 0.99))
-                n = batch.column("n").to_numpy()
-                for y, w in enumerate((n * (1 - q), n * q)):
-                    mass[y] += w.sum()
-                    fires[y] += w @ fired
-                    if pairs:
-                        both[y] += (fired * w[:, None]).T @ fired
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([mass, fires.ravel(), both.ravel()]).tobytes()], pa.binary())], ["sums"])
-
-        rows = patterns.mapInArrow(step, "sums binary").collect()  # a few KB for each partition
-        total = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(2 + 2 * m + (2 * m * m if pairs else 0)))
-        return total[:2], total[2 : 2 + 2 * m].reshape(2, m), total[2 + 2 * m :].reshape(2, m, m) if pairs else np.zeros(0)
+        def one(batch: pa.RecordBatch) -> np.ndarray:
+            fired, label, n = _columns(batch, m)
+            q = model.posterior(fired, label)
+            parts = []
+            for w in (n * (1 - q), n * q):
+                both = (fired * w[:, None]).T @ fired if pairs else np.zeros(0)
+                parts.append(np.concatenate([[w.sum(), w[label == 1].sum(), w[label == 0].sum()], w @ fired, both.ravel()]))
+            return np.concatenate(parts)
+
+        total = _added(patterns, one, 2 * (3 + m + (m * m if pairs else 0))).reshape(2, -1)
+        return total[:, 0], total[:, 1:3], total[:, 3 : 3 + m], total[:, 3 + m :].reshape(2, m, m) if pairs else np.zeros(0)
 
     one = np.ones(m)
-    model = LabelModel(0.1, np.stack([0.002 * one, 0.2 * one]), one)
+    model = LabelModel(0.1, np.stack([0.002 * one, 0.2 * one]), one, np.array([0.01, 0.99]))
     lists = len(LEXICONS)
     model.rate[:, lists + 2 : lists + 4] = [[0.05], [0.1]]  # shouting alone says little
-    for _ in range(ROUNDS):
-        mass, fires, _ = expected(model, False)
+
+    def better(model: LabelModel) -> LabelModel:
+        mass, said, fires, _ = expected(model, False)
         rate = (fires + np.array([[0.05], [0.5]]) * 2) / (mass[:, None] + 10)
-        model = LabelModel(float(np.clip((mass[1] + 1) / (mass.sum() + 10), 0.001, 0.5)), np.clip(rate, 1e-5, 1 - 1e-5), one)
-    mass, fires, both = expected(model, True)
+        labelled = np.clip((said[:, 0] + [0.1, 9.9]) / (said.sum(axis=1) + 10), [0.001, 0.9], [0.1, 0.999])
+        return LabelModel(float(np.clip((mass[1] + 1) / (mass.sum() + 10), 0.001, 0.5)), np.clip(rate, 1e-5, 1 - 1e-5), model.weight, labelled)
+
+    for _ in range(ROUNDS):
+        model = better(model)
+    mass, _, fires, both = expected(model, True)
     share = mass[:, None, None] / max(mass.sum(), 1)
     mean = fires / np.maximum(mass, 1)[:, None]
     spread = (share * (both / np.maximum(mass, 1)[:, None, None] - mean[:, :, None] * mean[:, None, :])).sum(axis=0)
     scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
     related = np.clip(spread / scale[:, None] / scale[None, :], 0, 1) ** 2
     np.fill_diagonal(related, 1)
-    return LabelModel(model.prior, model.rate, 1 / related.sum(axis=0))
+    model = LabelModel(model.prior, model.rate, 1 / related.sum(axis=0), model.labelled)
+    for _ in range(AGAIN):
+        model = better(model)
+    return model
 
 
 def _dense(lists: pa.Array, m: int) -> np.ndarray:
@@ -233,39 +255,37 @@ def _dense(lists: pa.Array, m: int) -> np.ndarray:
     return out
 
 
-def fit_linear(rows: list, model: LabelModel, m: int, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Logistic regression of soft labels on votes by Newton steps; the last weight is the constant.
+def fit_linear(patterns: DataFrame, model: LabelModel, m: int, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
+    """Logistic regression of the model's posteriors on votes, over all patterns; the last weight is the constant.
 
-    rows: votes, n, and how many of these are labelled bad and good; the label model's posterior stands for the others.
+    ``ridge`` is added to the curvature of the whole sum, so it fades as rows come. Each Newton step adds up gradient and curvature in the tasks; the steps end when one changes next to nothing.
     """
-    fired = np.zeros((len(rows), m + 1))
-    n = np.array([r["n"] for r in rows], float)
-    for i, r in enumerate(rows):
-        fired[i, r["votes"]] = 1
-    bad, good = (np.array([r[c] for r in rows], float) for c in ("bad", "good"))
-    q = (bad + (n - bad - good) * model.posterior(fired[:, :m] > 0)) / np.maximum(n, 1)
-    fired[:, m] = 1
-    w = np.zeros(m + 1)
+    size = m + 1
+    w = np.zeros(size)
     w[m] = np.log(model.prior / (1 - model.prior))
-    total = max(n.sum(), 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-fired @ w))
-        slope = fired.T @ (n * (p - q)) / total + ridge * w
-        bend = (fired * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ fired / total + ridge * np.eye(m + 1)
-        step = np.linalg.solve(bend, slope)
-        w -= step * min(1, 4 / max(np.abs(step).max(), 1e-9))
+        def one(batch: pa.RecordBatch, w: np.ndarray = w) -> np.ndarray:
+            fired, label, n = _columns(batch, m)
+            x = np.column_stack([fired, np.ones(len(fired))])
+            p = 1 / (1 + np.exp(-x @ w))
+            slope = x.T @ (n * (p - model.posterior(fired, label)))
+            return np.concatenate([slope, ((x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x).ravel()])
+
+        total = _added(patterns, one, size + size * size)
+        step = np.linalg.solve(total[size:].reshape(size, size) + ridge * np.eye(size), total[:size] + ridge * w)
+        w = w - step * min(1, 4 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
     return w
 
 
-LINEAR_PATTERNS = 20_000  # most frequent vote patterns the classifier is trained on
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic; ``learn``: condition on doc_id of the rows to learn from.
 
     Returns doc_id, score (0 to 1), n_votes, a row for each row of docs. Null and empty texts have no votes and get the
     score of that. Labels that are null or not 0 or 1, or for unknown ids, are ignored; of several labels of an id the
-    largest counts. Without labels of both kinds nothing is mined and the listed voters decide. Other columns are not read.
+    largest counts. Without labels of both kinds nothing is mined and the listed voters decide. Repeated rows are scored
+    one by one; a very long text takes memory in proportion. Other columns are not read.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn)
     texts = docs.select("doc_id", "text")
@@ -286,8 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: F.Column) -> DataFrame:
     patterns = voted.where(learn).join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n"))
     patterns = written(patterns, "patterns")
     model = fit_labels(patterns, m)
-    top = patterns.groupBy("votes").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "bad"), (0, "good")))).orderBy(F.desc("n"), "votes").limit(LINEAR_PATTERNS).collect()
-    weights = fit_linear(top, model, m)
+    weights = fit_linear(patterns, model, m)
     each = F.array(*map(F.lit, map(float, weights[:m])))
     odds = F.aggregate("votes", F.lit(float(weights[m])), lambda s, v: s + F.element_at(each, v + 1))
     return voted.select("doc_id", (1 / (1 + F.exp(-odds))).alias("score"), F.size("votes").alias("n_votes"))
