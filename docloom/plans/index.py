@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import keys as ky
 from ..functions import text as tx
 from ..functions import vectors as vc
-from ..operators import features as ft
+from ..operators import terms as tm
+from ..session import materialise
 from ..sources.writers import upsert
 from .recommend import Settings
 
@@ -33,25 +34,31 @@ def infer_features(docs: DataFrame) -> DataFrame:
     return staged.withColumn("features", pairs)
 
 
-def build_vectors(docs: DataFrame, encoder=None, dim: int = 256, fixed_summary_weight: float | None = None) -> DataFrame:
-    """Vector rows (doc_id, vector, metadata, features) of documents with a summary.
+def build_vectors(docs: DataFrame, encoder=None, fixed_summary_weight: float | None = None) -> DataFrame:
+    """Vector rows (doc_id, vector or terms, metadata, features) of documents with a summary.
 
-    ``docs``: celex_number, title, summary, keywords array, tier. ``encoder``: a pandas UDF string -> array<double>
-    (for instance a neural model); the default is hashed tf-idf fitted on the summaries.
+    ``docs``: celex_number (unique), title, summary, keywords array, tier. ``encoder``: a pandas UDF
+    string -> array<double> (for instance a neural model, see operators.batches.encoder_udf) that gives ``vector``; the
+    default gives ``terms``, sparse tf-idf vectors over all terms, fitted on the summaries.
     """
     held = infer_features(docs.filter(F.coalesce(F.trim("summary"), F.lit("")) != ""))
     joined = F.concat_ws(" ", F.col("keywords"))
+    n = F.col("num_keywords")
     if encoder is not None:
         coded = held.withColumns({"_s": encoder(F.col("summary")), "_k": encoder(joined)})
+        vector = vc.blend(F.col("_s"), F.when(n > 0, F.col("_k")), n, fixed_summary_weight).alias("vector")
     else:
-        tok = held.withColumns({"_ts": tx.tokens(F.col("summary")), "_tk": tx.tokens(joined)})
-        encode = ft.text_encoder(tok, "_ts", dim)
-        coded = encode(encode(tok, "_ts", "_s"), "_tk", "_k").drop("_ts", "_tk")
-    n = F.col("num_keywords")
-    vector = vc.blend(F.col("_s"), F.when(n > 0, F.col("_k")), n, fixed_summary_weight)
+        lean = held.select("celex_number", "summary", joined.alias("_j"))
+        idf, count = tm.term_idf(lean, tx.tokens(F.col("summary")))
+        idf = materialise(idf, "idf")
+        coded = held
+        for text, out in (("summary", "_s"), ("_j", "_k")):
+            sparse = tm.sparse_vectors(lean, "celex_number", tx.tokens(F.col(text)), idf, count)
+            coded = coded.join(sparse.withColumnRenamed("terms", out), "celex_number")
+        vector = tm.blend_terms(F.col("_s"), F.when(n > 0, F.col("_k")), n, fixed_summary_weight).alias("terms")
     meta = F.struct("celex_number", "title", "summary", F.concat_ws(",", "keywords").alias("keywords"), "tier", "num_keywords",
                     "document_type", "form")
-    return coded.select(F.col("celex_number").alias("doc_id"), vector.alias("vector"), meta.alias("metadata"), "features")
+    return coded.select(F.col("celex_number").alias("doc_id"), vector, meta.alias("metadata"), "features")
 
 
 def upsert_vectors(current: DataFrame, new: DataFrame) -> DataFrame:

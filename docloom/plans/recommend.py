@@ -13,8 +13,10 @@ from ..functions import scores as sc
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..operators import features as ft
+from ..operators import terms as tm
 from ..operators.ranking import rank_results
 from ..operators.similarity import mean_vectors, top_k
+from ..session import materialise
 
 # Final scores are compared at this precision; candidates were cut at six places.
 SCORE_DIGITS = 9
@@ -83,7 +85,10 @@ def recommend(queries: DataFrame, docs: DataFrame, s: Settings = Settings(), ski
     Over-fetches by text score, then re-scores the few candidates. Returns query_id, doc_id, text_score,
     category_score, score, rank.
     """
-    found = candidates(queries, docs, s, skip_self)
+    return _rescored(candidates(queries, docs, s, skip_self), queries, docs, s)
+
+
+def _rescored(found: DataFrame, queries: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     if not s.use_features:
         dated = found.join(docs.select("doc_id", "date"), "doc_id") if "date" in docs.columns else found
         return rescore(dated, s)
@@ -101,26 +106,57 @@ def recommend_by_document(docs: DataFrame, s: Settings = Settings(), asked: Data
 
 # -- text queries --------------------------------------------------------------------------------------------
 
-def text_index(docs: DataFrame, text: str = "content", dim: int = 256):
-    """Text vectors of a corpus and the encoder to turn queries into the same space."""
-    held = docs.withColumn("_tok", tx.tokens(F.col(text)))
-    encode = ft.text_encoder(held, "_tok", dim)
-    return encode(held, "_tok").drop("_tok"), encode
+@dataclass(frozen=True)
+class TextIndex:
+    """Weighted postings (term, doc_id, w) of a corpus, vector lengths (doc_id, length), and the terms' idf, all written."""
+
+    weights: DataFrame
+    lengths: DataFrame
+    idf: DataFrame
+    n: int
+
+    def postings(self) -> DataFrame:
+        """(term, doc_id, w) of unit vectors."""
+        return self.weights.join(self.lengths, "doc_id").select("term", "doc_id", (F.col("w") / F.col("length")).alias("w"))
+
+    def encode(self, df: DataFrame, key: str, text: Column) -> DataFrame:
+        """(key, terms) of a text column."""
+        return tm.sparse_vectors(df, key, tx.tokens(text), self.idf, self.n)
+
 
+def text_index(docs: DataFrame, text: str = "content") -> TextIndex:
+    """Tf-idf index over all terms of a corpus (doc_id, text); no dimension, no vocabulary on the driver."""
+    counted = materialise(docs.select("doc_id", tx.term_counts(tx.tokens(F.col(text))).alias("c")), "counts")
+    n = counted.count()
+    rows = counted.select("doc_id", F.explode("c").alias("c")).select("doc_id", F.col("c.term").alias("term"), F.col("c.tf").alias("tf"))
+    idf = materialise(tm.idf_of(rows.groupBy("term").agg(F.count("*").alias("df")), n), "idf")
+    weights = materialise(rows.join(idf, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("w")).where("w > 0"), "weights")
+    lengths = materialise(weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")), "lengths")
+    return TextIndex(weights, lengths, idf, n)
 
-def encode_queries(queries: DataFrame, encode, text: str = "query", keywords: str | None = None,
+
+def encode_queries(queries: DataFrame, index: TextIndex, text: str = "query", keywords: str | None = None,
                    embedding_type: str = "combined", fixed_summary_weight: float | None = None) -> DataFrame:
-    """Query vectors from text, keywords (array) or both."""
-    out = encode(queries.withColumn("_tok", tx.tokens(F.col(text))), "_tok", "_text").drop("_tok")
+    """Queries with their vector (``terms``) from text, keywords (array) or both; query_id is unique."""
     if keywords is None or embedding_type == "summary":
-        return out.withColumnRenamed("_text", "vector")
-    joined = F.concat_ws(" ", F.col(keywords))
-    out = encode(out.withColumn("_tok", tx.tokens(joined)), "_tok", "_key").drop("_tok")
+        return queries.join(index.encode(queries, "query_id", F.col(text)), "query_id")
+    joined = index.encode(queries, "query_id", F.concat_ws(" ", F.col(keywords))).withColumnRenamed("terms", "_key")
     if embedding_type == "keyword":
-        return out.withColumnRenamed("_key", "vector").drop("_text")
+        return queries.join(joined.withColumnRenamed("_key", "terms"), "query_id")
+    both = queries.join(index.encode(queries, "query_id", F.col(text)).withColumnRenamed("terms", "_text"), "query_id").join(joined, "query_id")
     n = F.size(keywords)
-    mixed = vc.blend(F.col("_text"), F.when(n > 0, F.col("_key")), n, fixed_summary_weight)
-    return out.withColumn("vector", mixed).drop("_text", "_key")
+    mixed = tm.blend_terms(F.col("_text"), F.when(n > 0, F.col("_key")), n, fixed_summary_weight)
+    return both.withColumn("terms", mixed).drop("_text", "_key")
+
+
+def recommend_by_text(queries: DataFrame, index: TextIndex, s: Settings = Settings(), docs: DataFrame | None = None) -> DataFrame:
+    """Encoded queries (query_id, terms[, features, preferences]) against an index, re-scored as ``recommend`` does.
+
+    ``docs`` holds features and dates (doc_id, features[, date]) where the settings use them.
+    """
+    k = s.top_k * s.candidate_factor if s.use_features else s.top_k
+    found = tm.top_k_terms(queries, index.postings(), k).withColumnRenamed("score", "text_score").drop("rank")
+    return _rescored(found, queries, index.lengths if docs is None else docs, s)
 
 
 # -- profiles ------------------------------------------------------------------------------------------------

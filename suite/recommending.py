@@ -13,7 +13,7 @@ from docloom.plans import recommend as rc
 from docloom.plans import sweep as sw
 from docloom.sources import readers as rd
 
-from .base import Tables, query
+from .base import Tables, query, tokens_sql
 from .scoring import queries_of, sims10
 
 REF = "2020-06-30"
@@ -111,13 +111,38 @@ def reweighted_results(t: Tables):
 
 # -- text to vectors to results ---------------------------------------------------------------------------------
 
-@query("recommend_by_text", "REC1")
+def _unit_sql(rows: str, key: str) -> str:
+    """Rows (key, tok, w) scaled to length 1 for each key."""
+    return f"(SELECT {key}, tok, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {rows})"
+
+
+def _tfidf_sql(rows: str, key: str) -> str:
+    """Unit tf-idf rows (key, tok, w) of token rows (key, tok); ``idf`` and ``n`` stand before."""
+    return _unit_sql(f"(SELECT {key}, tok, tf * coalesce(idf, (SELECT ln(n + 1) FROM n)) AS w FROM (SELECT {key}, tok, count(*) AS tf FROM {rows} GROUP BY ALL) LEFT JOIN idf USING (tok))", key)
+
+
+def _blend_sql(text: str, keys: str, counts: str, key: str) -> str:
+    """Both vectors of a key as one; ``counts`` has the number k of its keywords. Without keywords the text's stays."""
+    wk = "greatest(0.1::DOUBLE, least(0.4::DOUBLE, 0.1::DOUBLE + 0.01667::DOUBLE * (k - 2)))"
+    mixed = f"""(SELECT {key}, tok, sum(w) AS w FROM (SELECT {key}, tok, CASE WHEN k > 0 THEN (1 - {wk}) * w ELSE w END AS w FROM {text} JOIN {counts} USING ({key})
+        UNION ALL SELECT {key}, tok, {wk} * w FROM {keys} JOIN {counts} USING ({key}) WHERE k > 0) GROUP BY ALL)"""
+    return _unit_sql(mixed, key)
+
+
+_IDF_SQL = """n AS (SELECT count(*)::DOUBLE AS n FROM {source}), idf AS (SELECT tok, ln((SELECT n + 1 FROM n) / (count(*) + 1)) AS idf FROM (SELECT DISTINCT {key}, tok FROM {rows}) GROUP BY tok)"""
+
+
+@query("recommend_by_text", "REC1", f"""WITH dt AS (SELECT document_id AS doc_id, unnest(toks) AS tok FROM toks), {_IDF_SQL.format(source="docs", key="doc_id", rows="dt")},
+    dv AS MATERIALIZED {_tfidf_sql("dt", "doc_id")}, q AS (SELECT item_id AS query_id, {tokens_sql('text')} AS qt FROM benchmark),
+    k AS (SELECT query_id, least(5, len(qt)) AS k FROM q), qv AS MATERIALIZED {_blend_sql(_tfidf_sql("(SELECT query_id, unnest(qt) AS tok FROM q)", "query_id"), _tfidf_sql("(SELECT query_id, unnest(qt[1:5]) AS tok FROM q)", "query_id"), "k", "query_id")},
+    s AS (SELECT query_id, doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (tok) GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def recommend_by_text(t: Tables):
     """Every benchmark text asks the whole document table, with keywords and combined vectors."""
-    docs, encode = rc.text_index(t.texts.select(F.col("document_id").alias("doc_id"), "content"))
+    index = rc.text_index(t.texts.select(F.col("document_id").alias("doc_id"), "content"))
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.slice(tx.tokens(F.col("text")), 1, 5).alias("keywords"))
-    asked = rc.encode_queries(q, encode, keywords="keywords")
-    return rc.recommend(asked, docs, rc.Settings(use_features=False)).select("query_id", "doc_id", "score", "rank")
+    asked = rc.encode_queries(q, index, keywords="keywords")
+    return rc.recommend_by_text(asked, index, rc.Settings(use_features=False)).select("query_id", "doc_id", "score", "rank")
 
 
 def bundles(t: Tables):
@@ -135,6 +160,16 @@ def vector_rows(t: Tables):
     return ix.build_vectors(bundles(t)).select("doc_id", "metadata.document_type", "metadata.num_keywords")
 
 
+@query("vector_terms", "REC7 VEC3", f"""WITH kw AS (SELECT document_id, list(keyword ORDER BY rn) AS l FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, keyword) AS rn FROM kws) WHERE rn <= 20 GROUP BY 1),
+    b AS (SELECT celex_number AS doc_id, {tokens_sql('summary')} AS st, coalesce(l, []) AS l FROM summarised LEFT JOIN kw USING (document_id) WHERE trim(coalesce(summary, '')) <> ''),
+    stoks AS (SELECT doc_id, unnest(st) AS tok FROM b), {_IDF_SQL.format(source="b", key="doc_id", rows="stoks")}, k AS (SELECT doc_id, len(l) AS k FROM b),
+    v AS {_blend_sql(_tfidf_sql("stoks", "doc_id"), _tfidf_sql("(SELECT doc_id, unnest(" + tokens_sql("array_to_string(l, ' ')") + ") AS tok FROM b)", "doc_id"), "k", "doc_id")}
+    SELECT doc_id, tok AS term, round(w, 6) AS w FROM v""")
+def vector_terms(t: Tables):
+    """Default vectors of summaries and keywords, cell by cell."""
+    return ix.build_vectors(bundles(t)).select("doc_id", F.explode("terms").alias("x")).select("doc_id", "x.term", F.round("x.w", 6).alias("w"))
+
+
 _SUBJECTS = ", ".join("CASE WHEN " + " OR ".join(f"contains(b, '{w}')" for w in ws) + f" THEN '{name}' END" for name, ws in ky.SUBJECT_TERMS.items())
 
 

@@ -96,19 +96,54 @@ def test_state_round_trip(spark, tmp_path):
     assert [(r.query_id, r.doc_id) for r in rc.recommend_by_document(vectors, s).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
 
 
-def test_text_recommendations_equal_brute_force(spark, data):
-    import numpy as np
+def brute_terms(queries, docs, k, skip_self=False):
+    out = []
+    for q, asked in queries.items():
+        scored = []
+        for d, held in docs.items():
+            score = round(sum(w * held.get(t, 0.0) for t, w in asked.items()), 6)
+            if any(t in held for t in asked) and not (skip_self and d == q):
+                scored.append((-score, d))
+        out += [(q, d, i + 1) for i, (_, d) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
 
+def test_text_recommendations_equal_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id"), F.col("text").alias("content"))
-    coded, encode = rc.text_index(docs, dim=64)
-    q = rc.encode_queries(docs.limit(5).select(F.col("doc_id").alias("query_id"), F.col("content").alias("query")), encode)
-    got = rc.recommend(q, coded, rc.Settings(use_features=False, top_k=3)).collect()
-    ids, vec = zip(*[(r.doc_id, r.vector) for r in coded.collect()])
-    m = np.array(vec)
-    for r in q.collect():
-        s = np.round(m @ np.array(r.vector), 6)
-        want = [ids[i] for i in np.lexsort((np.array(ids), -s))[:3]]
-        assert [x.doc_id for x in sorted((g for g in got if g.query_id == r.query_id), key=lambda g: g["rank"])] == want
+    index = rc.text_index(docs)
+    assert index.n == docs.count() and index.idf.where("idf < 0").count() == 0
+    asked = docs.where("doc_id < 12").select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"), F.array(F.lit("law"), F.lit("unseen")).alias("words"))
+    held = {}
+    for r in index.postings().collect():
+        held.setdefault(r.doc_id, {})[r.term] = r.w
+    for keywords in (None, "words"):
+        q = rc.encode_queries(asked, index, keywords=keywords)
+        queries = {r.query_id: {x.term: x.w for x in r.terms} for r in q.collect()}
+        assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for v in queries.values() if v)
+        got = rc.recommend_by_text(q, index, rc.Settings(use_features=False, top_k=3)).collect()
+        assert sorted((g.query_id, g.doc_id, g["rank"]) for g in got) == brute_terms(queries, held, 3)
+
+
+def test_term_search_on_random_vectors(spark):
+    import random
+
+    from docloom.operators.terms import top_k_terms
+
+    rng = random.Random(7)
+    names = [f"t{i}" for i in range(40)]
+
+    def some(n):
+        return {t: round(rng.random() ** 4, 3) for t in rng.sample(names, n)}
+
+    docs = {i: some(rng.randint(1, 12)) for i in range(200)}
+    queries = {i: some(rng.randint(1, 9)) for i in range(30)} | {500: {"absent": 1.0}, 501: {}}
+    held = spark.createDataFrame([(t, d, w) for d, v in docs.items() for t, w in v.items()], "term string, doc_id long, w double")
+    rows = [(q, [(t, w) for t, w in v.items()]) for q, v in queries.items()]
+    asked = spark.createDataFrame(rows, "query_id long, terms array<struct<term:string,w:double>>")
+    positive = lambda some: {i: {t: w for t, w in v.items() if w > 0} for i, v in some.items()}
+    for skip_self in (False, True):
+        got = sorted((r.query_id, r.doc_id, r["rank"]) for r in top_k_terms(asked, held, 5, skip_self).collect())
+        assert got == brute_terms(positive(queries), positive(docs), 5, skip_self)
 
 
 def test_user_encoder(spark):
