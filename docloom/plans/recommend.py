@@ -12,6 +12,7 @@ from ..functions import maps as mp
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..functions import vectors as vc
+from ..operators import categories as cg
 from ..operators import features as ft
 from ..operators import terms as tm
 from ..operators.ranking import rank_results
@@ -161,8 +162,10 @@ def recommend_by_text(queries: DataFrame, index: TextIndex, s: Settings = Settin
 
 # -- profiles ------------------------------------------------------------------------------------------------
 
-# Weights (expert, history) of the evaluation modes; a missing part leaves the other.
+# Weights (expert, history) of the evaluation modes with a vector; a missing part leaves the other.
 PROFILE_MODES = {"combined": (0.5, 0.5), "expert": (1.0, 0.0), "historical": (0.0, 1.0)}
+# The mode without a vector: profiles meet documents by their preferred categories alone.
+CATEGORICAL_MODE = "categorical"
 
 
 def profile_vectors(expert: DataFrame, history: DataFrame, vectors: DataFrame, we: float = 0.5, wh: float = 0.5) -> DataFrame:
@@ -202,6 +205,18 @@ def recommend_for_profiles(profiles: DataFrame, docs: DataFrame, s: Settings = S
     return recommend(personalised_queries(profiles, queries, wp, wq), docs, s)
 
 
+def recommend_categorical(profiles: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Profiles (query_id, features) against documents (doc_id, features) by categories alone; no vector is read.
+
+    Only documents that share a value with the profile are results; recency and ``min_similarity`` apply as elsewhere.
+    """
+    if s.recency_weight is None and s.min_similarity is None:
+        return cg.top_k_categories(profiles, docs, s.top_k, s.feature_weights, s.multi_valued)
+    found = cg.top_k_categories(profiles, docs, s.top_k * s.candidate_factor, s.feature_weights, s.multi_valued)
+    dated = found.drop("rank").withColumnRenamed("score", "text_score").join(docs.select("doc_id", "date"), "doc_id")
+    return rescore(dated, replace(s, use_features=False)).select("query_id", "doc_id", "score", "rank")
+
+
 # -- ranking a corpus against interest profiles ----------------------------------------------------------------
 
 def rank_corpus(queries: DataFrame, docs: DataFrame, s: Settings = Settings(recency_kind="sqrt")) -> DataFrame:

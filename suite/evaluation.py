@@ -6,7 +6,7 @@ from docloom.functions import keys as ky
 from docloom.operators import evaluation as ev
 from docloom.operators import monitoring as mo
 from docloom.plans import sweep as sw
-from docloom.plans.recommend import PROFILE_MODES, Settings, profile_vectors
+from docloom.plans.recommend import CATEGORICAL_MODE, PROFILE_MODES, Settings, profile_vectors, recommend_categorical
 from docloom.plans.recommend import candidates as rc_candidates
 from docloom.plans.recommend import components as rc_components
 
@@ -155,21 +155,26 @@ def configurations_side_by_side(t: Tables):
 
 _MODES_SQL = """(SELECT user_id, 'combined' AS mode, vector FROM profvec UNION ALL SELECT user_id, 'expert', vector FROM experts UNION ALL
     SELECT e.user_id, 'historical', coalesce(h.vector, e.vector) FROM experts e LEFT JOIN histmean h USING (user_id))"""
+_BY_CATEGORY_SQL = """(SELECT user_id, 'categorical' AS mode, doc_id, round((0.15::DOUBLE * same + 0.25::DOUBLE * (shared / (4.0::DOUBLE - shared))) / 0.4::DOUBLE, 9) AS s FROM
+    (SELECT p.user_id, v.doc_id, (p.label = v.label)::INT AS same, ((p.label = v.label)::INT + (p.grp = v.grp)::INT) AS shared FROM experts p, vecs v) WHERE shared > 0)"""
 
 
-@query("mode_sweep", "", f"""WITH r AS (SELECT user_id, mode, doc_id, row_number() OVER (PARTITION BY user_id, mode ORDER BY s DESC, doc_id) AS rank FROM (SELECT p.user_id, mode, v.doc_id, round(list_cosine_similarity(p.vector, v.vector), 6) AS s FROM {_MODES_SQL} p, vecs v))
+@query("mode_sweep", "EVL13", f"""WITH r AS (SELECT user_id, mode, doc_id, row_number() OVER (PARTITION BY user_id, mode ORDER BY s DESC, doc_id) AS rank FROM (
+      SELECT p.user_id, mode, v.doc_id, round(list_cosine_similarity(p.vector, v.vector), 6) AS s FROM {_MODES_SQL} p, vecs v UNION ALL SELECT user_id, mode, doc_id, s FROM {_BY_CATEGORY_SQL}))
     SELECT mode, count(*) AS results, sum((h.doc_id IS NOT NULL)::INT)::BIGINT AS hits, count(DISTINCT r.doc_id) AS unique_documents FROM r LEFT JOIN history h USING (user_id, doc_id) WHERE rank <= 10 GROUP BY mode""")
 def mode_sweep(t: Tables):
     from docloom.operators.similarity import top_k
 
-    # One frame of queries for all clients and modes: the mode is a column, so the whole sweep is one job.
+    # One frame of queries for all clients and modes with a vector: the mode is a column, so they are one job.
     parts = None
     for mode, (we, wh) in PROFILE_MODES.items():
         p = profile_vectors(t.experts, t.history, t.vecs, we, wh).select(F.concat_ws("|", F.col("user_id").cast("string"), F.lit(mode)).alias("query_id"), "vector")
         parts = p if parts is None else parts.unionByName(p)
     found = top_k(parts, t.vecs, 10).withColumns({"user_id": F.split_part("query_id", F.lit("|"), F.lit(1)).cast("long"), "mode": F.split_part("query_id", F.lit("|"), F.lit(2))})
+    by_category = recommend_categorical(t.experts.select(F.col("user_id").alias("query_id"), "features"), t.vecs)
+    every = found.select("user_id", "mode", "doc_id").unionByName(by_category.select(F.col("query_id").alias("user_id"), F.lit(CATEGORICAL_MODE).alias("mode"), "doc_id"))
     hist = t.history.withColumn("hit", F.lit(1))
-    return found.join(hist, ["user_id", "doc_id"], "left").groupBy("mode").agg(
+    return every.join(hist, ["user_id", "doc_id"], "left").groupBy("mode").agg(
         F.count("*").alias("results"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.count_distinct("doc_id").alias("unique_documents"))
 
 

@@ -75,7 +75,14 @@ def recommend_personalised_queries(t: Tables):
     return rc.recommend_for_profiles(profiles(t), t.vecs, queries=q).select("query_id", "doc_id", "score", "rank")
 
 
-@query("recommend_expert_mode", "", _profile_sql("experts"))
+@query("recommend_categorical", "REC5", _rank("""SELECT user_id AS query_id, doc_id, round((0.15::DOUBLE * (p.label = v.label)::INT + 0.25::DOUBLE * (s / (4.0::DOUBLE - s))) / 0.4::DOUBLE, 9) AS score
+    FROM (SELECT p.*, v.doc_id, v.label AS l, ((p.label = v.label)::INT + (p.grp = v.grp)::INT) AS s FROM experts p, vecs v) p JOIN vecs v USING (doc_id) WHERE s > 0"""))
+def recommend_categorical(t: Tables):
+    """Every user asks with the preferred categories alone."""
+    return rc.recommend_categorical(t.experts.select(F.col("user_id").alias("query_id"), "features"), t.vecs)
+
+
+@query("recommend_expert_mode", "REC5", _profile_sql("experts"))
 def recommend_expert_mode(t: Tables):
     v = rc.profile_vectors(t.experts, t.history, t.vecs, *rc.PROFILE_MODES["expert"]).join(t.experts.select("user_id", "features"), "user_id")
     return rc.recommend_for_profiles(v, t.vecs).select("query_id", "doc_id", "score", "rank")
@@ -170,6 +177,31 @@ def vector_terms(t: Tables):
     return ix.build_vectors(bundles(t)).select("doc_id", F.explode("terms").alias("x")).select("doc_id", "x.term", F.round("x.w", 6).alias("w"))
 
 
+def load_measures():
+    """A stand-in for a neural encoder: length, words and a constant."""
+    return lambda texts: [[len(x), len(x.split()), 1.0] for x in texts]
+
+
+def _measure_sql(c: str) -> str:
+    return f"[length({c})::DOUBLE, len(regexp_extract_all({c}, '\\S+'))::DOUBLE, 1.0::DOUBLE]"
+
+
+_WK = "greatest(0.1::DOUBLE, least(0.4::DOUBLE, 0.1::DOUBLE + 0.01667::DOUBLE * (k - 2)))"
+
+
+@query("encoded_vector_rows", "UDF1 REC7", f"""WITH kw AS (SELECT document_id, list(keyword ORDER BY rn) AS l FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, keyword) AS rn FROM kws) WHERE rn <= 20 GROUP BY 1),
+    b AS (SELECT celex_number AS doc_id, summary, array_to_string(coalesce(l, []), ' ') AS j, len(coalesce(l, [])) AS k FROM summarised LEFT JOIN kw USING (document_id) WHERE trim(coalesce(summary, '')) <> ''),
+    m AS (SELECT doc_id, unnest(range(3))::INT AS pos, unnest({_measure_sql('summary')}) AS x, unnest({_measure_sql('j')}) AS y, k FROM b),
+    w AS (SELECT doc_id, pos, CASE WHEN k > 0 THEN (1 - {_WK}) * x + {_WK} * y ELSE x END AS w FROM m)
+    SELECT doc_id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS cell FROM w""")
+def encoded_vector_rows(t: Tables):
+    """Vectors by a user's encoder, loaded in the workers."""
+    from docloom.operators.batches import encoder_udf
+
+    rows = ix.build_vectors(bundles(t), encoder=encoder_udf(load_measures))
+    return rows.select("doc_id", F.posexplode("vector").alias("pos", "cell")).withColumn("cell", F.round("cell", 6))
+
+
 _SUBJECTS = ", ".join("CASE WHEN " + " OR ".join(f"contains(b, '{w}')" for w in ws) + f" THEN '{name}' END" for name, ws in ky.SUBJECT_TERMS.items())
 
 

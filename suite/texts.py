@@ -1,5 +1,6 @@
 """Chunks, extracts, summaries, keywords, quality."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions import chunking as ck
@@ -167,6 +168,38 @@ def summaries_by_tier(t: Tables):
     return made.select("document_id", "tier", "summary_word_count", "compression_ratio", F.md5("summary").alias("summary_md5"))
 
 
+def load_marker():
+    """A stand-in for a neural summariser: marks what it was given."""
+    return lambda texts: [f"> {x}" for x in texts]
+
+
+@query("rewritten_by_tier", "UDF2", """SELECT document_id, CASE WHEN total_words <= 600 THEN 1 WHEN total_words <= 2500 THEN 2 WHEN total_words <= 20000 THEN 3 ELSE 4 END AS tier,
+    true AS marked, CASE WHEN total_words <= 600 THEN md5('> ' || content) END AS short_md5 FROM docs""")
+def rewritten_by_tier(t: Tables):
+    """Every extract goes through a user's summariser, loaded in the workers; short texts go whole."""
+    from docloom.operators.batches import summariser_udf
+
+    docs = t.texts.withColumn("summary", F.lit(None).cast("string"))
+    made = sm.summarise(docs, joined_sections(t), ex.corpus_idf(t.texts), summariser_udf(load_marker))
+    return made.select("document_id", "tier", F.col("summary").startswith("> ").alias("marked"), F.when(F.col("tier") == 1, F.md5("summary")).alias("short_md5"))
+
+
+def count_batch(rows: pa.Table) -> pa.Table:
+    """A user's function over a batch: words of each text, and how many rows it came with."""
+    words = [len((x or "").split()) for x in rows["content"].to_pylist()]
+    return pa.table({"document_id": rows["document_id"], "lang": rows["lang"], "words": pa.array(words, pa.int64()), "together": pa.array([len(rows)] * len(rows), pa.int32())})
+
+
+@query("batched_counts", "UDF3", f"""SELECT document_id, lang, words, least(50, n - (rn - 1) // 50 * 50)::INT AS together FROM (SELECT document_id, lang, {words_sql('content')}::BIGINT AS words,
+    count(*) OVER (PARTITION BY lang, document_id % 8) AS n, row_number() OVER (PARTITION BY lang, document_id % 8 ORDER BY document_id) AS rn FROM docs)""")
+def batched_counts(t: Tables):
+    """A user's function over batches of 50 documents of one language, dealt out over eight shares of a language."""
+    from docloom.operators.batches import process_in_batches
+
+    docs = t.docs.select("document_id", "lang", "content", F.pmod("document_id", F.lit(8)).alias("share"))
+    return process_in_batches(docs, count_batch, 50, "document_id long, lang string, words long, together int", ["lang", "share"], ["document_id"])
+
+
 @query("first_word_summaries", "TXT16", r"SELECT document_id, array_to_string(regexp_extract_all(content, '\S+')[1:50], ' ') AS summary FROM docs")
 def first_word_summaries(t: Tables):
     return t.docs.select("document_id", tx.first_words(F.col("content"), 50).alias("summary"))
