@@ -12,19 +12,27 @@ from ..operators import keywords as kw
 from ..sources.writers import update_fields
 
 
+def section_text(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Documents (document_id, content) whose content is that of their sections in order, a blank line between; without sections it stays."""
+    ordered = F.array_sort(F.collect_list(F.struct("section_order", "content")))
+    joined = sections.join(docs.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(
+        F.array_join(F.transform(ordered, lambda s: s["content"]), "\n\n").alias("_joined"))
+    return docs.join(joined, "document_id", "left").withColumn("content", F.coalesce("_joined", "content")).drop("_joined")
+
+
 def summarise(docs: DataFrame, sections: DataFrame, idf: Column, summariser=None) -> DataFrame:
     """(document_id, summary, summary_word_count, compression_ratio, tier) of documents without a summary.
 
-    Tier 1 keeps the text, the others extract by their recipe; a third-tier document without section rows is one section
-    of its own. ``summariser``: a pandas UDF string -> string run on
+    Tier 1 keeps the text, the others extract by their recipe, the second from its sections as one text; a document
+    without section rows is one section of its own. ``summariser``: a pandas UDF string -> string run on
     the extract (for instance a neural model); the default summary is the extract itself.
     """
     todo = docs.filter(F.col("summary").isNull()).withColumn("tier", tx.tier(F.col("total_words")))
     base = todo.select("document_id", "total_words", "tier", "content")
     keys = lambda t: base.filter(F.col("tier") == t)
     first = keys(1).select("document_id", F.col("content").alias("extract"))
-    second = ex.second_tier(keys(2), idf)
     parts = sections.select("document_id", F.col("section_order").cast("int").alias("section_order"), "content")
+    second = ex.second_tier(section_text(keys(2), parts), idf)
     held = parts.join(keys(3).select("document_id"), "document_id", "left_semi")
     alone = keys(3).join(parts.select("document_id"), "document_id", "left_anti")
     third = ex.third_tier(held.unionByName(alone.select("document_id", F.lit(0).alias("section_order"), "content")), idf)

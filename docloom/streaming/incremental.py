@@ -10,31 +10,30 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from ..sources.bucketed import BucketedTable
 from ..sources.writers import latest
 
 
-def append_new(base: str, key: str = "celex_number") -> Callable[[DataFrame, int], None]:
-    """Batch handler: rows whose key has not come before are added to the table in ``base``, one folder per batch.
+def append_new(base: str, key: str = "celex_number", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch handler: rows whose key has not come before are added to the bucketed table in ``base``.
 
-    What has come before is looked up in the table itself, so no state grows with the stream and no key is ever
-    forgotten. A repeated batch compares with earlier batches only and rewrites its own folder. Of rows that share a
-    key in one batch one is kept. ``read_new`` reads the table.
+    What has come before is looked up in the buckets of the batch's keys, so a batch costs what its buckets cost and no
+    key is ever forgotten. Nothing depends on batch numbers: a repeated batch finds its keys and adds nothing, and a job
+    that starts with a new checkpoint over the same table adds what is missing. Of rows that share a key one is kept.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if number > 0:
-            seen = read_new(batch.sparkSession, base, batch.schema).filter(F.col("batch") < number).select(key)
-            fresh = fresh.join(seen, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        held = batch.persist()  # looked at for its buckets, then written
+        BucketedTable(batch.sparkSession, base, [key], batch.schema, buckets).append_new(held)
+        held.unpersist()
 
     return handle
 
 
-def read_new(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(base)
+def read_new(spark: SparkSession, base: str, schema: StructType, key: str = "celex_number") -> DataFrame:
+    return BucketedTable(spark, base, [key], schema).read()
 
 
 def running_ratings(stream: DataFrame) -> DataFrame:

@@ -166,6 +166,27 @@ def upserted_sections(t: Tables):
     return once.select("document_id", "section_order", F.md5("content").alias("content_md5"))
 
 
+@query("bucketed_upserts", "SNK3 SNK5", """SELECT doc_id, round(CASE WHEN doc_id % 50 = 7 THEN 3 * vector[1] WHEN doc_id < 40 THEN 2 * vector[1] ELSE vector[1] END, 6) AS first_cell, true AS kept_file FROM vecs
+    UNION ALL SELECT -1 - g, 0.5::DOUBLE, true FROM range(3) r(g)""")
+def bucketed_upserts(t: Tables):
+    """Vectors in a bucketed table: two batches of changes, the second given twice. ``kept_file``: no file outside the touched buckets changed."""
+    from docloom.sources.bucketed import BucketedTable
+
+    v = t.vecs.select("doc_id", F.get("vector", 0).alias("cell"))
+    table = BucketedTable(t.spark, shared_dir(t.spark, "bucketed"), ["doc_id"], v.schema, 128)
+    table.upsert(v, ["cell"])
+    scaled = lambda rows, by: rows.withColumn("cell", F.col("cell") * by)
+    first = scaled(v.where("doc_id < 40"), 2)
+    second = scaled(v.where("doc_id % 50 = 7"), 3).unionByName(t.spark.range(3).select((-1 - F.col("id")).alias("doc_id"), F.lit(0.5).alias("cell")))
+    kept = True
+    for batch in (first, second, second):
+        before, touched = table.manifest(), set(table.touched(batch))
+        table.upsert(batch, ["cell"])
+        after = table.manifest()
+        kept &= all(after[b] == x for b, x in before.items() if b not in touched) and all(after[b] == table.version() for b in touched)
+    return table.read().select("doc_id", F.round("cell", 6).alias("first_cell"), F.lit(kept).alias("kept_file"))
+
+
 @query("upserted_keywords", "SNK4", """SELECT document_id, keyword, CASE WHEN score >= 0.1 THEN 1.0::DOUBLE ELSE score END AS score FROM kws""")
 def upserted_keywords(t: Tables):
     new = t.kws.filter("score >= 0.1").withColumn("seq", F.lit(2)).withColumn("score", F.lit(1.0))

@@ -26,7 +26,19 @@ def streamed_new_documents(t: Tables):
         rows.filter(F.pmod("doc_id", F.lit(2)) == part).unionByName(rows.filter(F.pmod("doc_id", F.lit(5)) == part)).write.mode("append").parquet(source)
         keyed = t.spark.readStream.schema(rows.schema).parquet(source).select("celex_number")
         finish(inc.run_batches(keyed, mark, inc.append_new(out), "append"))
-    return inc.read_new(t.spark, out, rows.select("celex_number").schema).drop("batch")
+    return inc.read_new(t.spark, out, rows.select("celex_number").schema)
+
+
+@query("streamed_after_lost_checkpoint", "STR1", "SELECT md5(text) AS celex_number FROM documents GROUP BY 1")
+def streamed_after_lost_checkpoint(t: Tables):
+    """The job has read half of the documents when its checkpoint is lost; a new one reads all of them into the same table."""
+    out, source = shared_dir(t.spark, "new"), shared_dir(t.spark, "source")
+    rows = t.raw("documents").select("doc_id", F.md5("text").alias("celex_number"))
+    for part in (0, 1):
+        rows.filter(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(source)
+        keyed = t.spark.readStream.schema(rows.schema).parquet(source).select("celex_number")
+        finish(inc.run_batches(keyed, shared_dir(t.spark, "mark"), inc.append_new(out), "append"))
+    return inc.read_new(t.spark, out, rows.select("celex_number").schema)
 
 
 _RATED = ", ".join(f"count(*) FILTER (rating = {r}) AS rated_{r}" for r in range(1, 6))

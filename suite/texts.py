@@ -141,6 +141,13 @@ def _extracts(df):
     return df.select("document_id", tx.word_count(F.col("extract")).alias("words"), F.md5("extract").alias("extract_md5"))
 
 
+@query("second_tier_sources", "TXT11", """SELECT document_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY section_order)) AS text_md5 FROM secs GROUP BY 1""")
+def second_tier_sources(t: Tables):
+    """What the second tier reads: the lines of a document as sections, as one text."""
+    docs = sm.section_text(t.texts.select("document_id", "content"), t.secs.select("document_id", "section_order", "content"))
+    return docs.select("document_id", F.md5("content").alias("text_md5"))
+
+
 @query("second_tier_extracts", "TXT11")
 def second_tier_extracts(t: Tables):
     return _extracts(ex.second_tier(t.texts, ex.corpus_idf(t.texts)))

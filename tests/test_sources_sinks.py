@@ -190,6 +190,47 @@ def test_new_documents_across_restarts(spark, tmp_path):
     assert sorted(r[0] for r in inc.read_new(spark, out, s.schema).collect()) == ["a", "b", "c"]
 
 
+def test_a_lost_checkpoint_loses_no_document(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    for i, keys in enumerate((["a", "b"], ["c"])):
+        spark.createDataFrame([(k,) for k in keys], "celex_number string").coalesce(1).write.mode("append").parquet(str(src))
+        s = spark.readStream.schema("celex_number string").parquet(str(src))
+        inc.run_batches(s, str(tmp_path / f"mark{i}"), inc.append_new(out), "append").awaitTermination()
+    assert sorted(r[0] for r in inc.read_new(spark, out, s.schema).collect()) == ["a", "b", "c"]
+
+
+def test_bucketed_table_rewrites_what_it_touches(spark, tmp_path):
+    import os
+
+    from docloom.sources.bucketed import BucketedTable
+
+    base = str(tmp_path / "t")
+    rows = lambda some: spark.createDataFrame(some, "k long, seq int, v string")
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(f"{base}/rows") for f in fs if f.endswith(".parquet")}
+    table = BucketedTable(spark, base, ["k"], rows([]).schema, 16)
+    assert table.version() == -1 and table.read().count() == 0
+    table.upsert(rows([(i, 0, "a") for i in range(200)]), ["seq"])
+    first = files()
+    batch = rows([(3, 1, "b"), (3, 2, "c"), (500, 1, "new")])
+    table.upsert(batch, ["seq"])
+    want = {i: "a" for i in range(200)} | {3: "c", 500: "new"}
+    assert {r.k: r.v for r in table.read().collect()} == want and table.read().count() == 201
+    assert first < files() and len(table.touched(batch)) <= 2
+    assert sum(v == 0 for v in table.manifest().values()) == len(table.manifest()) - len(table.touched(batch))
+    assert {r.k for r in table.read([table.touched(rows([(3, 0, "")]))[0]]).collect()} < set(want)
+    table.upsert(batch, ["seq"])  # the same batch once more
+    assert {r.k: r.v for r in table.read().collect()} == want
+    # A commit that died after its rows and before its manifest is not seen, and the next takes its place.
+    rows([(1, 9, "lost")]).write.parquet(f"{base}/rows/{table.version() + 1}/bucket=0")
+    assert {r.k: r.v for r in table.read().collect()} == want
+    table.append_new(rows([(1, 9, "not new"), (900, 1, "x"), (900, 1, "x")]))
+    assert {r.k: r.v for r in table.read().collect()} == want | {900: "x"} and table.read().count() == 202
+    assert {r.k: r.v for r in table.read(version=0).collect()} == {i: "a" for i in range(200)}
+    version = table.version()
+    table.upsert(rows([]), ["seq"])
+    assert table.version() == version
+
+
 def test_late_updates_do_not_win(spark, tmp_path):
     table = inc.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["seq"])
     for number, seq in enumerate((5, 3)):
