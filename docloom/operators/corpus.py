@@ -194,14 +194,8 @@ def documents_per_link(bridge: DataFrame, dim: DataFrame, key: str, name: str) -
     return counts.join(dim, key).groupBy(name).agg(F.sum("documents").alias("documents"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Counts pivoted, missing cells 0. Without ``values`` the columns are those found, one for each value.
-
-    A table of very many columns is better kept as rows: ``cross_counts``.
-    """
-    if values is None:
-        seen = cross_counts(df, row, column).select(column).filter(F.col(column).isNotNull()).distinct()
-        values = sorted(r[0] for r in seen.collect())
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
+    """Counts pivoted to a column for each of ``values``, missing cells 0. For values not known beforehand: ``cross_counts``."""
     return df.groupBy(row).pivot(column, list(values)).count().fillna(0, [str(v) for v in values])
 
 

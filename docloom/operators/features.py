@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scores import FEATURE_WEIGHTS, MULTI_VALUED
+from ..session import materialise
 
 # Fields of a document that are no categories.
 NOT_CATEGORICAL = (
@@ -38,9 +39,19 @@ def feature_rows(docs: DataFrame, features: Sequence[str] | None = None, key: st
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(feature, value, position): distinct values in order. Only distinct values reach the window."""
-    w = Window.partitionBy("feature").orderBy("value")
-    return rows.select("feature", "value").distinct().withColumn("position", F.row_number().over(w) - 1)
+    """(feature, value, position): distinct values of each feature numbered from 0 in their order, written.
+
+    Values are dealt out to ranges in order and numbered inside their range; what a range must add is a sum over one
+    row for each feature and range. A feature of any number of values is spread over many ranges.
+    """
+    ordered = rows.select("feature", "value").distinct().repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
+    numbered = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    placed = numbered.withColumn("part", F.shiftright("id", 33))
+    parts = placed.groupBy("feature", "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    position = (F.col("id") - F.col("first") + F.col("start")).cast("int")
+    return placed.join(starts, ["feature", "part"]).select("feature", "value", position.alias("position"))
 
 
 def dimensions(vocab: DataFrame) -> DataFrame:
@@ -78,17 +89,32 @@ def scaled_to(cats: Column, length: float) -> Column:
     return F.transform(cats, lambda x: F.struct(x["c"].alias("c"), (x["w"] * by).alias("w")))
 
 
-def encode_dense(df: DataFrame, vocab: DataFrame, features: str = "features", out: str = "vector",
-                 weights: Mapping[str, float] = FEATURE_WEIGHTS, multi: Sequence[str] = MULTI_VALUED) -> DataFrame:
-    """One weighted vector over all features of a map<string,array<string>>, with a cell for each value of the vocabulary.
+def encode_vectors(df: DataFrame, vocab: DataFrame, key: str = "doc_id", features: str = "features",
+                   weights: Mapping[str, float] = FEATURE_WEIGHTS, multi: Sequence[str] = MULTI_VALUED) -> DataFrame:
+    """(key, size, indices, cells): one weighted sparse vector over all features of a map<string,array<string>>.
 
-    The vocabulary reaches the rows as one array, as long as the vectors themselves; the driver does not see it.
+    ``key`` is unique. Features stand in order of their names, values in order of their positions; ``size`` is the number
+    of all values. Values meet the vocabulary by join, so neither it nor a dense row is ever in one place.
     """
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("feature", "position", "value"))), lambda x: category(x["feature"], x["value"]))
-    every = vocab.where("value IS NOT NULL").agg(cells.alias("_every"))
-    held = F.map_from_entries("_own")
-    vector = F.transform("_every", lambda c: F.coalesce(F.try_element_at(held, c), F.lit(0.0)))
-    return df.withColumn("_own", categories(F.col(features), weights, multi)).crossJoin(F.broadcast(every)).withColumn(out, vector).drop("_own", "_every")
+    of_feature = dimensions(vocab)
+    start = F.coalesce(F.sum("dims").over(Window.orderBy("feature").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each feature
+    starts = of_feature.withColumn("start", start).select("feature", "start")
+    size = of_feature.agg(F.coalesce(F.sum("dims"), F.lit(0))).first()[0]
+    cells = vocab.join(starts, "feature").select(category(F.col("feature"), F.col("value")).alias("c"), (F.col("start") + F.col("position")).cast("int").alias("i"))
+    own = df.select(key, F.explode(categories(F.col(features), weights, multi)).alias("x")).select(key, F.col("x.c").alias("c"), F.col("x.w").alias("w"))
+    met = own.join(cells, "c").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("_x"))
+    out = df.select(key).join(met, key, "left").withColumn("_x", F.coalesce("_x", F.array().cast("array<struct<i:int,w:double>>")))
+    return out.select(key, F.lit(size).alias("size"), F.transform("_x", lambda x: x["i"]).alias("indices"), F.transform("_x", lambda x: x["w"]).alias("cells"))
+
+
+def encode_dense(df: DataFrame, vocab: DataFrame, features: str = "features", out: str = "vector",
+                 weights: Mapping[str, float] = FEATURE_WEIGHTS, multi: Sequence[str] = MULTI_VALUED, key: str = "doc_id") -> DataFrame:
+    """``df`` with its vectors as dense arrays: a cell for each value, so for vocabularies a row can hold."""
+    sparse = encode_vectors(df, vocab, key, features, weights, multi)
+    held = F.map_from_arrays("indices", "cells")
+    cells = F.sequence(F.lit(0), F.col("size") - 1)
+    dense = F.when(F.col("size") > 0, F.transform(cells, lambda i: F.coalesce(F.try_element_at(held, i.cast("int")), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    return df.drop(out).join(sparse.select(key, dense.alias(out)), key)
 
 
 def encode_sparse(rows: DataFrame, vocab: DataFrame, weights: Mapping[str, float] = FEATURE_WEIGHTS) -> DataFrame:

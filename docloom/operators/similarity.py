@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from .ranking import top_per_group
 
-QUERY_BYTES = 64 << 20  # of a block of query vectors: what a task holds beside one batch of documents
+QUERY_BYTES = 4 << 20  # of a block of query vectors: what a task holds beside one batch of documents
+DOC_BYTES = 64 << 20   # of a group of documents: k rows for each query leave a group
 TILE = 256             # query rows multiplied at a time
 SHARED = 512           # categories that queries of a tile and documents share, multiplied at a time
 DIGITS = 6             # scores are compared at this precision, ties broken by id
@@ -155,8 +156,9 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
     ``categories`` (array<struct<c:string,w:double>>, a c once in a row), the product of these weights is added.
     Returns (query_id, doc_id, score, rank) with scores rounded to 6 places and ties broken by id.
 
-    Queries are cut into blocks of ``query_bytes``, documents into ``doc_groups`` (so that all tasks have a cell). In
-    a cell the query block comes first and is held; document batches stream past it against one running best.
+    Queries are cut into blocks of ``query_bytes``, documents into ``doc_groups`` (of DOC_BYTES), so k rows for each
+    query and 64 MB of documents leave the cells, however many partitions a shuffle has. In a cell the query block
+    comes first and is held; document batches stream past it against one running best.
     """
     cats = ["categories"] if "categories" in queries.columns and "categories" in docs.columns else []
     q = queries.select("query_id", "vector", *cats).filter(F.col("vector").isNotNull())
@@ -165,9 +167,9 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
     schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
     names = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     size = q.agg(F.count("*").alias("n"), (F.max(F.size("vector")) + (F.avg(F.size("categories")) * 4 if cats else 0)).alias("dim")).first()
-    blocks = max(1, math.ceil(size["n"] * (size["dim"] or 1) * 8 / query_bytes))
-    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = doc_groups or max(1, math.ceil(tasks / blocks))
+    row_bytes = (size["dim"] or 1) * 8
+    blocks = max(1, math.ceil(size["n"] * row_bytes / query_bytes))
+    groups = doc_groups or max(1, math.ceil(d.count() * row_bytes / DOC_BYTES))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     none = lambda n: F.lit(None).cast(types[n]).alias(n)

@@ -32,22 +32,32 @@ def simplex_grid(names: Sequence[str], step: float = 0.1) -> list[dict[str, floa
     return [{k: round(v / n, 9) for k, v in zip(names, c)} for c in combos]
 
 
-def apply_weights(components: DataFrame, configs: Sequence[Mapping[str, float]], top_k: int = 10) -> DataFrame:
+Configs = DataFrame | Sequence[Mapping[str, float]]
+
+
+def config_table(components: DataFrame, configs: Configs) -> DataFrame:
+    """Settings as a table (config, text_weight, category_weight); a list is numbered from 0."""
+    if isinstance(configs, DataFrame):
+        return configs.select("config", "text_weight", "category_weight")
+    rows = [(i, float(c["text"]), float(c["category"])) for i, c in enumerate(configs)]
+    return components.sparkSession.createDataFrame(rows, "config int, text_weight double, category_weight double")
+
+
+def apply_weights(components: DataFrame, configs: Configs, top_k: int = 10) -> DataFrame:
     """Component scores (query_id, doc_id, text_score, category_score) ranked under every configuration.
 
-    The component scores are computed once; only the few candidates of a query are repeated per configuration.
+    The component scores are computed once; only the few candidates of a query are repeated per configuration, from one
+    array of all settings that is a value of the plan, not part of its text.
     """
-    held = F.array(*(
-        F.struct(F.lit(i).alias("config"), F.lit(float(c["text"])).alias("tw"), F.lit(float(c["category"])).alias("cw"))
-        for i, c in enumerate(configs)
-    ))
-    rows = components.withColumn("c", F.explode(held))
+    each = F.struct("config", F.col("text_weight").alias("tw"), F.col("category_weight").alias("cw"))
+    held = config_table(components, configs).agg(F.array_sort(F.collect_list(each)).alias("all")).scalar()
+    rows = components.withColumn("_all", held).withColumn("c", F.explode("_all")).drop("_all")
     score = sc.combined(F.col("text_score"), F.col("category_score"), F.col("c.tw"), F.col("c.cw"))
     scored = rows.select(F.col("c.config").alias("config"), "query_id", "doc_id", F.round(score, 9).alias("score"))
     return rank_results(scored, top_k, group=("config", "query_id"))
 
 
-def grid_search(components: DataFrame, measure: Callable[[DataFrame], DataFrame], configs: Sequence[Mapping[str, float]],
+def grid_search(components: DataFrame, measure: Callable[[DataFrame], DataFrame], configs: Configs,
                 top_k: int = 10) -> DataFrame:
     """Mean metrics per configuration: one row each, with its weights.
 
@@ -55,8 +65,7 @@ def grid_search(components: DataFrame, measure: Callable[[DataFrame], DataFrame]
     ``lambda r: query_metrics(r, judgements, (5, 10), ["config"])``.
     """
     means = ev.mean_metrics(measure(apply_weights(components, configs, top_k)), ["config"])
-    pick = lambda key: F.element_at(F.array(*(F.lit(float(c[key])) for c in configs)), F.col("config") + 1)
-    return means.withColumns({"text_weight": pick("text"), "category_weight": pick("category")})
+    return means.join(config_table(components, configs), "config")
 
 
 def best(search: DataFrame, metric: str = "ndcg_10", n: int = 1) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 from . import schemas as S
@@ -127,6 +128,11 @@ def parse_metric_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_export(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of an export (writers.export_csv)."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return valid_feedback(spark.read.schema(S.FEEDBACK_DDL).option("header", True).option("escape", '"').csv(path))
 

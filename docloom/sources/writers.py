@@ -145,8 +145,17 @@ def result_table(results: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def write_weight_groups(weights: DataFrame, path: str) -> None:
+    """Rows (group, name, weight) as one JSON document ``{group: {name: weight}}``, as readers.read_weight_groups reads it."""
+    members = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "weight"))))
+    held = weights.groupBy("group").agg(members.alias("members"))
+    groups = F.map_from_entries(F.collect_list(F.struct("group", "members")))
+    held.agg(F.to_json(groups).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes are doubled, so that texts with quotes, commas and line breaks come back as they were."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from docloom.operators import monitoring as mo
 from docloom.operators import ngrams as ng
 from docloom.operators import results as rs
 
-from .base import STOP_SQL, Tables, query, tokens_sql
+from .base import STOP_SQL, Tables, query, tokens_sql, write_files
 from .projections import TIER_SQL
 
 BIG = 500  # words over which a document counts as long on these tables
@@ -79,7 +79,12 @@ def documents_per_author(t: Tables):
 
 @query("form_by_body", "AGG12", """SELECT form, count(*) FILTER (responsible_body = 'de') AS de, count(*) FILTER (responsible_body = 'en') AS en, count(*) FILTER (responsible_body = 'es') AS es, count(*) FILTER (responsible_body = 'fr') AS fr FROM docs GROUP BY form""")
 def form_by_body(t: Tables):
-    return cp.crosstab(t.docs, "form", "responsible_body")
+    return cp.crosstab(t.docs, "form", "responsible_body", ["de", "en", "es", "fr"])
+
+
+@query("form_body_counts", "AGG12", "SELECT form, responsible_body, count(*) AS n FROM docs GROUP BY 1, 2")
+def form_body_counts(t: Tables):
+    return cp.cross_counts(t.docs, "form", "responsible_body")
 
 
 @query("documents_per_month", "AGG13", "SELECT CAST(date_trunc('month', date_of_document)::DATE AS VARCHAR) AS month_start, count(*) AS documents FROM docs WHERE date_of_document IS NOT NULL GROUP BY 1")
@@ -236,14 +241,17 @@ def processing_time_buckets(t: Tables):
 @query("metric_sessions", "AGG31 SRC5", """SELECT 'metrics_' || strftime(day, '%Y%m%d') || '_000000.prom' AS file, sum(value) FILTER (event_type = 'click')::DOUBLE AS documents_processed_total, count(*) FILTER (event_type = 'view')::DOUBLE AS requests_total
     FROM (SELECT day, event_type, round(value, 1) AS value FROM feedback) GROUP BY day HAVING sum(value) FILTER (event_type = 'click') > 1""")
 def metric_sessions(t: Tables):
-    from docloom.sources.readers import parse_metric_lines
+    from docloom.session import shared_dir
+    from docloom.sources.readers import read_metric_samples
 
-    # Events written as metric lines, one file per day, then read back by the line parser.
+    # Events as metric lines, one file per day, written and read back.
     e = t.feedback
     line = F.when(F.col("event_type") == "click", F.format_string('documents_processed_total{id="%d"} %.1f', "event_id", F.round("value", 1))).when(
         F.col("event_type") == "view", F.format_string('requests_total{id="%d"} 1', "event_id")).otherwise(F.format_string("# %d", "event_id"))
     lines = e.select(F.concat(F.lit("metrics_"), F.date_format("day", "yyyyMMdd"), F.lit("_000000.prom")).alias("file"), line.alias("value"))
-    out = mo.session_table(parse_metric_lines(lines))
+    path = shared_dir(t.spark, "metrics")
+    write_files(lines, path)
+    out = mo.session_table(read_metric_samples(t.spark, path))
     return out.select("file", F.round("documents_processed_total", 6).alias("documents_processed_total"), "requests_total")
 
 

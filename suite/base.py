@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,18 @@ class Tables:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_suppkey").alias("author_id")).distinct()
 
 
+def write_files(lines: DataFrame, path: str) -> None:
+    """Rows (file, value) as text files of these names; a file's lines are one task's, for small files."""
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{key[0]}", compression=None) as out:
+            out.write("\n".join(rows["value"].dropna()).encode())
+        return pd.DataFrame({"file": [key[0]]})
+
+    lines.groupBy("file").applyInPandas(write, "file string").count()
+
+
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 WORDS_SQL = r"len(regexp_extract_all({0}, '\S+'))"
 

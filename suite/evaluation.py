@@ -138,6 +138,14 @@ def grid_search(t: Tables):
     return sw.grid_search(components(t), by_label(t), GRID)
 
 
+@query("settings_from_table", "EVL10", f"""SELECT * FROM {_search_sql([{'text': x / 10, 'category': round(1 - x / 10, 9)} for x in range(10)])}""")
+def settings_from_table(t: Tables):
+    """Settings that come out of a table: one for each label, its tenth as the text's weight."""
+    w = F.round(F.col("label") / 10, 9)
+    settings = t.vecs.select("label").distinct().select(F.col("label").alias("config"), w.alias("text_weight"), F.round(1 - w, 9).alias("category_weight"))
+    return sw.grid_search(components(t), by_label(t), settings)
+
+
 @query("best_configurations", "TOP6", f"SELECT * FROM {_search_sql(GRID)} ORDER BY ndcg_10 DESC, config LIMIT 3")
 def best_configurations(t: Tables):
     return sw.best(sw.grid_search(components(t), by_label(t), GRID), n=3)

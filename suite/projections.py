@@ -221,9 +221,14 @@ def matched_subjects(t: Tables):
 
 @query("known_subjects", "PRJ22", "SELECT document_id, array_to_string(list_filter(["
        + ", ".join(f"CASE WHEN contains(c, '{s.lower()}') THEN '{s}' END" for s in ky.KNOWN_SUBJECTS)
-       + "], lambda x: x IS NOT NULL)[1:5], ',') AS subjects FROM (SELECT document_id, lower(content) AS c FROM docs)")
+       + "], lambda x: x IS NOT NULL)[1:5], ',') AS subjects FROM (SELECT document_id, lower(content || ' ' || array_to_string(list_filter(["
+       + ", ".join(f"CASE WHEN document_id % {n + 2} = 0 THEN '{s.upper()}' END" for n, s in enumerate(ky.KNOWN_SUBJECTS))
+       + "], lambda x: x IS NOT NULL), ' ')) AS c FROM docs)")
 def known_subjects(t: Tables):
-    return t.texts.select("document_id", F.array_join(ky.matched_subjects(F.col("content")), ",").alias("subjects"))
+    """A document's text names subjects by its id, written in capitals: none, some, or more than five."""
+    named = [F.when(F.pmod("document_id", F.lit(n + 2)) == 0, F.lit(s.upper())) for n, s in enumerate(ky.KNOWN_SUBJECTS)]
+    text = F.concat_ws(" ", F.col("content"), F.array_compact(F.array(*named)))
+    return t.texts.select("document_id", F.array_join(ky.matched_subjects(text), ",").alias("subjects"))
 
 
 @query("display_dates", "PRJ23", "SELECT document_id, coalesce(strftime(date_of_document, '%d/%m/%Y'), 'N/A') AS shown, coalesce(year(date_of_document)::VARCHAR, 'N/A') AS year FROM docs")

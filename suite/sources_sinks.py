@@ -14,7 +14,7 @@ from docloom.sources import readers as rd
 from docloom.sources import schemas as sch
 from docloom.sources import writers as wr
 
-from .base import Tables, query
+from .base import Tables, query, write_files
 
 
 def raw_documents(t: Tables):
@@ -121,8 +121,9 @@ def normalised_profiles(t: Tables):
     body = F.when(k == 0, F.to_json(F.struct(u.alias("user_id"), parts.alias("profile")))).when(
         k == 1, F.to_json(F.struct(F.struct(u.alias("id"), parts.alias("profile_components")).alias("client")))).otherwise(
         F.to_json(F.struct(u.alias("id"), desc.alias("expert_description"))))
-    parsed = h.select(F.from_json(body, f"struct<{sch.PROFILE_DDL.replace(' struct', ':struct').replace(' string', ':string')}>").alias("p")).select("p.*").withColumn("file_name", F.lit("x.json"))
-    return rd.normalise_profiles(parsed).select("user_id", "expert_description", F.size("historical_documents").cast("long").alias("history"))
+    path = shared_dir(t.spark, "profiles")
+    write_files(h.select(F.concat(u, F.lit(".json")).alias("file"), body.alias("value")), path)
+    return rd.read_profiles(t.spark, path).select("user_id", "expert_description", F.size("historical_documents").cast("long").alias("history"))
 
 
 @query("feedback_round_trip", "SRC6", "SELECT user_id::VARCHAR AS user_id, document_id::VARCHAR AS document_id, count(*) AS n, sum(rating)::BIGINT AS rating FROM feedback WHERE event_type <> 'error' GROUP BY 1, 2")
@@ -147,6 +148,17 @@ def sweep_rows(t: Tables):
     return rd.read_sweep(t.spark, path).select("config_id", "score")
 
 
+@query("weight_group_round_trip", "SRC10", """SELECT 'label ' || label AS "group", 'group "' || grp || '"' AS name, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY label) AS weight FROM vecs GROUP BY label, grp""")
+def weight_group_round_trip(t: Tables):
+    """For each label the share of each group as its weight, written as one document and read back."""
+    n = t.vecs.groupBy("label", F.pmod("doc_id", F.lit(3)).alias("grp")).agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("label"))
+    named = n.select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("group"), F.concat(F.lit('group "'), F.col("grp").cast("string"), F.lit('"')).alias("name"), share.alias("weight"))
+    path = shared_dir(t.spark, "weights")
+    wr.write_weight_groups(named, path)
+    return rd.read_weight_groups(t.spark, path)
+
+
 @query("updated_summaries", "SNK2", r"""SELECT document_id, CASE WHEN document_id % 7 = 0 THEN title ELSE summary END AS summary, total_words FROM summarised""")
 def updated_summaries(t: Tables):
     """Every document to update has two updates; the later one counts."""
@@ -229,9 +241,13 @@ def saved_profiles(t: Tables):
     CASE substr(celex_number, 6, 1) WHEN 'R' THEN 'regulation' WHEN 'L' THEN 'directive' WHEN 'D' THEN 'decision' WHEN 'Q' THEN 'recommendation' ELSE 'other' END AS document_type,
     'https://publisher.example/legal-content/EN/TXT/?uri=CELEX:' || celex_number AS url FROM top10 JOIN (SELECT document_id AS doc_id, celex_number, title FROM docs) d USING (doc_id)""")
 def exported_results(t: Tables):
+    """Written as an export and read back."""
     from .scoring import sims10
 
-    return wr.result_table(sims10(t), t.docs).filter(F.col("celex_number").isNotNull())
+    path = shared_dir(t.spark, "export")
+    table = wr.result_table(sims10(t), t.docs).filter(F.col("celex_number").isNotNull())
+    wr.export_csv(table, path)
+    return rd.read_export(t.spark, path, table.schema)
 
 
 @query("exported_stats", "SNK9", "SELECT lang, count(*) AS n, sum(total_words)::BIGINT AS words FROM docs GROUP BY 1")

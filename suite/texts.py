@@ -272,10 +272,18 @@ def rouge_scores(t: Tables):
     return t.summarised.filter(s.isNotNull()).select("document_id", ql.rouge_n(s, c, 1).alias("rouge_1"), ql.rouge_n(s, c, 2).alias("rouge_2"))
 
 
-@query("rouge_l_scores", "TXT20", r"""SELECT document_id, round(coalesce(2.0::DOUBLE * least(20, n) / nullif(least(20, n) + n, 0), 0), 6) AS rouge_l FROM (SELECT document_id, total_words AS n FROM summarised WHERE summary IS NOT NULL)""")
+# Rows of the usual table of common subsequences, each a list: for a word w and the row p above, cell j is p[j-1] + 1 where
+# the word is the other text's j-th, else the larger of the cell above and the cell before.
+@query("rouge_l_scores", "TXT20", r"""WITH RECURSIVE w AS (SELECT document_id, regexp_extract_all(content, '\S+')[1:12] AS a, list_reverse(regexp_extract_all(content, '\S+')[4:24]) AS b FROM docs),
+    r(document_id, i, a, b, p) AS (SELECT document_id, 0, a, b, list_transform(b, lambda x: 0) FROM w UNION ALL
+      SELECT document_id, i + 1, a, b, list_reduce(list_prepend({'j': 0, 'got': []::INT[]}, list_transform(b, lambda x, j: {'j': j::INT, 'got': [CASE WHEN x = a[i + 1] THEN 1 + CASE WHEN j > 1 THEN p[j - 1] ELSE 0 END ELSE p[j] END]})),
+        lambda s, x: {'j': x.j, 'got': list_append(s.got, greatest(x.got[1], coalesce(s.got[len(s.got)], 0)))}).got FROM r WHERE i < len(a) AND len(b) > 0)
+    SELECT document_id, round(CASE WHEN len(b) > 0 THEN 2.0::DOUBLE * p[len(b)] / (len(a) + len(b)) ELSE 0 END, 6) AS rouge_l FROM r WHERE i = len(a) OR len(b) = 0""")
 def rouge_l_scores(t: Tables):
-    """The summaries are the first 20 words, so the longest common subsequence is known in closed form."""
-    return ql.rouge_l(t.summarised.filter(F.col("summary").isNotNull()), "summary", "content")
+    """The first twelve words of a document against its words 4 to 24 in reverse order."""
+    words = tx.words(F.col("content"))
+    pairs = t.texts.select("document_id", F.array_join(F.slice(words, 1, 12), " ").alias("a"), F.array_join(F.reverse(F.slice(words, 4, 21)), " ").alias("b"))
+    return ql.rouge_l(pairs, "a", "b")
 
 
 @query("keyword_retention", "TXT21", f"""SELECT document_id, round(coalesce(len(list_intersect(k, s))::DOUBLE / nullif(len(k), 0), 0), 6) AS retention FROM (SELECT document_id, list_distinct({tokens_sql('title')}) AS k, list_distinct({tokens_sql('summary')}) AS s FROM summarised WHERE summary IS NOT NULL)""")

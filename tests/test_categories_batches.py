@@ -85,3 +85,19 @@ def test_models_are_loaded_once_for_many_batches(spark):
     bad = df.select(bt.summariser_udf(lambda: lambda texts: texts[:1])("t").alias("s"))
     with pytest.raises(Exception, match="results for"):
         bad.collect()
+
+
+def test_a_feature_of_many_values_is_numbered_in_ranges(spark):
+    from docloom.operators import features as ft
+
+    n = 200_000
+    many = spark.range(n).select(F.lit("author").alias("feature"), F.format_string("a%07d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("value"))
+    few = spark.createDataFrame([("form", "b"), ("form", "a"), ("form", "b"), ("zone", "x")], "feature string, value string")
+    vocab = ft.vocabulary(many.unionByName(few).repartition(6))
+    assert vocab.where("feature = 'author' AND value <> format_string('a%07d', position)").count() == 0
+    assert {r.feature: r.dims for r in ft.dimensions(vocab).collect()} == {"author": n, "form": 2, "zone": 1}
+    assert {(r.value, r.position) for r in vocab.where("feature <> 'author'").collect()} == {("a", 0), ("b", 1), ("x", 0)}
+    rows = [(1, {"author": ["a0000005"], "form": ["b", "a"], "zone": ["x"]}), (2, {"form": ["never"]}), (3, None)]
+    df = spark.createDataFrame(rows, f"doc_id long, features {FEATURES}")
+    got = {r.doc_id: (r.size, r.indices, r.cells) for r in ft.encode_vectors(df, vocab, weights={"author": 0.5, "form": 0.25}, multi=("author",)).collect()}
+    assert got == {1: (n + 3, [5, n + 1, n + 2], [0.5, 0.25, 1.0]), 2: (n + 3, [], []), 3: (n + 3, [], [])}
