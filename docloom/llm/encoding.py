@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,32 +51,34 @@ class ChunkEncoder:
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, keys: list[bytes], ids: list[np.ndarray]) -> None:
+    def _add(self, keys: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keys with the number of their ids, and all these ids one after the other."""
         n = len(self.known)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        total = int(lengths.sum())
-        while self.used + total > len(self.pool):
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(ids) > len(self.at):
+        while n + len(keys) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
-        self.at[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.size[n : n + len(ids)] = lengths
-        self.used += total
-        self.known.update(zip(keys, range(n, n + len(ids)), strict=True))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.size[n : n + len(keys)] = lengths
+        self.used += len(ids)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _learn(self, keys: list[bytes]) -> None:
         chunks = [k.decode() for k in keys]
         words = [i for i, c in enumerate(chunks) if not c.isspace()]
-        ids: list[np.ndarray | None] = [None] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if c.isspace()]
         for lo in range(0, len(words), JOINED):
             some = words[lo : lo + JOINED]
-            joined = self._plain("\n".join(chunks[i] for i in some))
+            joined = self._plain("\n".join([chunks[i] for i in some]))
             breaks = np.flatnonzero(joined == self.line[0])
             if len(breaks) == len(some) - 1:
-                for i, a, b in zip(some, [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(joined)], strict=True):
-                    ids[i] = joined[a:b]
-        self._add(keys, [self._plain(c) if x is None else x for c, x in zip(chunks, ids, strict=True)])
+                self._add([keys[i] for i in some], np.delete(joined, breaks), np.diff(np.concatenate([[-1], breaks, [len(joined)]])) - 1)
+            else:
+                alone += some
+        for i in alone:
+            ids = self._plain(chunks[i])
+            self._add([keys[i]], ids, np.array([len(ids)]))
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> spans.Spans:
         n = len(data)
@@ -122,10 +125,13 @@ class ChunkEncoder:
         if len(self.known) + len(first) > CACHE_ENTRIES:
             self._clear()
         keys = [raw[a:b] for a, b in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
-        new = [k for k in keys if k not in self.known]
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[code]
+        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            unseen = [keys[i] for i in new.tolist()]
+            self._learn(unseen)
+            row[new] = np.fromiter(map(self.known.__getitem__, unseen), np.int64, len(unseen))
+        row = row[code]
         sizes = self.size[row]
         ids = self.pool[spans.ragged(self.at[row], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[found.first]
