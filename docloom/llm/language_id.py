@@ -93,7 +93,7 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.slices(batch, "text"):
+            for part in spans.slices(batch, "text", spans.SLICE_BYTES // 2):
                 names, score, shares = judge_texts(sent.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "shares"])
 
@@ -113,7 +113,7 @@ def keep_known(docs: DataFrame, model: crf.Model | None, least: float = 0.0) ->
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in spans.slices(batch, "text"):
+            for part in spans.slices(batch, "text", spans.SLICE_BYTES // 2):
                 names, score, _ = judge_texts(sent.value, part.column("text"))
                 yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 
