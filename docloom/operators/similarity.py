@@ -1,9 +1,9 @@
 """Exact top-k inner-product search for many queries at once.
 
-Documents are never paired with queries as rows. Query blocks bounded in bytes meet groups of documents; a cell holds
-its query block, multiplies it with one batch of document vectors after the other and keeps k candidates per query. So
-k rows per query and document group leave the cells, and a window picks the final k. There is one way for all sizes,
-and no vector passes the driver.
+Documents are never paired with queries as rows. Bundles of query blocks meet groups of documents; a cell holds its
+bundle, multiplies its blocks with one slice of document vectors after the other and keeps k candidates per query. So
+k rows per query and document group leave the cells, and a window picks the final k. A document is sent once to each
+bundle, not to each block. There is one way for all sizes, and no vector passes the driver.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 
 from .ranking import top_per_group
 
-QUERY_BYTES = 4 << 20  # of a block of query vectors: what a task holds beside one batch of documents
+QUERY_BYTES = 4 << 20  # of a block of query vectors
+HELD_BYTES = 16 << 20  # of a bundle of such blocks: what a task holds beside one batch of documents
 DOC_BYTES = 64 << 20   # of a group of documents: k rows for each query leave a group
 TILE = 256             # query rows multiplied at a time
+DOC_ROWS = 2048        # with so many documents
 SHARED = 512           # categories that queries of a tile and documents share, multiplied at a time
 DIGITS = 6             # scores are compared at this precision, ties broken by id
 
@@ -114,18 +116,19 @@ def _score_block(best: _Best, queries: np.ndarray, qids: np.ndarray, docs: np.nd
     n = len(ids)
     if n == 0:
         return
+    slack = 10.0 ** -DIGITS  # more than rounding adds
     for at in range(0, len(queries), TILE):
         s = queries[at:at + TILE] @ docs.T
         if q_cats is not None:
             s = s + _shared(q_cats, d_cats, at, len(s), n)
-        s = np.round(s, DIGITS) + 0.0
         if skip_self:
             s[qids[at:at + TILE, None] == ids[None, :]] = -np.inf
         cut = best.floor(at, len(s))
-        if n > best.k:
+        if n > best.k and not np.isfinite(cut).all():  # some query has not met k documents yet
             cut = np.maximum(cut, np.partition(s, n - best.k, axis=1)[:, n - best.k])
-        rows, cols = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
-        best.add(at, rows + at, ids[cols], s[rows, cols])
+        rows, cols = np.nonzero((s >= cut[:, None] - slack) & (s > -np.inf))
+        if len(rows):
+            best.add(at, rows + at, ids[cols], np.round(s[rows, cols], DIGITS) + 0.0)
 
 
 def _emit(best: _Best, qids: pa.Array, names: pa.Schema) -> pa.RecordBatch:
@@ -157,8 +160,10 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
     Returns (query_id, doc_id, score, rank) with scores rounded to 6 places and ties broken by id.
 
     Queries are cut into blocks of ``query_bytes``, documents into ``doc_groups`` (of DOC_BYTES), so k rows for each
-    query and 64 MB of documents leave the cells, however many partitions a shuffle has. In a cell the query block
-    comes first and is held; document batches stream past it against one running best.
+    query and 64 MB of documents leave the cells, however many partitions a shuffle has. Blocks share a cell up to
+    HELD_BYTES, so that a document is copied for every 16 MB of queries, however small the blocks; there are fewer in a
+    cell only where the cells would not occupy all cores. In a cell the queries come first and are held; document batches
+    stream past them, block by block, against one running best each.
     """
     cats = ["categories"] if "categories" in queries.columns and "categories" in docs.columns else []
     q = queries.select("query_id", "vector", *cats).filter(F.col("vector").isNotNull())
@@ -170,46 +175,60 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, *, skip_self: bool = Fals
     row_bytes = (size["dim"] or 1) * 8
     blocks = max(1, math.ceil(size["n"] * row_bytes / query_bytes))
     groups = doc_groups or max(1, math.ceil(d.count() * row_bytes / DOC_BYTES))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    bundles = min(blocks, max(math.ceil(size["n"] * row_bytes / HELD_BYTES), math.ceil(2 * cores / groups)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     none = lambda n: F.lit(None).cast(types[n]).alias(n)
     vector = F.col("vector").cast("array<double>").alias("vector")
-    asked = q.select(place("query_id", blocks).alias("qb"), spread(groups).alias("dg"), F.lit(0).alias("side"), "query_id", none("doc_id"), vector, *cats)
-    held = d.select(place("doc_id", groups).alias("dg"), spread(blocks).alias("qb"), F.lit(1).alias("side"), none("query_id"), "doc_id", vector, *cats)
-    cells = asked.unionByName(held).repartition(blocks * groups, "qb", "dg").sortWithinPartitions("qb", "dg", "side")
-    parts = cells.mapInArrow(_search_cells(k, skip_self, _unit if normalise else (lambda m: m), names), schema)
+    block = place("query_id", blocks)
+    asked = q.select(F.pmod(block, F.lit(bundles)).alias("qb"), spread(groups).alias("dg"), block.alias("block"), "query_id", none("doc_id"), vector, *cats)
+    held = d.select(spread(bundles).alias("qb"), place("doc_id", groups).alias("dg"), F.lit(blocks).alias("block"), none("query_id"), "doc_id", vector, *cats)
+    cells = asked.unionByName(held).repartition(bundles * groups, "qb", "dg").sortWithinPartitions("qb", "dg", "block")
+    parts = cells.mapInArrow(_search_cells(k, blocks, skip_self, _unit if normalise else (lambda m: m), names), schema)
     return top_per_group(parts, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def _search_cells(k: int, skip_self: bool, prep, names: pa.Schema):
-    """Batches sorted by cell, queries before documents, to the k best of each cell's queries."""
+class _Block:
+    """A block of queries and its running best."""
+
+    def __init__(self, parts: list[pa.RecordBatch], k: int, prep):
+        table = pa.Table.from_batches(parts)
+        self.names = table.column("query_id").combine_chunks()
+        self.ids, self.vectors, self.best = _ids(self.names), prep(_matrix(table.column("vector"))), _Best(k)
+        self.cats = _sparse(table.column("categories")) if "categories" in table.column_names else None
+
+    def meet(self, docs: np.ndarray, ids: np.ndarray, categories, skip_self: bool) -> None:
+        cats = _sparse(categories, self.cats[3]) if self.cats is not None else None
+        _score_block(self.best, self.vectors, self.ids, docs, ids, skip_self, self.cats, cats)
+
+
+def _search_cells(k: int, blocks: int, skip_self: bool, prep, names: pa.Schema):
+    """Batches sorted by cell, blocks of queries before documents (``block`` = ``blocks``), to the k best of each cell's queries."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, queries, best, qarr, qids, qm, qc = None, [], None, None, None, None, None
+        cell, waiting, held = None, {}, None
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 if b == a:
                     continue
-                part, (qb, dg, side) = batch.slice(a, b - a), keys[a].tolist()
+                part, (qb, dg, block) = batch.slice(a, b - a), keys[a].tolist()
                 if (qb, dg) != cell:
-                    if best is not None:
-                        yield _emit(best, qarr, names)
-                    cell, queries, best = (qb, dg), [], None
-                if side == 0:
-                    queries.append(part)
+                    yield from (_emit(x.best, x.names, names) for x in held or ())
+                    cell, waiting, held = (qb, dg), {}, None
+                if block < blocks:
+                    waiting.setdefault(block, []).append(part)
                     continue
-                if best is None and queries:
-                    table = pa.Table.from_batches(queries)
-                    qarr = table.column("query_id").combine_chunks()
-                    qids, qm, best, queries = _ids(qarr), prep(_matrix(table.column("vector"))), _Best(k), []
-                    qc = _sparse(table.column("categories")) if "categories" in table.column_names else None
-                if best is not None:
-                    dc = _sparse(part.column("categories"), qc[3]) if qc is not None else None
-                    _score_block(best, qm, qids, prep(_matrix(part.column("vector"))), _ids(part.column("doc_id")), skip_self, qc, dc)
-        if best is not None:
-            yield _emit(best, qarr, names)
+                if held is None:
+                    held, waiting = [_Block(waiting[x], k, prep) for x in waiting], {}
+                for lo in range(0, part.num_rows if held else 0, DOC_ROWS):
+                    some = part.slice(lo, DOC_ROWS)
+                    docs, ids = prep(_matrix(some.column("vector"))), _ids(some.column("doc_id"))
+                    for x in held:
+                        x.meet(docs, ids, some.column("categories") if x.cats is not None else None, skip_self)
+        yield from (_emit(x.best, x.names, names) for x in held or ())
 
     return search
 

@@ -1,5 +1,7 @@
 """Exact top-k against brute force, in one cell and in many."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,18 @@ def test_top_k_plan_cuts_before_the_shuffle(spark, data):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_small_query_blocks_do_not_multiply_the_documents(spark):
+    """A document is sent once to each bundle of blocks; it was sent to each block, so shuffled bytes grew with the square."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 4)))]
+    d = spark.createDataFrame(rows, "doc_id int, vector array<double>")
+    found = sm.top_k(d.withColumnRenamed("doc_id", "query_id"), d, 5, skip_self=True, query_bytes=64, doc_groups=2)
+    cells = [int(n) for n in re.findall(r"hashpartitioning\(qb#\d+, dg#\d+, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+    assert cells and max(cells) <= 2 * spark.sparkContext.defaultParallelism + 2  # 300 blocks, 2 groups
+    one = sm.top_k(d.withColumnRenamed("doc_id", "query_id"), d, 5, skip_self=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_mean_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 5.0])], "g string, vector array<double>")
     got = {r.g: (r.vector, r.members) for r in sm.mean_vectors(df, "g").collect()}
