@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates as dt
 from ..functions import keys as ky
@@ -39,6 +42,7 @@ ELEMENT = (
     "width:string,t0:int,t1:int>"
 )
 PIECE = "struct<s:string,block:int>"
+SLICE_BYTES = 256 << 10  # of pages held as Python objects at a time, which take some hundred times this; a longer page is one slice
 
 
 class _Flattener(HTMLParser):
@@ -90,25 +94,46 @@ class _Flattener(HTMLParser):
         return keep, self.pieces
 
 
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
 def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", drop: Sequence[str] = ()) -> DataFrame:
     """(key, nodes, pieces, error). Classes in ``drop`` are cut out with everything below them."""
     dropped = frozenset(drop)
+    pages = pages.select(key, html)
+    kind = pages.schema[key].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"{key} {kind}, nodes array<{ELEMENT}>, pieces array<{PIECE}>, error string")
+    names = arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, pieces, errors = [], [], []
-            for page in batch[html]:
-                try:
-                    f = _Flattener(dropped)
-                    f.feed(page or "")
-                    n, t = f.result()
-                    nodes.append(n), pieces.append(t), errors.append(None)
-                except Exception as e:  # a page that cannot be read becomes a row with its reason
-                    nodes.append([]), pieces.append([]), errors.append(str(e))
-            yield pd.DataFrame({key: batch[key], "nodes": nodes, "pieces": pieces, "error": errors})
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, nodes array<{ELEMENT}>, pieces array<{PIECE}>, error string")
+            for part in _slices(batch):
+                nodes, pieces, errors = [], [], []
+                for page in part.column(1).to_pylist():
+                    try:
+                        f = _Flattener(dropped)
+                        f.feed(page or "")
+                        n, t = f.result()
+                        nodes.append(n), pieces.append(t), errors.append(None)
+                    except Exception as e:  # a page that cannot be read becomes a row with its reason
+                        nodes.append([]), pieces.append([]), errors.append(str(e))
+                made = (pa.array(x, names.field(i).type) for i, x in enumerate((nodes, pieces, errors), 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(names.field(0).type), *made], schema=names)
+
+    return pages.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, html) in pieces of about SLICE_BYTES of pages, whole pages each."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 # -- reading elements ----------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Page shapes read by the extractors."""
 
+import pyarrow as pa
+
 from docloom.operators import markup as mk
 
 META = """<html><p class="DocumentTitle">Document 32024R0001</p><p id="title"> A title </p><p id="originalTitle">x</p><p>C/2024/77</p>
@@ -19,6 +21,24 @@ def parsed(spark, html, drop=()):
     return mk.parse_pages(spark.createDataFrame([(1, html)], "page_id int, html string"), drop=drop)
 
 
+def test_pages_are_parsed_a_slice_at_a_time():
+    """A batch of any size is Python objects only by the slice; no page is cut or left out."""
+    pages = ["<p>x</p>" * n for n in (20_000, 10, 0, 90_000, 1, *[5_000] * 40)]
+    pages[2] = None
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["page_id", "html"])
+    parts = list(mk._slices(batch))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    sizes = [[len(x or "") for x in p.column(1).to_pylist()] for p in parts]
+    assert all(sum(x) - max(x) < 2 * mk.SLICE_BYTES for x in sizes)
+
+
+def test_pages_of_a_long_batch_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(mk, "SLICE_BYTES", 64)
+    rows = [(i if i % 7 else None, f"<div class='a'><p>t{i}</p></div>" * (i % 4) if i % 5 else None) for i in range(300)]
+    got = mk.parse_pages(spark.createDataFrame(rows, "page_id int, html string").coalesce(1)).selectExpr("page_id", "size(nodes)", "concat_ws('', pieces.s)", "error").collect()
+    assert [tuple(r) for r in got] == [(i, 2 * (n := (h or "").count("<p>")), f"t{k}" * n, None) for k, (i, h) in enumerate(rows)]
+
+
 def test_metadata_record(spark):
     r = mk.with_dates(mk.metadata(parsed(spark, META))).first()
     assert (r.celex_number, r.title, r.identifier, r.form) == ("32024R0001", "A title", "C/2024/77", "Regulation")
