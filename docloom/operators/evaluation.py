@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranking import top_per_group
 
 K_VALUES = (5, 10, 20)
+COLUMNS = 4096  # documents of a cell multiplied at a time
 METRICS = ("precision", "recall", "ndcg", "map")
 
 
@@ -176,41 +178,80 @@ def industry_coverage(results: DataFrame, industry: Column) -> DataFrame:
 def mean_list_jaccard(results: DataFrame, block_rows: int = 1024) -> DataFrame:
     """Mean Jaccard of the result lists over all pairs of clients.
 
-    Pairs are never rows: client lists are cut into blocks, each block pair is one small 0/1 matrix product, and
-    only (pairs, sum) leaves it. A document recommended to everyone costs nothing extra.
+    Pairs are never rows, and only those that share a document are looked at: the others add nothing. Equal lists are
+    one list with its number of clients. A document's lists meet in one cell, a pair of them counts at the smallest
+    document that both hold, and only the sum leaves. Lists of a document with more than ``block_rows`` of them are
+    dealt into blocks, whose pairs are cells of their own. The distinct lists are written, so results are computed once.
     """
-    lists = results.groupBy("query_id").agg(F.collect_set("doc_id").alias("docs"))
-    blocks = max(1, math.ceil(results.select("query_id").distinct().count() / block_rows))
-    tagged = lists.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("home"), "query_id", "docs")
-    rows = tagged.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("home")))).withColumn("b", F.col("home"))
-    cols = tagged.withColumn("b", F.explode(F.sequence(F.col("home"), F.lit(blocks - 1)))).withColumn("a", F.col("home"))
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        total = pairs = 0.0
-        if left.num_rows and right.num_rows:
-            lists_l, lists_r = left.column("docs").combine_chunks(), right.column("docs").combine_chunks()
-            flat = np.concatenate([np.asarray(lists_l.flatten()), np.asarray(lists_r.flatten())])
-            _, code = np.unique(flat, return_inverse=True)
-            width = int(code.max()) + 1 if len(code) else 1
-
-            def incidence(lists, codes):
-                m = np.zeros((len(lists), width), dtype=np.float32)
-                m[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), codes] = 1
-                return m
-
-            cut = len(lists_l.flatten())
-            a, b = incidence(lists_l, code[:cut]), incidence(lists_r, code[cut:])
-            both = (a @ b.T).astype(np.float64)
-            union = a.sum(1)[:, None] + b.sum(1)[None, :] - both
-            j = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-            same = left.column("home")[0].as_py() == right.column("home")[0].as_py()
-            if same:
-                total, pairs = float(j.sum() - np.trace(j)) / 2, len(a) * (len(a) - 1) / 2
-            else:
-                total, pairs = float(j.sum()), float(len(a) * len(b))
-        return pa.table({"total": [float(total)], "pairs": [float(pairs)]})
-
-    parts = rows.groupBy("a", "b").cogroup(cols.groupBy("a", "b")).applyInArrow(block, "total double, pairs double")
-    # The filter names both columns, so that no plan (e.g. a bare count) prunes what the block function reads.
-    parts = parts.filter((F.col("pairs") >= 0) & (F.col("total") >= 0))
-    return parts.agg(F.round(F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0)), 6).alias("average_overlap"))
+    lists = results.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    kinds = materialise(lists.groupBy("docs").agg(F.count("*").cast("double").alias("n")), "lists")
+    n = F.col("n")
+    equal = F.sum(F.when(F.size("docs") > 0, n * (n - 1) / 2))
+    totals = kinds.agg(F.sum("n").alias("clients"), F.coalesce(equal, F.lit(0.0)).alias("equal"))
+    held = kinds.select(F.explode("docs").alias("doc"), "docs", "n")
+    dealt = held.groupBy("doc").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    homes = held.join(dealt, "doc", "left").select("doc", "docs", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("docs"), blocks).cast("int").alias("home"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = homes.select("doc", "home", "docs", "n", other.alias("other")).select("doc", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "home", "docs", "n")
+    shared = cells.repartition("doc", "a", "b").sortWithinPartitions("doc", "a", "b").mapInArrow(_overlap_cells, "total double")
+    both = totals.crossJoin(shared.agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total")))
+    clients = F.col("clients")
+    mean = F.try_divide(F.col("total") + F.col("equal"), clients * (clients - 1) / 2)
+    return both.select(F.round(F.coalesce(mean, F.lit(0.0)), 6).alias("average_overlap"))
+
+
+def _overlap_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc, a, b, home, docs, n) sorted by cell to sums of n * n * Jaccard over the pairs counted there."""
+    cell, parts, total = None, [], 0.0
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        change = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            key = tuple(c[lo] for c in columns)
+            if key != cell:
+                total += _overlap(cell, parts)
+                cell, parts = key, []
+            parts.append(batch.slice(lo, hi - lo))
+    yield pa.RecordBatch.from_arrays([pa.array([total + _overlap(cell, parts)], pa.float64())], ["total"])
+
+
+def _overlap(cell: tuple | None, parts: list[pa.RecordBatch]) -> float:
+    if sum(p.num_rows for p in parts) < 2:
+        return 0.0
+    doc, a, b = cell
+    table = pa.Table.from_batches(parts)
+    lists = table.column("docs").combine_chunks()
+    home, n = table.column("home").to_numpy(), table.column("n").to_numpy()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    values, code, count = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), size)
+    before = int(np.searchsorted(values, doc))  # documents smaller than the cell's
+    left, right = np.flatnonzero(home == a), np.flatnonzero(home == b)
+    place = [np.full(len(lists), -1) for _ in range(2)]
+    place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+    wanted = np.flatnonzero(count > 1)  # others are in one list alone
+
+    def met(columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(left), len(right)))
+        for lo in range(0, len(columns), COLUMNS):
+            to = np.full(len(values), -1)
+            to[columns[lo:lo + COLUMNS]] = np.arange(len(columns[lo:lo + COLUMNS]))
+            sides = []
+            for at, rows in zip(place, (left, right)):
+                m = np.zeros((len(rows), len(columns[lo:lo + COLUMNS])), np.float32)
+                fit = (to[code] >= 0) & (at[row] >= 0)
+                m[at[row[fit]], to[code[fit]]] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+        return out
+
+    earlier = met(wanted[wanted < before])
+    both = earlier + met(wanted[wanted >= before])
+    j = np.where(earlier == 0, both / (size[left][:, None] + size[right][None, :] - both), 0.0) * n[left][:, None] * n[right][None, :]
+    return float(j.sum() - np.trace(j)) / 2 if a == b else float(j.sum())

@@ -54,6 +54,20 @@ def test_list_overlap_over_blocks(spark):
         assert abs(ev.mean_list_jaccard(results, rows).first()[0] - want) < 1e-6
 
 
+def test_list_overlap_of_equal_empty_and_hot_lists(spark):
+    """Most lists share a document, many are equal, some have no documents; no pair of lists without a common document is formed."""
+    rng = np.random.default_rng(11)
+    lists = {i: ({"hot"} if i % 3 else set()) | {f"d{x}" for x in rng.choice(40, size=i % 5, replace=False)} for i in range(60)}
+    lists |= {100 + i: {"a", "b", "hot"} for i in range(20)} | {200 + i: {f"own{i}"} for i in range(10)}
+    results = spark.createDataFrame([(q, d) for q, ds in lists.items() for d in ds or [None]], "query_id int, doc_id string")
+    pairs = [len(a & b) / len(a | b) if a | b else 0.0 for a, b in itertools.combinations(lists.values(), 2)]
+    for rows in (1024, 7):
+        assert abs(ev.mean_list_jaccard(results, rows).first()[0] - np.mean(pairs)) < 1e-6
+    assert ev.mean_list_jaccard(results.where("query_id < 0")).first()[0] == 0.0
+    plan = ev.mean_list_jaccard(results, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan  # blocks of all lists against all took quadratic time
+
+
 def test_grids():
     grid = sw.weight_grid({"text": [0.0, 0.5, 1.0], "category": [0.0, 0.5, 1.0]})
     assert all(abs(sum(g.values()) - 1) < 1e-6 for g in grid) and len(grid) == 5
