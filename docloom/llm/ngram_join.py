@@ -7,14 +7,16 @@ Steps, all over whole texts:
 2. The count table orders shingles, rarest first (ties by hash). Of a class with n shingles only the first
    ``n - ceil(t n) + 1`` are kept: sets that reach the threshold share one of them.
 3. Kept shingles meet. Each class is paired with the smallest doc_id of its shingle's group rather than with every other
-   member. Length and positional filters apply at the meeting; the suffix filter (a bound on the difference of two
+   member, in groups of more than 256 also with the 4 that have the shingle earliest, the copies least changed. Length and positional filters apply at the meeting; the suffix filter (a bound on the difference of two
    sets from their counts in hash ranges) once per distinct pair; what is left is verified once, on the whole sets.
-4. Links are contracted. Only members of a group that are still apart can be linked by a pair not looked at. Of those
-   pairs the ones that pass the length and positional filters from the smaller set's side are formed, in bands of
-   length, then filtered and verified in the same way.
-
-A group of near copies is thus verified against one member each, never all against all, and no link between documents
-in different components is left out. Shingles that very many documents share are split by salt in step 3.
+4. Links are contracted. Only members of a group that are still apart can be linked by a pair not looked at. In groups of
+   more than 256 the first 16, then 64 members meet those that are apart from them, with a contraction after each round,
+   until few of the pairs link.
+5. Of the pairs still apart the ones that pass the length and positional filters from the smaller set's side are formed,
+   in bands of length, then filtered and verified in the same way.
+
+A group of near copies is thus verified against a fixed number of members each, never all against all, and no link
+between documents in different components is left out. Shingles that very many documents share are split by salt in step 3.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SLICES = 256
 ID_CELLS = 1 << 22  # of the broadcast filter of documents to verify; a full filter only lets more rows pass
 RANGES = 16
 BLOCK = 128  # members verified against one pivot in one group
+SMALL = 256  # members of a group that may all meet each other
+PIVOTS = (4, 16, 64)  # members of a larger group that all others meet, at first and in later rounds
 HOT = 4096  # cells that count more than this (and eight times the mean) have their shingles' groups salted
 _WORD = spans.byte_class(bytes(c for c in range(128) if c != 32 and not 9 <= c <= 13), high=True)
 
@@ -175,6 +179,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return dealt_sets.select("a", "block", "role", "id", "shingles").repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(step, "u bigint, v bigint")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Components as links u, v."""
+    return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _open_groups(met: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the shingles' groups with their component c, and groups that hold several: h, size, most (the largest one)."""
+    apart = met.select("h", "id", "n", "pos").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    apart = written(apart, "members")
+    parts = apart.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"))
+    groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max_by("c", F.struct("size", "c")).alias("most"))
+    return apart, written(groups.where("parts > 1 AND size > 2").drop("parts"), "groups")
+
+
+def _pivot_pairs(apart: DataFrame, groups: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """Members (h, id, n, pos, c) of a large group (h, size) with its pivots, where they are still apart."""
+    open_ = apart.join(groups.where(F.col("size") > SMALL).select("h").hint("merge"), "h")
+    in_order = Window.partitionBy("h").orderBy("pos", "id")
+    first = open_.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= pivots)
+    first = first.select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
+    others = open_.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
+    return _possible(first.join(others, "h").where("ac <> bc"), percent)
+
+
+def _all_pairs(apart: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a group's members that are still apart; members of its largest component do not meet each other."""
+    open_ = apart.join(groups.select("h", "most").hint("merge"), "h")
+    # The smaller set of a pair stands at the shared shingle early enough for a partner as large as itself; a template
+    # that its instances share to less than the threshold stands too late in all of them, so its group forms no pair.
+    light = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))  # a larger partner's is the same or the next; one more for rounding
+    inside = F.col("c") == F.col("most")
+    ways = lambda own, other: F.explode(F.when(inside, F.array(F.lit(other))).otherwise(F.array(F.lit("both"), F.lit(own))))
+    smaller = open_.where(light).withColumn("way", ways("smaller out", "larger out")).select("h", "way", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"), F.explode(F.array(band, band + 1, band + 2)).alias("band"))
+    larger = open_.withColumn("way", ways("larger out", "smaller out")).select("h", "way", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"), band.alias("band"))
+    near = ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
+    return _possible(smaller.join(larger, ["h", "way", "band"]).where(near), percent)
+
+
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id (integer), text. Returns doc_id, n_shingles, component_id, a row for each input row.
 
@@ -209,26 +252,29 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     by_shingle = Window.partitionBy("h").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = met.where("many > 1 AND id = a").select("h", "id", "n", "pos", F.first("id").over(by_shingle).alias("a"), F.first("n").over(by_shingle).alias("an"), F.first("pos").over(by_shingle).alias("ap"))
     pairs = _possible(star.union(heads.where("id <> a").select("a", "an", "ap", *member)), percent)
+    in_group = met.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    pairs = pairs.union(_pivot_pairs(met.select("h", "id", "n", "pos", F.col("id").alias("c")), in_group, PIVOTS[0], percent)).distinct()
     tried = written(_suffix_filter(pairs, sizes, percent).distinct(), "pairs")
     shared_id = named.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = written(_verified(tried, docs, k, percent).union(shared_id), "links")
 
     found = components(links)
-    apart = met.select("h", "id", "n", "pos").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-    apart = written(apart, "members")
-    mixed = apart.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high AND size > 2").select("h")
-    open_ = apart.join(mixed.hint("merge"), "h")
-    # The smaller set of a pair stands at the shared shingle early enough for a partner as large as itself; a template
-    # that its instances share to less than the threshold stands too late in all of them, so its group forms no pair.
-    light = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))  # a larger partner's is the same or the next; one more for rounding
-    smaller = open_.where(light).select("h", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"), F.explode(F.array(band, band + 1, band + 2)).alias("band"))
-    larger = open_.select("h", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"), band.alias("band"))
-    near = ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
-    rest = smaller.join(larger, ["h", "band"]).where(near)
-    rest = _suffix_filter(_possible(rest, percent), sizes, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(links.union(_verified(written(rest, "rest"), docs, k, percent)), "links")
-    final = components(more)
+    apart, groups = _open_groups(met, found)
+    joined = _stars(found)
+    for pivots in PIVOTS[1:]:
+        if groups.where(F.col("size") > SMALL).isEmpty():
+            break
+        more = _suffix_filter(_pivot_pairs(apart, groups, pivots, percent), sizes, percent).distinct().join(tried, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        linked = written(_verified(more, docs, k, percent), "links")
+        tried, joined = tried.union(more), joined.union(linked)
+        if 10 * linked.count() <= more.count():  # those still apart hardly link: no use in more pivots
+            break
+        found = components(joined)
+        joined = _stars(found)
+        apart, groups = _open_groups(met, found)
+    rest = _suffix_filter(_all_pairs(apart, groups, percent), sizes, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    final = components(joined.union(written(_verified(written(rest, "rest"), docs, k, percent), "links")))
     named_final = (named.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(final, F.col("rep") == F.col("node"), "left")
                    .select("doc_id", F.coalesce("component", "rep").alias("component_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(named_final, "doc_id", "left").select(

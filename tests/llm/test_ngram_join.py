@@ -69,3 +69,20 @@ def test_a_large_group_of_a_template_forms_no_pairs(spark, monkeypatch):
     got = run(spark, docs)
     assert {d: c for d, _, c in got if d != c} == {9000: 7}
     assert sum(tried) <= 2 * len(docs)
+
+
+def test_a_large_group_of_near_copies_meets_a_few_members_not_all(spark, monkeypatch):
+    """Copies with one to four changed words: about half of all pairs link, the smallest ids with hardly any other."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.sample(range(150), 4 if i < 20 else rng.choice([1, 1, 2, 2, 2, 3])):
+            words[at] = f"x{rng.randrange(10**9)}"
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "SMALL", 32, raising=False)
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), verified(pairs, *rest))[1])
+    assert run(spark, docs) == brute(docs)
+    assert sum(tried) <= 25 * len(docs)
